@@ -24,7 +24,9 @@ def gap_episodes(obs: DataFrame, config: Config = Config(), slice_rows: int = 1_
     df = obs.withColumn(SLICE, id_slices("raw_id", slice_rows))
     # "-" stands for a missing hash so that null differs from a value only.
     mapping = F.coalesce("mapping_hash", F.lit("-"))
-    df = running(df, ["event_id"], _ORDER, {"__mapping": last(mapping, inclusive=False)}, SLICE)
+    earlier = F.struct(mapping.alias("mapping"), "pm_yes", "opt_yes", "gap_pp")
+    df = running(df, ["event_id"], _ORDER, {"previous": last(earlier, inclusive=False)}, SLICE)
+    df = df.withColumn("__mapping", F.col("previous.mapping"))
     changed = F.col("__mapping").isNotNull() & (F.col("__mapping") != mapping)
     expired = F.coalesce(F.col("expiry") <= F.col("now_ms"), F.lit(False))
     gap, row_id = F.col("gap_pp"), F.col("raw_id")
@@ -65,69 +67,64 @@ def gap_episodes(obs: DataFrame, config: Config = Config(), slice_rows: int = 1_
     before = F.when(F.col("__sign").isNotNull(), F.col("__start_prev"))
     after = F.when(F.col("__starting"), row_id).when(~F.col("__closing"), before)
     return df.select(
-        *obs.columns, before.alias("start_before"), after.alias("start_after"), reason.alias("close_reason"))
+        *obs.columns, "previous", before.alias("start_before"), after.alias("start_after"), reason.alias("close_reason"))
 
 
 def episode_revisions(rows: DataFrame, slice_rows: int = 1_000_000) -> DataFrame:
     """Every revision of every episode: NEW, PEAK, WIDENING, CONVERGING, CLOSED, EXPIRED.
 
-    ``rows`` is the result of ``gap_episodes``; on large tapes write it as a stage
-    table first, since members and closings both read it.
+    ``rows`` is the result of ``gap_episodes``, best written as a stage table first.
 
     Lifecycle figures are running values over the episode's rows; the closing
     revision repeats the last figures and adds time, gap and reason of the close.
     """
-    key = ["event_id", "start_after"]
     gap, size = F.col("gap_pp"), F.abs(F.col("gap_pp"))
-    members = rows.filter(F.col("start_after").isNotNull()).withColumn(SLICE, id_slices("raw_id", slice_rows))
-    members = running(members, key, _ORDER, {
+    # A row belongs to the episode it closes and to the one it continues or opens.
+    roles = F.array_compact(F.array(
+        F.when(F.col("close_reason").isNotNull(), F.struct(F.col("start_before").alias("opening_raw_id"), F.lit(True).alias("close"))),
+        F.when(F.col("start_after").isNotNull(), F.struct(F.col("start_after").alias("opening_raw_id"), F.lit(False).alias("close"))),
+    ))
+    slim = ["event_id", "asset", "mapping_hash", "raw_id", "now_ms", "pm_yes", "opt_yes", "gap_pp", "relative_gap", "spot",
+            "previous", "close_reason"]
+    members = rows.select(*slim, F.explode(roles).alias("__role")).select(*slim, "__role.*").withColumn(
+        SLICE, id_slices("raw_id", slice_rows))
+    inside, is_new = ~F.col("close"), F.col("raw_id") == F.col("opening_raw_id")
+    mine = lambda c: F.when(inside, c)
+    step = lambda leg: F.when(
+        inside & ~is_new, F.abs(F.col(leg) - F.col(f"previous.{leg}")) * 100).otherwise(0.0)
+    members = running(members, ["event_id", "opening_raw_id"], _ORDER, {
         "__open": first(F.struct("now_ms", "gap_pp", "relative_gap", "spot", "mapping_hash")),
-        "__prev": last(F.struct("pm_yes", "opt_yes", size.alias("size")), inclusive=False),
-        "__peak_before": highest(size, inclusive=False),
-        "max_abs_gap_pp": highest(size),
-        "max_relative_gap": highest(F.col("relative_gap")),
-        "min_gap_after_open": lowest(gap),
+        "__before": highest(mine(size), inclusive=False),
+        # equal sizes keep the earliest time
+        "__peak": highest(mine(F.struct(size.alias("size"), (-F.col("now_ms")).alias("ms")))),
+        "max_relative_gap": highest(mine(F.col("relative_gap"))),
+        "min_gap_after_open": lowest(mine(gap)),
+        "pm_distance_pp": total(step("pm_yes")),
+        "opt_distance_pp": total(step("opt_yes")),
+        "__spot": last(mine(F.struct("spot", is_new.alias("new")))),
     }, SLICE)
-    peak = F.col("__peak_before").isNull() | (size > F.col("__peak_before"))
-    members = members.withColumn("__peak", peak)
-    moved = lambda leg: F.coalesce(F.abs(F.col(leg) - F.col(f"__prev.{leg}")) * 100, F.lit(0.0))
-    members = running(members, key, _ORDER, {
-        "__peak_ms": last(F.when(F.col("__peak"), F.col("now_ms"))),
-        "pm_distance_pp": total(moved("pm_yes")),
-        "opt_distance_pp": total(moved("opt_yes")),
-    }, SLICE)
-    is_new = F.col("raw_id") == F.col("start_after")
     distance = F.col("pm_distance_pp") + F.col("opt_distance_pp")
-    share = lambda c: F.when(is_new, 0.0).when(distance > 0, F.col(c) / distance)
-    has_spot = (F.col("spot") != 0) & (F.col("__open.spot") != 0)
-    revision = members.select(
-        F.concat(F.lit("gap-"), "event_id", F.lit("-"), F.col("start_after").cast("string")).alias("gap_event_id"),
-        "event_id", "asset", F.col("__open.mapping_hash").alias("mapping_hash"), "raw_id",
-        F.col("start_after").alias("opening_raw_id"),
+    only_opened = F.col("__spot.new")
+    share = lambda c: F.when(only_opened, 0.0).when(distance > 0, F.col(c) / distance)
+    has_spot = (F.col("__spot.spot") != 0) & (F.col("__open.spot") != 0)
+    closed = lambda c: F.when(F.col("close"), c)
+    return members.select(
+        F.concat(F.lit("gap-"), "event_id", F.lit("-"), F.col("opening_raw_id").cast("string")).alias("gap_event_id"),
+        "event_id", "asset", F.col("__open.mapping_hash").alias("mapping_hash"), "raw_id", "opening_raw_id",
         F.col("__open.now_ms").alias("opened_at"), F.col("now_ms").alias("timestamp"),
         F.col("__open.gap_pp").alias("opening_gap_pp"), F.col("__open.relative_gap").alias("opening_relative_gap"),
-        "max_abs_gap_pp", "max_relative_gap",
-        (F.col("__peak_ms") - F.col("__open.now_ms")).alias("time_to_max_ms"), "min_gap_after_open",
+        F.col("__peak.size").alias("max_abs_gap_pp"), "max_relative_gap",
+        (-F.col("__peak.ms") - F.col("__open.now_ms")).alias("time_to_max_ms"), "min_gap_after_open",
         (F.col("now_ms") - F.col("__open.now_ms")).alias("duration_ms"),
-        F.when(is_new, "NEW").when(F.col("__peak"), "PEAK").when(size > F.col("__prev.size"), "WIDENING")
-        .otherwise("CONVERGING").alias("state"),
+        F.when(F.col("close"), F.when(F.col("close_reason") == "EXPIRED", "EXPIRED").otherwise("CLOSED"))
+        .when(is_new, "NEW").when(size > F.col("__before"), "PEAK")
+        .when(size > F.abs(F.col("previous.gap_pp")), "WIDENING").otherwise("CONVERGING").alias("state"),
         "pm_distance_pp", "opt_distance_pp", share("pm_distance_pp").alias("pm_travel"),
         share("opt_distance_pp").alias("opt_travel"),
-        F.when(~is_new & has_spot, F.col("spot") / F.col("__open.spot") - 1).alias("spot_move"),
-        F.lit(None).cast("bigint").alias("closing_time"), F.lit(None).cast("double").alias("closing_gap"),
-        F.lit(None).cast("string").alias("close_reason"),
+        F.when(~only_opened & has_spot, F.col("__spot.spot") / F.col("__open.spot") - 1).alias("spot_move"),
+        closed(F.col("now_ms")).alias("closing_time"), closed(gap).alias("closing_gap"),
+        closed(F.col("close_reason")).alias("close_reason"),
     )
-    closes = rows.filter(F.col("close_reason").isNotNull()).select(
-        "event_id", F.col("start_before").alias("opening_raw_id"), F.col("raw_id").alias("__raw"),
-        F.col("now_ms").alias("__now"), F.col("gap_pp").alias("__gap"), F.col("close_reason").alias("__why"))
-    final = latest_revision(revision, ["event_id", "opening_raw_id"]).join(closes, ["event_id", "opening_raw_id"])
-    closed = final.withColumns({
-        "raw_id": F.col("__raw"), "timestamp": F.col("__now"), "closing_time": F.col("__now"),
-        "closing_gap": F.col("__gap"), "close_reason": F.col("__why"),
-        "duration_ms": F.col("__now") - F.col("opened_at"),
-        "state": F.when(F.col("__why") == "EXPIRED", "EXPIRED").otherwise("CLOSED"),
-    })
-    return revision.unionByName(closed.select(*revision.columns))
 
 
 def latest_revision(revisions: DataFrame, keys: list[str]) -> DataFrame:

@@ -239,7 +239,7 @@ SELECT 'gap-' || event_id || '-' || start_after AS gap_event_id, event_id, asset
   now_ms AS "timestamp", opening_gap_pp, opening_relative_gap, max_abs_gap_pp, max_relative_gap,
   max(CASE WHEN p_peak IS NULL OR abs(gap_pp) > p_peak THEN now_ms END) OVER e - opened_at AS time_to_max_ms,
   min_gap_after_open, now_ms - opened_at AS duration_ms,
-  CASE WHEN raw_id = start_after THEN 'NEW' WHEN abs(gap_pp) > p_peak THEN 'PEAK' WHEN abs(gap_pp) > p_size THEN 'WIDENING' ELSE 'CONVERGING' END AS state,
+  raw_id = start_after AS only_opened, CASE WHEN raw_id = start_after THEN 'NEW' WHEN abs(gap_pp) > p_peak THEN 'PEAK' WHEN abs(gap_pp) > p_size THEN 'WIDENING' ELSE 'CONVERGING' END AS state,
   sum(pm_step) OVER e AS pm_distance_pp, sum(opt_step) OVER e AS opt_distance_pp,
   CASE WHEN raw_id <> start_after AND spot <> 0 AND opening_spot <> 0 THEN spot / opening_spot - 1 END AS spot_move,
   CAST(NULL AS BIGINT) AS closing_time, CAST(NULL AS DOUBLE) AS closing_gap, CAST(NULL AS VARCHAR) AS close_reason
@@ -265,7 +265,7 @@ _REV_SQL = """SELECT gap_event_id, event_id, raw_id, opened_at, "timestamp", sta
  round(opening_relative_gap, 6) + 0.0 AS opening_relative_gap, round(max_relative_gap, 6) + 0.0 AS max_relative_gap,
  round(min_gap_after_open, 6) + 0.0 AS min_gap_after_open, round(closing_gap, 6) + 0.0 AS closing_gap,
  round(pm_distance_pp, 5) + 0.0 AS pm_distance_pp, round(opt_distance_pp, 5) + 0.0 AS opt_distance_pp,
- round(CASE WHEN state = 'NEW' OR opened_at = "timestamp" AND raw_id = opening_raw_id THEN CAST(0 AS DOUBLE) END, 6) + 0.0 AS new_travel,
+ round(CASE WHEN only_opened THEN CAST(0 AS DOUBLE) WHEN pm_distance_pp + opt_distance_pp > 0 THEN pm_distance_pp / (pm_distance_pp + opt_distance_pp) END, 6) + 0.0 AS pm_travel,
  round(spot_move, 6) + 0.0 AS spot_move FROM """
 
 
@@ -277,7 +277,7 @@ def _revision_columns(df):
     return df.select(
         *plain, *[r6(F.col(c)).alias(c) for c in rounded],
         r6(F.col("pm_distance_pp"), 5).alias("pm_distance_pp"), r6(F.col("opt_distance_pp"), 5).alias("opt_distance_pp"),
-        r6(F.when(F.col("raw_id") == F.col("opening_raw_id"), F.col("pm_travel"))).alias("new_travel"))
+        r6(F.col("pm_travel")).alias("pm_travel"))
 
 
 def _revisions(spark, d):
