@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scalars import as_probability
@@ -31,15 +31,19 @@ def _horner(coefficients, z: Column) -> Column:
 
 
 def normal_cdf(x: Column) -> Column:
-    """Standard normal distribution function, absolute error about 2e-16."""
+    """Standard normal distribution function, absolute error about 2e-16.
+
+    ``x`` is mentioned some twenty times; give it a plain column. The ``with_*``
+    helpers below store their scores as columns first for that reason.
+    """
     z = F.abs(x)
     density = F.exp(-z * z / 2)
-    near = density * _horner(TAIL_NUMERATOR, z) / _horner(TAIL_DENOMINATOR, z)
     fraction = z + 0.65
     for k in (4, 3, 2, 1):
         fraction = z + F.lit(float(k)) / fraction
-    tail = F.when(z > 37, 0.0).when(z < 7.07106781186547, near).otherwise(density / fraction / ROOT_TWO_PI)
-    return F.when(x > 0, F.lit(1.0) - tail).otherwise(tail)
+    near = _horner(TAIL_NUMERATOR, z) / _horner(TAIL_DENOMINATOR, z)
+    tail = density * F.when(z < 7.07106781186547, near).otherwise(1 / fraction / ROOT_TWO_PI)
+    return F.when(x > 0, 1.0).otherwise(0.0) + F.when(x > 0, -1.0).otherwise(1.0) * tail
 
 
 def _usable(*cols: Column) -> Column:
@@ -49,37 +53,50 @@ def _usable(*cols: Column) -> Column:
     return ok
 
 
-def terminal_probability(spot: Column, strike: Column, sigma: Column, years: Column, direction: Column) -> Column:
-    """P(finish beyond the strike) of a lognormal price."""
+def with_terminal_probability(
+    df: DataFrame, out: str, spot: Column, strike: Column, sigma: Column, years: Column, direction: Column
+) -> DataFrame:
+    """Add P(finish beyond the strike) of a lognormal price; null for unusable inputs."""
     d2 = (F.ln(spot / strike) - sigma * sigma * years / 2) / (sigma * F.sqrt(years))
-    signed = F.when(direction == "up", d2).otherwise(-d2)
-    return F.when(_usable(spot, strike, sigma, years) & direction.isin("up", "down"), normal_cdf(signed))
+    score = F.when(direction == "up", d2).when(direction == "down", -d2)
+    staged = df.withColumn("__z", F.when(_usable(spot, strike, sigma, years), score))
+    return staged.withColumn(out, F.when(F.col("__z").isNotNull(), normal_cdf(F.col("__z")))).drop("__z")
 
 
-def touch_probability(spot: Column, strike: Column, sigma: Column, years: Column, direction: Column) -> Column:
-    """P(path touches the barrier) by reflection; 1 when already beyond it."""
+def with_touch_probability(
+    df: DataFrame, out: str, spot: Column, strike: Column, sigma: Column, years: Column, direction: Column
+) -> DataFrame:
+    """Add P(path touches the barrier) by reflection; 1 when already beyond it."""
     up = direction == "up"
     distance = F.abs(F.ln(strike / spot))
     drift = sigma * sigma / 2 * F.when(up, 1).otherwise(-1)
     scale = sigma * F.sqrt(years)
-    exponent = -2 * drift * distance / (sigma * sigma)
-    reflected = normal_cdf((-distance - drift * years) / scale) + F.exp(exponent) * normal_cdf(
-        (-distance + drift * years) / scale
-    )
-    beyond = (up & (spot >= strike)) | (~up & (spot <= strike))
-    value = F.when(beyond, 1.0).when(exponent <= 700, F.least(F.lit(1.0), F.greatest(F.lit(0.0), reflected)))
-    return F.when(_usable(spot, strike, sigma, years) & direction.isin("up", "down"), value)
-
-
-def option_value(spot: Column, strike: Column, iv: Column, years: Column, put: Column) -> Column:
-    """Black-Scholes value at zero rate; intrinsic once the time is used up."""
+    ok = _usable(spot, strike, sigma, years) & direction.isin("up", "down")
+    staged = df.withColumns({
+        "__a": F.when(ok, (-distance - drift * years) / scale),
+        "__b": F.when(ok, (-distance + drift * years) / scale),
+        "__x": F.when(ok, -2 * drift * distance / (sigma * sigma)),
+        "__beyond": ok & ((up & (spot >= strike)) | (~up & (spot <= strike))),
+    })
+    staged = staged.withColumn("__na", normal_cdf(F.col("__a"))).withColumn("__nb", normal_cdf(F.col("__b")))
+    reflected = F.col("__na") + F.exp("__x") * F.col("__nb")
+    value = F.when(F.col("__beyond"), 1.0).when(
+        F.col("__x") <= 700, F.least(F.lit(1.0), F.greatest(F.lit(0.0), reflected)))
+    return staged.withColumn(out, value).drop("__a", "__b", "__x", "__beyond", "__na", "__nb")
+
+
+def with_option_value(df: DataFrame, out: str, spot: Column, strike: Column, iv: Column, years: Column, put: Column) -> DataFrame:
+    """Add the Black-Scholes value at zero rate; intrinsic once the time is used up.
+
+    A put is priced by parity, so that two distribution values serve both kinds.
+    """
     scale = iv * F.sqrt(years)
     d1 = (F.ln(spot / strike) + iv * iv * years / 2) / scale
-    d2 = d1 - scale
-    call_value = spot * normal_cdf(d1) - strike * normal_cdf(d2)
-    put_value = strike * normal_cdf(-d2) - spot * normal_cdf(-d1)
+    staged = df.withColumn("__d1", F.when(years > 0, d1)).withColumn("__d2", F.when(years > 0, d1 - scale))
+    staged = staged.withColumn("__n1", normal_cdf(F.col("__d1"))).withColumn("__n2", normal_cdf(F.col("__d2")))
     intrinsic = F.greatest(F.lit(0.0), F.when(put, strike - spot).otherwise(spot - strike))
-    return F.when(years <= 0, intrinsic).when(put, put_value).otherwise(call_value)
+    live = spot * F.col("__n1") - strike * F.col("__n2") + F.when(put, strike - spot).otherwise(0.0)
+    return staged.withColumn(out, F.when(years <= 0, intrinsic).otherwise(live)).drop("__d1", "__d2", "__n1", "__n2")
 
 
 def gap_pp(pm: Column, opt: Column) -> Column:

@@ -1,6 +1,6 @@
 """Registered queries over the driver tables."""
 
-from . import q_dynamics, q_sources  # noqa: F401
+from . import q_analyzers, q_dynamics, q_observe, q_sources  # noqa: F401
 from .registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import RUNTIME_CONF
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 #: named sub-selects the check SQL may build on
@@ -46,7 +48,8 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"query {name} registered twice")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            for key, value in {"spark.sql.session.timeZone": "UTC", **RUNTIME_CONF}.items():
+                spark.conf.set(key, value)
             return fn(spark, sf_dir)
 
         run.__name__ = name

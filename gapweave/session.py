@@ -8,6 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Stages whose generated method is too long for the JVM compiler run several
+#: times slower than without fusion, so such stages fall back to plain codegen.
+RUNTIME_CONF = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
 def build_session(app: str = "gapweave", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings every operator assumes (UTC, AQE with skew handling)."""
     builder = SparkSession.builder.appName(app)
@@ -19,6 +24,7 @@ def build_session(app: str = "gapweave", master: str | None = None, **conf) -> S
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.ui.enabled": "false",
+        **RUNTIME_CONF,
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
