@@ -1,6 +1,6 @@
 """Registered queries over the driver tables."""
 
-from . import q_analyzers, q_dynamics, q_observe, q_sources  # noqa: F401
-from .registry import CHECKS, QUERIES
+from . import q_analyzers, q_dynamics, q_ledger, q_observe, q_sources  # noqa: F401
+from .registry import QUERIES, check_sql
 
-__all__ = ["CHECKS", "QUERIES"]
+__all__ = ["QUERIES", "check_sql"]

@@ -35,6 +35,8 @@ def with_views(sql: str) -> str:
         return sql
     ctes = ",\n".join(f"{n} AS (\n{VIEWS[n]}\n)" for n in names)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
@@ -56,7 +58,12 @@ def query(name: str, sql: str | None = None):
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if sql is not None:
-            CHECKS[name] = with_views(sql)
+            CHECKS[name] = sql
         return fn
 
     return register
+
+
+def check_sql() -> dict[str, str]:
+    """The complete check SQL of every query that has one."""
+    return {name: with_views(sql) for name, sql in CHECKS.items()}
