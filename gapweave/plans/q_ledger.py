@@ -146,8 +146,8 @@ def _priced(f):
         "net_credit": F.when(F.col("side") == "SELL", F.col("gross_premium") - F.col("fees"))})
 
 
-_PRICED = """SELECT *, price * (1 - half) AS bid, price * (1 + half) AS ask, price / 1000 * quantity * multiplier AS slippage,
-  CASE side WHEN 'BUY' THEN price * (1 + half) + price / 1000 ELSE price * (1 - half) - price / 1000 END * quantity * multiplier AS gross_premium FROM """
+_PRICED = """SELECT *, price * (1 - half) AS bid, price * (1 + half) AS ask, price / 1000 * (quantity * multiplier) AS slippage,
+  CASE side WHEN 'BUY' THEN price * (1 + half) + price / 1000 ELSE price * (1 - half) - price / 1000 END * (quantity * multiplier) AS gross_premium FROM """
 view("fills", f"""SELECT *, CASE side WHEN 'BUY' THEN gross_premium + fees END AS total_debit, CASE side WHEN 'SELL' THEN gross_premium - fees END AS net_credit FROM ({_PRICED} (
   SELECT *, CASE WHEN l_linenumber % 2 = 1 THEN 'BUY' ELSE 'SELL' END AS side, l_quantity AS quantity, CASE WHEN ino % 2 = 0 THEN 100 ELSE 1 END AS multiplier FROM fill_rows))""")
 
@@ -164,21 +164,21 @@ def raw_fills(spark, d):
 @query("closed_lot_attribution", """WITH RECURSIVE ranked AS (SELECT *, row_number() OVER (PARTITION BY run_id, instrument ORDER BY ledger_id) AS n FROM fills),
  walk AS (
   SELECT run_id, instrument, n, ledger_id, side, CASE WHEN side = 'SELL' THEN 'missing_entry' END AS status, CASE WHEN side = 'BUY' THEN quantity ELSE 0 END AS q,
-    CASE WHEN side = 'BUY' THEN quantity * multiplier * price ELSE 0 END AS m, CASE WHEN side = 'BUY' THEN total_debit ELSE 0 END AS dbt, CAST(NULL AS DOUBLE) AS mid_move, CAST(NULL AS DOUBLE) AS invested FROM ranked WHERE n = 1
+    CASE WHEN side = 'BUY' THEN (quantity * multiplier) * ((bid + ask) / 2) ELSE 0 END AS m, CASE WHEN side = 'BUY' THEN total_debit ELSE 0 END AS dbt, CAST(NULL AS DOUBLE) AS mid_move, CAST(NULL AS DOUBLE) AS invested FROM ranked WHERE n = 1
   UNION ALL
   SELECT run_id, instrument, n, ledger_id, side, status, CASE WHEN nq < 1e-9 THEN 0 ELSE nq END, CASE WHEN nq < 1e-9 THEN 0 ELSE nm END, CASE WHEN nq < 1e-9 THEN 0 ELSE nd END, mid_move, invested FROM (
    SELECT r.run_id, r.instrument, r.n, r.ledger_id, r.side, CASE WHEN r.side = 'SELL' THEN CASE WHEN w.q < r.quantity - 1e-9 OR w.q = 0 THEN 'missing_entry' ELSE 'unreconciled' END END AS status,
     CASE WHEN r.side = 'BUY' THEN w.q + r.quantity WHEN w.q < r.quantity - 1e-9 OR w.q = 0 THEN w.q ELSE w.q * (1 - least(1, r.quantity / w.q)) END AS nq,
-    CASE WHEN r.side = 'BUY' THEN w.m + r.quantity * r.multiplier * r.price WHEN w.q < r.quantity - 1e-9 OR w.q = 0 THEN w.m ELSE w.m * (1 - least(1, r.quantity / w.q)) END AS nm,
+    CASE WHEN r.side = 'BUY' THEN w.m + (r.quantity * r.multiplier) * ((r.bid + r.ask) / 2) WHEN w.q < r.quantity - 1e-9 OR w.q = 0 THEN w.m ELSE w.m * (1 - least(1, r.quantity / w.q)) END AS nm,
     CASE WHEN r.side = 'BUY' THEN w.dbt + r.total_debit WHEN w.q < r.quantity - 1e-9 OR w.q = 0 THEN w.dbt ELSE w.dbt * (1 - least(1, r.quantity / w.q)) END AS nd,
-    CASE WHEN r.side = 'SELL' AND w.q >= r.quantity - 1e-9 AND w.q > 0 THEN r.quantity * r.multiplier * r.price - w.m * least(1, r.quantity / w.q) END AS mid_move,
+    CASE WHEN r.side = 'SELL' AND w.q >= r.quantity - 1e-9 AND w.q > 0 THEN (r.quantity * r.multiplier) * ((r.bid + r.ask) / 2) - w.m * least(1, r.quantity / w.q) END AS mid_move,
     CASE WHEN r.side = 'SELL' AND w.q >= r.quantity - 1e-9 AND w.q > 0 THEN w.dbt * least(1, r.quantity / w.q) END AS invested
    FROM walk w JOIN ranked r ON r.run_id = w.run_id AND r.instrument = w.instrument AND r.n = w.n + 1))
- SELECT run_id, instrument, ledger_id, status, round(mid_move, 4) + 0.0 AS mid_move_pnl, round(invested, 4) + 0.0 AS invested FROM walk WHERE side = 'SELL'""")
+ SELECT run_id, instrument, ledger_id, status, round(mid_move, 3) + 0.0 AS mid_move_pnl, round(invested, 3) + 0.0 AS invested FROM walk WHERE side = 'SELL'""")
 def closed_lot_attribution(spark, d):
     """Every sale against its average-cost lot, with partial closes and missing entries."""
     c = L.closed_lot_attribution(raw_fills(spark, d))
-    return c.select("run_id", "instrument", "ledger_id", "status", r6(F.col("mid_move_pnl"), 4).alias("mid_move_pnl"), r6(F.col("invested"), 4).alias("invested"))
+    return c.select("run_id", "instrument", "ledger_id", "status", r6(F.col("mid_move_pnl"), 3).alias("mid_move_pnl"), r6(F.col("invested"), 3).alias("invested"))
 
 
 # Round trips: every second fill of a (run, instrument) sells what the previous one bought.
