@@ -484,7 +484,7 @@ SELECT *, CASE WHEN bid <= ask THEN (bid + ask) / 2 END AS yes, coalesce(bid > a
 @query("book_state", """SELECT token, raw_id, source_ms, round(bid, 6) + 0.0 AS bid, round(ask, 6) + 0.0 AS ask, round(yes, 6) + 0.0 AS yes, crossed,
  is_book AS has_depth FROM books""")
 def book_state(spark, d):
-    changes = feeds.explode_books(book_packets(spark, d))
+    changes = stage_table(feeds.explode_books(book_packets(spark, d)), "book-changes")
     b = legs.book_state(changes, CONFIG.scaled(5000), SLICE_ROWS, source_always_present=True)
     return b.select("token", "raw_id", "source_ms", r6(F.col("bid")).alias("bid"), r6(F.col("ask")).alias("ask"),
                     r6(F.col("yes")).alias("yes"), "crossed", F.col("depth").isNotNull().alias("has_depth"))

@@ -108,7 +108,7 @@ def entry_evidence(spark, d):
     return T.entry_evidence(latest_rows(spark, d), NOW, strike_slice=20.0).select("event_id", "evidence")
 
 
-@query("entry_candidates", f"""SELECT wallet, event_id, asset, CAST(trade AS INTEGER) AS trade_direction, CAST(row_number() OVER (PARTITION BY wallet ORDER BY abs(gap_pp) DESC, event_id) AS INTEGER) AS rank FROM (
+@query("entry_candidates", f"""SELECT wallet, event_id, asset, CAST(trade AS INTEGER) AS trade_direction, CAST(row_number() OVER (PARTITION BY wallet ORDER BY abs(gap_pp) DESC, event_id) AS BIGINT) AS rank FROM (
  SELECT s.wallet, e.event_id, e.p_brand AS asset, e.gap_pp, CASE WHEN e.gap_pp > 0 THEN 1 ELSE -1 END AS trade FROM evidence e JOIN (
    SELECT {_WALLET_SQL} AS wallet, 'e' || lpad(CAST(min(o_custkey) AS VARCHAR), 9, '0') AS event_id, o_orderkey % 60 AS ref, o_orderkey % 400 AS age, o_custkey FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL) s USING (event_id)
  WHERE s.age * 1000 <= 180000 AND e.p_partkey % 50 <= s.ref AND e.state = 'PROXY' AND e.age < 60000 AND NOT e.wide AND NOT e.indicative AND e.evidence = 'SUPPORTED' AND e.pm_yes BETWEEN 0.02 AND 0.98 AND e.opt_yes BETWEEN 0.02 AND 0.98
