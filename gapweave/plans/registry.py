@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import RUNTIME_CONF
+from ..session import require_runtime_conf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -50,8 +50,8 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"query {name} registered twice")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            for key, value in {"spark.sql.session.timeZone": "UTC", **RUNTIME_CONF}.items():
-                spark.conf.set(key, value)
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            require_runtime_conf(spark)
             return fn(spark, sf_dir)
 
         run.__name__ = name
