@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import require_runtime_conf
 from .running import Run, running
 
 _TS, _TAG, _SEQ, _LEFT, _RIGHT = "__ts", "__tag", "__seq", "__left", "__right"
@@ -50,8 +49,6 @@ def asof_join(
         r = r.filter(F.col(key).isNotNull())
     r = r.select(*on, F.col(right_ts).alias(_TS), F.lit(right_tag).alias(_TAG), seq.alias(_SEQ), payload.alias(_RIGHT))
     l = left.select(*on, F.col(left_ts).alias(_TS), F.lit(1).alias(_TAG), F.struct("*").alias(_LEFT))
-    # See RUNTIME_CONF: a co-partitioned union must not be trusted as clustered.
-    require_runtime_conf(left.sparkSession)
     both = l.unionByName(r, allowMissingColumns=True)
     swept = running(
         both,

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import require_runtime_conf
+
 SLICE = "__slice"
 #: rows of one key per task when the order column is a dense receipt id
 ID_SLICE = 1_000_000
@@ -102,6 +104,8 @@ def running(
     slice column ``df`` already has: consecutive calls then share one shuffle.
     ``reverse`` scans from the end, turning ``last`` into "nearest following".
     """
+    # The input often is a union; see RUNTIME_CONF for why that matters.
+    require_runtime_conf(df.sparkSession)
     keys, order = list(keys), list(order)
     asc = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
 
