@@ -298,7 +298,9 @@ def assemble_legs(
 def observe(*legs: DataFrame, config: Config = Config(), slice_rows: int = ID_SLICE) -> DataFrame:
     """Priced observations of every packet; arguments as ``assemble_legs``.
 
-    Provenance of all legs is kept in ``input_refs``.
+    Provenance of all legs is kept in ``input_refs``. Store the result before
+    filtering on priced columns: a condition on a computed column would be pushed
+    down and repeat the whole pricing expression.
     """
     rows = price_observation(assemble_legs(*legs, config=config, slice_rows=slice_rows), config)
     refs = F.map_filter(F.create_map(

@@ -8,6 +8,7 @@ from ..functions import costs as C
 from ..functions import pricing as P
 from ..operators import observe as O
 from ..operators import surface as SF
+from ..session import stage_table
 from .fixtures import CONFIG, DAY, SCALE, SLICE_ROWS, START, observations, r6, table, ticks
 from .registry import query, view
 
@@ -376,6 +377,11 @@ def full_observations(spark, d):
     return O.observe(*assembled(spark, d), config=CONFIG, slice_rows=SLICE_ROWS)
 
 
+def stored_observations(spark, d):
+    """Observations as stored facts; conditions on them then act on columns, not on the pricing expressions."""
+    return stage_table(full_observations(spark, d), "observations")
+
+
 @query("observe", """SELECT raw_id, event_id, kind, source_state, quality_flags,
   CASE WHEN digital AND priced THEN CASE WHEN complete THEN 'SPREAD' ELSE 'MID' END WHEN modeled THEN CASE event_type WHEN 'touch' THEN 'TOUCH' ELSE 'IV' END END AS method,
   CASE WHEN priced AND (q < 0.01 OR q > 0.99) THEN 'LOW' WHEN digital AND priced THEN 'MEDIUM' WHEN modeled THEN 'LOW' ELSE 'UNAVAILABLE' END AS model_confidence,
@@ -397,12 +403,12 @@ def quality_gate(spark, d):
 
 @query("quality_flags", "SELECT flag, count(*) AS n FROM (SELECT unnest(string_split(quality_flags, ',')) AS flag FROM w_rows) GROUP BY flag")
 def quality_flags(spark, d):
-    return full_observations(spark, d).select(F.explode("quality_flags").alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
+    return stored_observations(spark, d).select(F.explode("quality_flags").alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
 
 
 @query("implied_probability", """SELECT event_id, CASE WHEN digital THEN CASE WHEN complete THEN 'SPREAD' ELSE 'MID' END WHEN event_type = 'touch' THEN 'TOUCH' ELSE 'IV' END AS method,
   count(*) AS n, round(avg(q), 6) + 0.0 AS mean_opt, round(min(q), 6) + 0.0 AS min_opt, round(max(q), 6) + 0.0 AS max_opt FROM w_rows WHERE q IS NOT NULL GROUP BY 1, 2""")
 def implied_probability(spark, d):
-    o = full_observations(spark, d).filter("opt_yes IS NOT NULL")
+    o = stored_observations(spark, d).filter("opt_yes IS NOT NULL")
     return o.groupBy("event_id", "method").agg(
         F.count("*").alias("n"), r6(F.avg("opt_yes")).alias("mean_opt"), r6(F.min("opt_yes")).alias("min_opt"), r6(F.max("opt_yes")).alias("max_opt"))
