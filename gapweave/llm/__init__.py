@@ -1,6 +1,6 @@
 """Training-data operators; nothing else in the library imports this subpackage."""
 
-from . import exact_dedup, line_dedup  # noqa: F401
+from . import chat_perspectives, curriculum_mix, exact_dedup, license_scan, line_dedup, sharding  # noqa: F401
 from .common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
