@@ -1,6 +1,6 @@
 """Training-data operators; nothing else in the library imports this subpackage."""
 
-from . import chat_perspectives, curriculum_mix, decontamination, exact_dedup, html_blocks, license_scan, line_dedup, quality_crf, sharding  # noqa: F401
+from . import chat_perspectives, curriculum_mix, decontamination, exact_dedup, html_blocks, jaccard_join, license_scan, line_dedup, quality_crf, sharding  # noqa: F401
 from .common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space as a character class and as the characters themselves
 SPACE = r"[\x20\x09-\x0D]"
@@ -39,3 +43,26 @@ def lower_ascii(text: Column) -> Column:
 def hash_pair(*cols: Column) -> tuple[Column, Column]:
     """128 bits of two differently seeded 64-bit hashes; equal for equal values, nulls included."""
     return F.xxhash64(*cols), F.xxhash64(F.lit(7919), *reversed(cols))
+
+
+def append_columns(df: DataFrame, fields: Sequence[T.StructField], start: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]]) -> DataFrame:
+    """All columns of ``df``, except those named like ``fields``, and ``fields`` computed batch by batch.
+
+    ``start`` runs once per task and returns the function from a record batch to the new arrays; the other
+    columns pass through as they are.
+    """
+    new = {f.name for f in fields}
+    kept = [f for f in df.schema.fields if f.name not in new]
+    names = [f.name for f in kept] + [f.name for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = start()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, *compute(b)], names=names)
+
+    return df.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, T.StructType([*kept, *fields]))
+
+
+def strings(batch: pa.RecordBatch, column: str) -> list[str]:
+    """The values of a text column, nulls as empty."""
+    return [t or "" for t in batch.column(column).to_pylist()]

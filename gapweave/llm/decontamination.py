@@ -11,16 +11,16 @@ from __future__ import annotations
 import dataclasses
 import re
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import query, table
+from .common import append_columns, query, strings, table
 
 _TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?\n%$€£°]")
 _LITERAL, _NUMBER, _NAME, _UNIT, _STOP = range(5)
@@ -197,28 +197,28 @@ def flag_leaks(
     chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
     spark = docs.sparkSession
-    kept = [f for f in docs.schema.fields if f.name != "leaked_items"]
     kind_of = T.ArrayType(T.StructType([
         T.StructField("item_id", T.LongType()), T.StructField("reworded", T.BooleanType()),
         T.StructField("matched", T.LongType()), T.StructField("size", T.LongType())]))
-    schema = T.StructType(kept + [T.StructField("leaked_items", kind_of)])
-    out = docs.select(*[f"`{f.name}`" for f in kept]).withColumn("leaked_items", F.array().cast(kind_of))
+    arrow_kind = pa.list_(pa.struct([("item_id", pa.int64()), ("reworded", pa.bool_()), ("matched", pa.int64()), ("size", pa.int64())]))
+    out = docs.withColumn("leaked_items", F.array().cast(kind_of))
     for b in range(blocks):
         rows = sorted((r.i, r.t or "") for r in items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).collect())
         shared = spark.sparkContext.broadcast(Index.build(rows, width, least, literals))
 
-        def find(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def start(shared=shared):
             reader, index = Reader(), shared.value
-            for pdf in batches:
+
+            def compute(batch: pa.RecordBatch) -> list[pa.Array]:
                 found = []
-                for t, old in zip(pdf[text], pdf["leaked_items"]):
+                for t, old in zip(strings(batch, text), batch.column("__leaked").to_pylist()):
                     new = leaks(*reader.read(t), index, run, cover) if t and index.items else []
                     found.append([*old, *({"item_id": i, "reworded": bool(w), "matched": m, "size": s} for i, w, m, s in new)])
-                out = pdf.copy(deep=False)
-                out["leaked_items"] = found
-                yield out
+                return [pa.array(found, arrow_kind)]
+
+            return compute
 
-        out = out.mapInPandas(find, schema)
+        out = append_columns(out.withColumnRenamed("leaked_items", "__leaked"), [T.StructField("leaked_items", kind_of)], start).drop("__leaked")
     return out
 
 

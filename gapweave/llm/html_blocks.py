@@ -14,15 +14,15 @@ import html as entities
 import random
 import re
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import query, table
+from .common import append_columns, query, strings, table
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
@@ -97,6 +97,11 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             elif name not in VOID:
                 stack.append((name, (name,)))
             continue
+        if unread and name not in HEAD and any(open_ == "head" for open_, _ in stack):
+            close(("head",))
+            unread = sum(1 for open_, _ in stack if open_ in UNREAD)
+        if unread and name not in UNREAD:
+            continue
         if name not in UNREAD:
             flush()
         if closing:
@@ -108,8 +113,6 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         else:
             if name not in UNREAD and any(open_ == "p" for open_, _ in stack):
                 close(("p",))
-            if name not in HEAD and any(open_ == "head" for open_, _ in stack):
-                close(("head",))
             if name in CLOSES:
                 close(CLOSES[name])
             if name in RAW and not (m[3] or m[6] or "").rstrip().endswith("/"):
@@ -390,9 +393,6 @@ def extract_main(
         drawn = pages.filter(F.col(html).isNotNull()).select(F.xxhash64(page_id).alias("h"), F.substring(html, 1, sample_chars).alias("p"))
         model = train_labeller([r.p for r in drawn.orderBy("h", "p").limit(sample_pages).collect()])
     shared = pages.sparkSession.sparkContext.broadcast(model)
-    kept = [f for f in pages.schema.fields if f.name not in ("text", "n_chars", "n_blocks")]
-    schema = T.StructType(kept + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_blocks", T.LongType())])
-
     def texts_of(batch: list[list], encoder: Encoder, model: Labeller) -> list[str]:
         lengths = np.array([len(b) for b in batch])
         full = [b for b in batch if b]
@@ -405,23 +405,24 @@ def extract_main(
             at += len(b)
         return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         model, encoder = shared.value, Encoder()
-        for pdf in batches:
+
+        def compute(page_batch: pa.RecordBatch) -> list[pa.Array]:
             texts, counts, batch, chars = [], [], [], 0
-            for page in pdf[html]:
-                batch.append(leaf_blocks(page) if page else [])
+            for page in strings(page_batch, html):
+                batch.append(leaf_blocks(page))
                 counts.append(len(batch[-1]))
-                chars += len(page or "")
+                chars += len(page)
                 if chars >= batch_chars:
                     texts += texts_of(batch, encoder, model)
                     batch, chars = [], 0
             texts += texts_of(batch, encoder, model)
-            out = pdf.copy(deep=False)
-            out["text"], out["n_chars"], out["n_blocks"] = texts, [len(t) for t in texts], counts
-            yield out
+            return [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(counts, pa.int64())]
+
+        return compute
 
-    return pages.select(*[f"`{f.name}`" for f in kept]).mapInPandas(run, schema)
+    return append_columns(pages, [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_blocks", T.LongType())], start)
 
 
 @query("op1_html_blocks")

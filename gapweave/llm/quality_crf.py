@@ -8,14 +8,15 @@ good; the length-weighted mean of these, put on a logistic scale, is the documen
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import query, table
+from .common import append_columns, query, strings, table
 
 #: character classes: letters, capitals, digits, sentence marks, bang, bar, other signs, white space
 _LETTER, _UPPER, _DIGIT, _MARK, _BANG, _BAR, _SIGN, _SPACE = range(8)
@@ -190,24 +191,20 @@ def score_quality(docs: DataFrame, model: LineCrf, batch_chars: int = 4_000_000)
     Null text counts as empty: one empty line. Whole texts are read, however long; ``batch_chars`` bounds how many texts are
     worked on at once. Equal texts get equal scores. No shuffle; rows keep their partition.
     """
-    kept = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         model = shared.value
-        for pdf in batches:
-            texts = ["" if t is None else t for t in pdf["text"]]
+
+        def compute(batch: pa.RecordBatch) -> list[pa.Array]:
+            texts = strings(batch, "text")
             edges = np.cumsum([len(t) for t in texts]) // batch_chars
-            parts = [model.scores(texts[a:b]) for a, b in _runs(edges)]
-            out = pdf.copy(deep=False)
-            out["score"] = np.concatenate(parts) if parts else np.zeros(0)
-            out["predicted"] = (out["score"] >= 0.5).astype("int32")
-            yield out
+            score = np.concatenate([np.zeros(0), *[model.scores(texts[a:b]) for a, b in _runs(edges)]])
+            return [pa.array(score, pa.float64()), pa.array(score >= 0.5).cast(pa.int32())]
 
-    from pyspark.sql import types as T
+        return compute
 
-    schema = T.StructType(kept + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.select(*[f"`{f.name}`" for f in kept]).mapInPandas(run, schema)
+    return append_columns(docs, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], start)
 
 
 def _runs(values: np.ndarray) -> list[tuple[int, int]]:
