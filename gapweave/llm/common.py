@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -66,3 +67,13 @@ def append_columns(df: DataFrame, fields: Sequence[T.StructField], start: Callab
 def strings(batch: pa.RecordBatch, column: str) -> list[str]:
     """The values of a text column, nulls as empty."""
     return [t or "" for t in batch.column(column).to_pylist()]
+
+
+def in_task(spark: SparkSession, work: Callable[[], object]):
+    """The result of ``work()``, run in one task: training on a bounded sample stays off the driver, on one core."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(work())], pa.binary())], names=["made"])
+
+    return pickle.loads(spark.range(0, 1, 1, 1).mapInArrow(run, "made binary").first()["made"])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, query, strings, table
+from .common import append_columns, in_task, query, strings, table
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
@@ -391,7 +391,8 @@ def extract_main(
     """
     if model is None:
         drawn = pages.filter(F.col(html).isNotNull()).select(F.xxhash64(page_id).alias("h"), F.substring(html, 1, sample_chars).alias("p"))
-        model = train_labeller([r.p for r in drawn.orderBy("h", "p").limit(sample_pages).collect()])
+        sample = [r.p for r in drawn.orderBy("h", "p").limit(sample_pages).collect()]
+        model = in_task(pages.sparkSession, lambda: train_labeller(sample))
     shared = pages.sparkSession.sparkContext.broadcast(model)
     def texts_of(batch: list[list], encoder: Encoder, model: Labeller) -> list[str]:
         lengths = np.array([len(b) for b in batch])

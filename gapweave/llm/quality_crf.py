@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, query, strings, table
+from .common import append_columns, in_task, query, strings, table
 
 #: character classes: letters, capitals, digits, sentence marks, bang, bar, other signs, white space
 _LETTER, _UPPER, _DIGIT, _MARK, _BANG, _BAR, _SIGN, _SPACE = range(8)
@@ -182,7 +182,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1000, chars
     if len(set(y.tolist())) < 2:
         width = N_FEATURES
         return LineCrf(np.zeros(width), np.ones(width), np.zeros(width + 1), np.zeros((2, 2)), 0.0, 0.0 if not len(y) else 5.0 if y[0] else -5.0)
-    return train([r[2] for r in rows], y)
+    texts = [r[2] for r in rows]
+    return in_task(docs.sparkSession, lambda: train(texts, y))
 
 
 def score_quality(docs: DataFrame, model: LineCrf, batch_chars: int = 4_000_000) -> DataFrame:
