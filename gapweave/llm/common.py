@@ -36,6 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def cols(names: Sequence[str]) -> list[Column]:
+    """Columns by their plain names, dots and all."""
+    return [F.col(f"`{n}`") for n in names]
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only. ``lower`` is the faster form and equal where all characters are ASCII."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, query, table
+from .common import WORD, cols, query, table
 
 #: From equal weights to 9:3:1; the integrals are 5, 2 and 1.
 KNOTS = ((0.0, (1.0, 1.0, 1.0)), (1.0, (9.0, 3.0, 1.0)))
@@ -80,11 +80,12 @@ def curriculum_mix(
     a source's sum is its rounded target and no document exceeds ``cap`` rounded up passes. ``passes`` lists
     (pass, words, position) of the passes that take words; ``position`` is that of the first pass, above 1
     if the document is not reached. Rows that repeat an id share an order key and are told apart by
-    text; equal rows are interchangeable. An empty table gives no rows; ``carry`` names columns to keep.
+    text; equal rows are interchangeable. An empty table gives no rows; ``carry`` names
+    columns to keep, as the fields of one more column ``carried``.
     """
     key = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
     rows = docs.select(
-        *[F.col(c).alias(f"__c_{c}") for c in carry], F.col(doc_id).alias("doc_id"),
+        *([F.struct(*cols(carry)).alias("carried")] if carry else []), F.col(doc_id).alias("doc_id"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
         F.when(F.col(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source))).alias("__s"),
         key.alias("__h"), F.substring(key, 1, CELL_DIGITS).alias("__cell"), F.xxhash64(F.col(text)).alias("__t"))
@@ -114,7 +115,7 @@ def curriculum_mix(
         "doc_id", "size", "source_size", "target",
         F.aggregate("tries", F.lit(0).cast("bigint"), lambda sum_, p: sum_ + p["words"]).alias("taken"),
         F.get("tries", F.lit(0))["position"].alias("position"), F.filter("tries", lambda p: p["words"] > 0).alias("passes"),
-        *[F.col(f"__c_{c}").alias(c) for c in carry if c != doc_id])
+        *(["carried"] if carry else []))
 
 
 def training_order(mix: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, hash_pair, lower_ascii, query, table
+from .common import BLANKS, cols, hash_pair, lower_ascii, query, table
 
 
 def _lines(text: Column) -> Column:
@@ -48,7 +48,7 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
     lost = hits.groupBy("__k1", "__k2").agg(F.sort_array(F.collect_set("pos")).alias("__lost"))
 
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    whole = docs.select(*kept_columns, k1.alias("__k1"), k2.alias("__k2")).join(lost, ["__k1", "__k2"], "left")
+    whole = docs.select(*cols(kept_columns), k1.alias("__k1"), k2.alias("__k2")).join(lost, ["__k1", "__k2"], "left")
     n_lost = F.coalesce(F.size("__lost"), F.lit(0))
 
     def kept(lines: Column) -> Column:
@@ -64,7 +64,7 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_
     whole = whole.withColumn("__r", F.get(bound, F.lit(0)))
     new_text = F.coalesce(F.col("__r.t"), F.col(text), F.lit(""))
     return whole.select(
-        *[new_text.alias(c) if c == text else F.col(c) for c in kept_columns],
+        *[new_text.alias(c) if c == text else col for c, col in zip(kept_columns, cols(kept_columns))],
         F.col("__r.n").cast("bigint").alias("n_lines"), n_lost.cast("bigint").alias("n_dropped"),
     )
 

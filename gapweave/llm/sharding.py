@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, hash_pair, query, table
+from .common import WORD, cols, hash_pair, query, table
 
+RESULT = ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 DIMENSIONS = ("bytes", "tokens", "n_rows")
 
 
@@ -48,14 +49,16 @@ def vector_shards(
     others are dealt by hash into lots of about ``lot_groups``, each placed in one task within its part of the
     capacity that the large ones left, largest group first. ``law`` is ``bytes``: sizes come out near equal, as do
     tokens and rows. Slots number a shard from 0 in cells of about ``cell_rows``. Repeated rows are rows
-    of one group; an empty table gives no rows. ``carry`` names further columns to keep; their names must differ from the above.
+    of one group; an empty table gives no rows. ``carry`` names further columns to keep; those named like a
+    column of the result are replaced by it.
     """
+    kept = [c for c in carry if c not in RESULT]
     body = F.coalesce(F.col(text), F.lit(""))
     g1, g2 = hash_pair(body)
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 8).cast("bigint").alias("size"),
         F.regexp_count(body, F.lit(WORD)).cast("bigint").alias("tokens"), F.crc32(body.cast("binary")).alias("text_crc32"), g1.alias("g1"), g2.alias("g2"),
-        *[F.col(c).alias(f"c_{c}") for c in carry if c != doc_id])
+        *([F.struct(*cols(kept)).alias("carried")] if kept else []))
     sums = [F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("n_rows")]
     groups = rows.groupBy("g1", "g2").agg(*sums)
 
@@ -101,7 +104,7 @@ def vector_shards(
     numbered = placed.withColumn("n", F.row_number().over(within)).join(offsets, ["shard", "cell"])
     return numbered.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("offset") + F.col("n") - 1).cast("bigint").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"), *[F.col(f"c_{c}").alias(c) for c in carry if c != doc_id])
+        F.lit(None).cast("int").alias("grown_shard"), *(["carried.*"] if kept else []))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
