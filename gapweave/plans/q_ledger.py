@@ -250,7 +250,7 @@ def half_spread_cost(spark, d):
 
 @query("ledger_history", "SELECT ledger_id, run_id, side, instrument FROM fills WHERE run_id = 'r3' ORDER BY ledger_id DESC LIMIT 1000")
 def ledger_history(spark, d):
-    return L.ledger_history(raw_fills(spark, d), "r3", 5000).select("ledger_id", "run_id", "side", "instrument")
+    return L.ledger_history(raw_fills(spark, d), "r3", 1000).select("ledger_id", "run_id", "side", "instrument")
 
 
 _MARK_AT = 1_000_000_000_000
@@ -263,14 +263,15 @@ view("marks", f"SELECT 'i' || (p_partkey % 50) AS instrument, p_partkey AS mark_
   count(*) FILTER (WHERE side = 'SELL' AND realized_pnl > 0) AS winners, sum(CASE WHEN realized_pnl > 0 THEN realized_pnl ELSE 0 END) AS gp, -sum(CASE WHEN realized_pnl < 0 THEN realized_pnl ELSE 0 END) AS gl FROM trips GROUP BY run_id) f
  JOIN (SELECT run_id, sum(q * multiplier * m.bid) AS mv, count(*) AS open_positions, count(*) FILTER (WHERE {_MARK_AT} - m.mark_ms > 45000) AS stale_marks FROM (
    SELECT run_id, instrument, any_value(multiplier) AS multiplier, sum(CASE side WHEN 'BUY' THEN quantity ELSE -quantity END) AS q FROM trips GROUP BY ALL HAVING q > 1e-9) p
-  JOIN (SELECT * FROM marks QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY mark_ms DESC, mark_id DESC) = 1) m USING (instrument) GROUP BY run_id) v USING (run_id)""")
+  JOIN (SELECT * FROM marks QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY mark_ms DESC, mark_id DESC) = 1) m USING (instrument) GROUP BY run_id) v USING (run_id)
+ UNION ALL SELECT 'r-new', 100000.0, 0.0, 0, 0, 0, 0.0, 100000.0, 0, 0, NULL, NULL""")
 def wallet_metrics(spark, d):
     t = round_trips(spark, d)
     k = Window.partitionBy("run_id", "instrument").orderBy("ledger_id")
     t = t.withColumn("cost_delta", F.when(F.col("side") == "BUY", F.col("total_debit")).otherwise(-F.lag("total_debit").over(k)))
     marks = table(spark, d, "part").select(F.concat(F.lit("i"), F.col("p_partkey") % 50).alias("instrument"), F.col("p_partkey").alias("mark_id"),
                                            (F.lit(_MARK_AT) - F.col("p_size").cast("bigint") * 2000).alias("mark_ms"), F.col("p_retailprice").alias("bid"))
-    m = L.wallet_metrics(t, marks, _MARK_AT)
+    m = L.wallet_metrics(t, marks, _MARK_AT, runs=t.select("run_id").union(spark.range(1).select(F.lit("r-new"))))
     return m.select("run_id", *[r6(F.col(c), 0).alias(c) for c in ("cash", "realized_pnl", "market_value", "equity")], "trades", "closed_positions", "winners",
                     "open_positions", "stale_marks", r6(F.col("win_rate")).alias("win_rate"), r6(F.col("profit_factor"), 5).alias("profit_factor"))
 
@@ -294,23 +295,27 @@ def runs(spark, d):
 
 view("curve", f"""
 SELECT run_id, arg_max(timestamp_ms, id) AS timestamp_ms, arg_max(equity, id) AS equity FROM (SELECT p.*, timestamp_ms // greatest(1, ({_EQ_AT} - opened_at) // 480) AS bucket FROM points p JOIN runs USING (run_id)
-  WHERE timestamp_ms BETWEEN opened_at AND {_EQ_AT}) GROUP BY run_id, bucket UNION ALL SELECT run_id, opened_at, starting_balance FROM runs""")
+  WHERE timestamp_ms BETWEEN opened_at AND {_EQ_AT}) GROUP BY run_id, bucket UNION ALL SELECT run_id, opened_at, starting_balance FROM runs UNION ALL SELECT run_id, {_EQ_AT}, starting_balance * 1.5 FROM runs WHERE run_id > 'r4'""")
+
+
+def live_equity(spark, d):
+    return runs(spark, d).filter("run_id > 'r4'").select("run_id", (F.col("starting_balance") * 1.5).alias("equity"))
 
 
 @query("equity_curve", "SELECT run_id, timestamp_ms, round(equity, 2) + 0.0 AS equity FROM curve")
 def equity_curve(spark, d):
-    return L.equity_curve(equity_points(spark, d), runs(spark, d), _EQ_AT).withColumn("equity", r6(F.col("equity"), 2))
+    return L.equity_curve(equity_points(spark, d), runs(spark, d), _EQ_AT, live=live_equity(spark, d)).withColumn("equity", r6(F.col("equity"), 2))
 
 
 @query("return_curve", "SELECT run_id, timestamp_ms, round((c.equity / starting_balance - 1) * 100, 5) + 0.0 AS return_pct FROM curve c JOIN runs USING (run_id)")
 def return_curve(spark, d):
     r = runs(spark, d)
-    return L.return_curve(L.equity_curve(equity_points(spark, d), r, _EQ_AT), r).select("run_id", "timestamp_ms", r6(F.col("return_pct"), 5).alias("return_pct"))
+    return L.return_curve(L.equity_curve(equity_points(spark, d), r, _EQ_AT, live=live_equity(spark, d)), r).select("run_id", "timestamp_ms", r6(F.col("return_pct"), 5).alias("return_pct"))
 
 
 @query("curve_at", "SELECT run_id, max(timestamp_ms) AS timestamp_ms FROM curve WHERE timestamp_ms <= 900000000000 GROUP BY run_id")
 def curve_at(spark, d):
-    return L.curve_at(L.equity_curve(equity_points(spark, d), runs(spark, d), _EQ_AT), 900_000_000_000).select("run_id", "timestamp_ms")
+    return L.curve_at(L.equity_curve(equity_points(spark, d), runs(spark, d), _EQ_AT, live=live_equity(spark, d)), 900_000_000_000).select("run_id", "timestamp_ms")
 
 
 @query("drawdown", """SELECT id, run_id, round(peak, 2) + 0.0 AS peak, round((peak - equity) / peak, 6) + 0.0 AS drawdown,
@@ -347,7 +352,7 @@ def executable_quotes(spark, d):
 
 
 view("listed", """SELECT p_brand AS asset, 'o' || p_partkey AS instrument, 100 + CAST(p_size % 5 AS BIGINT) AS expiry, p_retailprice AS contract_strike, p_size / CAST(2 AS DOUBLE) AS bid, p_size / CAST(2 AS DOUBLE) * 1.02 AS ask,
-  CASE WHEN p_size % 2 = 0 THEN 100 ELSE 1 END AS multiplier FROM part""")
+  CASE WHEN p_size % 2 = 0 THEN 100 ELSE 1 END AS multiplier, CASE WHEN p_partkey % 4 = 0 THEN 'put' ELSE 'call' END AS option_type, CASE WHEN p_partkey % 13 = 0 THEN 'SESSION_CLOSED' END AS reject_reason, p_partkey % 11 = 0 AS crossed FROM part""")
 view("wanted_all", "SELECT 'Brand#' || (n_nationkey + 1) AS asset, CAST(100 + n_regionkey % 4 AS BIGINT) AS cutoff, 910.0 + n_nationkey * 3 AS strike FROM nation")
 view("nearby", """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asset, expiry ORDER BY abs(contract_strike - strike), instrument) AS strike_rank FROM (
@@ -371,7 +376,12 @@ def nearby_instruments(spark, d):
     return L.nearby_instruments(*_listing(spark, d), ["asset"]).select("asset", "instrument", "expiry", "expiry_rank", "strike_rank")
 
 
-view("expr_q", "SELECT *, least(10000, floor(5000 / (ask * multiplier * 1.01 + 0.65))) AS quantity FROM nearby WHERE strike_rank <= 5 AND bid > 0 AND (ask - bid) / ask <= 0.06")
+view("quoted", "SELECT l.* REPLACE (CASE WHEN crossed THEN ask - 1 - bid ELSE ask END AS ask) FROM listed l")
+view("expr_near", """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY asset, expiry ORDER BY abs(contract_strike - strike), instrument) AS strike_rank FROM (
+ SELECT *, dense_rank() OVER (PARTITION BY asset ORDER BY expiry) AS expiry_rank FROM quoted JOIN wanted_all USING (asset) WHERE expiry >= cutoff AND bid <= ask AND ask > 0 AND reject_reason IS NULL
+  AND option_type = CASE WHEN strike < 950 THEN 'call' ELSE 'put' END) WHERE expiry_rank <= 2)""")
+view("expr_q", "SELECT *, least(10000, floor(5000 / (ask * multiplier * 1.01 + 0.65))) AS quantity FROM expr_near WHERE strike_rank <= 5 AND bid > 0 AND (ask - bid) / ask <= 0.06")
 view("expr_cost", """SELECT *, (ask + ask * (10 + 5 * ask * quantity * multiplier / 10000) / 10000) * quantity * multiplier * 1.001 + quantity * 0.65 AS debit,
   (bid - bid * (10 + 5 * bid * quantity * multiplier / 10000) / 10000) * quantity * multiplier * 0.999 - quantity * 0.65 AS credit FROM expr_q WHERE quantity >= 1""")
 
@@ -379,7 +389,13 @@ view("expr_cost", """SELECT *, (ask + ask * (10 + 5 * ask * quantity * multiplie
 @query("cheapest_expression", """SELECT asset, instrument, CAST(quantity AS DOUBLE) AS quantity, round(drag, 6) + 0.0 AS drag FROM (
  SELECT *, row_number() OVER (PARTITION BY asset ORDER BY round(drag, 12), expiry, abs(contract_strike - strike), instrument) AS n FROM (SELECT *, (debit - credit) / debit AS drag FROM expr_cost) WHERE debit <= 5000 AND drag <= 0.05) WHERE n = 1""")
 def cheapest_expression(spark, d):
-    x = L.cheapest_expression(*_listing(spark, d), ["asset"], F.lit(5000.0))
+    contracts, targets = _listing(spark, d)
+    k = F.regexp_extract("instrument", "[0-9]+", 0).cast("int")
+    contracts = contracts.withColumns({
+        "option_type": F.when(k % 4 == 0, "put").otherwise("call"), "reject_reason": F.when(k % 13 == 0, "SESSION_CLOSED"),
+        "ask": F.when(k % 11 == 0, F.col("ask") - 1 - F.col("bid")).otherwise(F.col("ask"))})
+    targets = targets.withColumn("trade_direction", F.when(F.col("strike") < 950, 1).otherwise(-1))
+    x = L.cheapest_expression(contracts, targets, ["asset"], F.lit(5000.0))
     return x.select("asset", "instrument", F.col("quantity").cast("double").alias("quantity"), r6(F.col("drag")).alias("drag"))
 
 
@@ -405,11 +421,11 @@ def order_quote_asof(spark, d):
 
 
 view("held", f"""SELECT o_orderkey AS position_id, 'm' || (o_custkey % 8) AS event_id, {START + 30 * DAY} - (o_custkey % 200) * 30000 AS opened_at, {START + 30 * DAY} + (o_custkey % 90) * 60000 AS expiry,
-  1.0 + o_orderkey % 5 AS quantity, 1000 + o_totalprice / 1000 AS cost_basis, 200.0 + o_custkey % 100 AS bid, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END AS pdir FROM orders""")
+  1.0 + o_orderkey % 5 AS quantity, 1000 + o_totalprice / 1000 AS entry_cost, 200.0 + o_custkey % 100 AS bid, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END AS pdir FROM orders""")
 
 
-@query("exit_signals", f"""SELECT position_id, round(quantity * bid / cost_basis - 1, 6) + 0.0 AS premium_return, CASE WHEN {START + 30 * DAY} - opened_at >= 3600000 THEN 'MAXIMUM_HOLDING_TIME'
-   WHEN h.expiry - {START + 30 * DAY} < 1800000 THEN 'EXIT_BEFORE_EXPIRY' WHEN quantity * bid / cost_basis - 1 <= -0.2 THEN 'PREMIUM_STOP_LOSS' WHEN quantity * bid / cost_basis - 1 >= 0.3 THEN 'PREMIUM_TAKE_PROFIT'
+@query("exit_signals", f"""SELECT position_id, round(quantity * bid / entry_cost - 1, 6) + 0.0 AS premium_return, CASE WHEN {START + 30 * DAY} - opened_at >= 3600000 THEN 'MAXIMUM_HOLDING_TIME'
+   WHEN h.expiry - {START + 30 * DAY} < 1800000 THEN 'EXIT_BEFORE_EXPIRY' WHEN quantity * bid / entry_cost - 1 <= -0.2 THEN 'PREMIUM_STOP_LOSS' WHEN quantity * bid / entry_cost - 1 >= 0.3 THEN 'PREMIUM_TAKE_PROFIT'
    WHEN fresh AND abs(gap_pp) <= 0.2 THEN 'GAP_CONVERGED' WHEN fresh AND gap_pp * pdir < 0 THEN 'DIRECTION_REVERSED' END AS exit_reason
  FROM held h LEFT JOIN (SELECT event_id, gap_pp, gap_pp IS NOT NULL AND {START + 30 * DAY} - now_ms < {60_000 * SCALE} AS fresh FROM obs QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY raw_id DESC) = 1) o USING (event_id)""")
 def exit_signals(spark, d):
@@ -417,17 +433,17 @@ def exit_signals(spark, d):
     k, o = F.col("o_custkey"), F.col("o_orderkey")
     held = table(spark, d, "orders").select(
         o.alias("position_id"), F.concat(F.lit("m"), k % 8).alias("event_id"), (F.lit(now) - k % 200 * 30_000).alias("opened_at"), (F.lit(now) + k % 90 * 60_000).alias("expiry"),
-        (o % 5 + 1.0).alias("quantity"), F.lit(1).alias("multiplier"), (F.col("o_totalprice") / 1000 + 1000).alias("cost_basis"), (k % 100 + 200.0).alias("bid"),
+        (o % 5 + 1.0).alias("quantity"), F.lit(1).alias("multiplier"), (F.col("o_totalprice") / 1000 + 1000).alias("entry_cost"), (k % 100 + 200.0).alias("bid"),
         F.when(o % 2 == 0, 1).otherwise(-1).alias("position_direction"))
     latest = history.latest_by(observations(spark, d), ["event_id"]).withColumn("direction", F.lit("up"))
     x = L.exit_signals(held, latest, now, PolicyConfig(fresh_row_ms=60_000 * SCALE))
     return x.select("position_id", r6(F.col("premium_return")).alias("premium_return"), "exit_reason")
 
 
-@query("risk_screen", """SELECT o_orderkey, concat_ws(',', CASE WHEN n = 7 THEN 'BANKRUPT' END, CASE WHEN side = 'SELL' AND q > coalesce(hq, 0) + 1e-9 THEN 'NO_SHORTING' END, CASE WHEN side = 'BUY' AND n = 6 THEN 'STALE_MARKS' END,
+@query("risk_screen", """SELECT o_orderkey, CASE WHEN n = 5 THEN concat_ws(',', 'UNKNOWN_RUN', CASE WHEN side = 'SELL' AND q > coalesce(hq, 0) + 1e-9 THEN 'NO_SHORTING' END) ELSE concat_ws(',', CASE WHEN n = 7 THEN 'BANKRUPT' END, CASE WHEN side = 'SELL' AND q > coalesce(hq, 0) + 1e-9 THEN 'NO_SHORTING' END, CASE WHEN side = 'BUY' AND n = 6 THEN 'STALE_MARKS' END,
   CASE WHEN side = 'BUY' AND n / CAST(20 AS DOUBLE) >= 0.25 THEN 'DRAWDOWN_LIMIT' END, CASE WHEN side = 'BUY' AND eq < 2000000 * 0.9 THEN 'DAILY_LOSS_LIMIT' END, CASE WHEN side = 'BUY' AND debit > 100000 * (n + 1) THEN 'INSUFFICIENT_CASH' END,
   CASE WHEN side = 'BUY' AND debit > eq * 0.1 THEN 'TRADE_PERCENTAGE' END, CASE WHEN side = 'BUY' AND coalesce(hv, 0) + debit > eq * 0.25 THEN 'POSITION_PERCENTAGE' END, CASE WHEN side = 'BUY' AND 500000 + debit > eq THEN 'GROSS_EXPOSURE' END,
-  CASE WHEN side = 'BUY' AND hq IS NULL AND n + 5 >= 10 THEN 'CONCURRENT_POSITIONS' END) AS reasons FROM (
+  CASE WHEN side = 'BUY' AND hq IS NULL AND n + 5 >= 10 THEN 'CONCURRENT_POSITIONS' END) END AS reasons FROM (
  SELECT o_orderkey, o_custkey % 8 AS n, CASE WHEN o_orderkey % 3 > 0 THEN 'BUY' ELSE 'SELL' END AS side, CAST(o_orderkey % 50 AS DOUBLE) AS q, o_totalprice AS debit, CASE WHEN o_orderkey % 4 > 0 THEN CAST(o_orderkey % 40 AS DOUBLE) END AS hq,
   CASE WHEN o_orderkey % 4 > 0 THEN o_totalprice / 2 END AS hv, 600000.0 + 250000 * (o_custkey % 8) AS eq FROM orders)""")
 def risk_screen(spark, d):
@@ -436,18 +452,18 @@ def risk_screen(spark, d):
         "o_orderkey", k.alias("run_id"), F.when(o % 3 > 0, "BUY").otherwise("SELL").alias("side"), (o % 50).cast("double").alias("quantity"), F.col("o_totalprice").alias("total_debit"),
         F.when(o % 4 > 0, (o % 40).cast("double")).alias("held_quantity"), F.when(o % 4 > 0, F.col("o_totalprice") / 2).alias("held_value"))
     n = F.col("run_id")
-    metrics = orders.select("run_id").distinct().select(
+    metrics = orders.select("run_id").distinct().filter("run_id <> 5").select(
         "run_id", (n == 7).alias("bankrupt"), F.when(n == 6, 1).otherwise(0).alias("stale_marks"), (n / F.lit(20.0)).alias("max_drawdown"), F.lit(2_000_000.0).alias("day_open_equity"),
         (n * 250_000 + 600_000.0).alias("equity"), ((n + 1) * 100_000.0).alias("cash"), F.lit(500_000.0).alias("market_value"), (n + 5).alias("open_positions"))
     return L.risk_screen(orders, metrics).select("o_orderkey", F.concat_ws(",", "reasons").alias("reasons"))
 
 
-view("options_held", f"""SELECT c_custkey AS position_id, 'm' || (c_custkey % 8) AS asset, {START} + (c_custkey * 104729 % 2592) * 1000000 AS expiry, 50.0 + c_custkey % 100 AS strike, CASE WHEN c_custkey % 2 = 0 THEN 'put' ELSE 'call' END AS option_type, 1.0 + c_custkey % 3 AS quantity, c_acctbal AS cost_basis FROM customer""")
+view("options_held", f"""SELECT c_custkey AS position_id, 'm' || (c_custkey % 8) AS asset, {START} + (c_custkey * 104729 % 2592) * 1000000 AS expiry, 50.0 + c_custkey % 100 AS strike, CASE WHEN c_custkey % 2 = 0 THEN 'put' ELSE 'call' END AS option_type, 1.0 + c_custkey % 3 AS quantity, c_acctbal AS entry_cost FROM customer""")
 view("prints", "SELECT market AS asset, id AS raw_id, received_ms, value AS price FROM ticks WHERE kind = 'spot'")
 
 
 @query("settlement_value", f"""SELECT position_id, ref AS reference_raw_id, CASE WHEN price IS NOT NULL THEN round(greatest(0, CASE option_type WHEN 'put' THEN strike - price ELSE price - strike END) * quantity * 100, 4) + 0.0 END AS payout,
-  CASE WHEN price IS NOT NULL THEN round(greatest(0, CASE option_type WHEN 'put' THEN strike - price ELSE price - strike END) * quantity * 100 - cost_basis, 4) + 0.0 END AS realized_pnl FROM (
+  CASE WHEN price IS NOT NULL THEN round(greatest(0, CASE option_type WHEN 'put' THEN strike - price ELSE price - strike END) * quantity * 100 - entry_cost, 4) + 0.0 END AS realized_pnl FROM (
  SELECT h.*, CASE WHEN f.raw_id IS NOT NULL AND (b.raw_id IS NULL OR f.received_ms - h.expiry < h.expiry - b.received_ms) THEN f.raw_id ELSE b.raw_id END AS ref,
    CASE WHEN f.raw_id IS NOT NULL AND (b.raw_id IS NULL OR f.received_ms - h.expiry < h.expiry - b.received_ms) THEN f.price ELSE b.price END AS price
  FROM options_held h LEFT JOIN (SELECT position_id, p.* FROM options_held h ASOF JOIN prints p ON h.asset = p.asset AND h.expiry >= p.received_ms WHERE h.expiry - p.received_ms <= {60_000 * SCALE}) b USING (position_id)
@@ -456,7 +472,7 @@ def settlement_value(spark, d):
     k, t = F.col("c_custkey"), ticks(spark, d)
     positions = table(spark, d, "customer").select(
         k.alias("position_id"), F.concat(F.lit("m"), k % 8).alias("asset"), (F.lit(START) + (k * 104729 % 2592) * 1_000_000).alias("expiry"), (k % 100 + 50.0).alias("strike"),
-        F.when(k % 2 == 0, "put").otherwise("call").alias("option_type"), (k % 3 + 1.0).alias("quantity"), F.lit(100).alias("multiplier"), F.col("c_acctbal").alias("cost_basis"),
+        F.when(k % 2 == 0, "put").otherwise("call").alias("option_type"), (k % 3 + 1.0).alias("quantity"), F.lit(100).alias("multiplier"), F.col("c_acctbal").alias("entry_cost"),
         F.lit("option").alias("kind"))
     prints = t.filter("kind = 'spot'").select(F.col("market").alias("asset"), F.col("id").alias("raw_id"), "received_ms", F.col("value").alias("price"))
     x = L.settlement_value(positions, prints, START + 31 * DAY, 60_000 * SCALE, 10 * DAY)
