@@ -208,12 +208,22 @@ def asof_grid(obs: DataFrame, now_ms: int, config: Config = Config(), points: in
         F.col("__broken").isNull() | (F.col("timestamp") > F.col("__broken"))).drop("__broken", "valid")
 
 
+def usable_anchors(obs: DataFrame, now_ms: int, span_s: float, config: Config = Config()) -> DataFrame:
+    """Rows with a usable spot among the per-second anchors of the last ``span_s`` seconds, of each event's current mapping.
+
+    The anchor of a second is chosen before its usability is looked at: a second that ends in an unusable row has none.
+    """
+    current = obs.filter(F.col("now_ms") <= now_ms).groupBy("event_id").agg(F.max_by("mapping_hash", "raw_id").alias("__mapping"))
+    begin = (now_ms - config.ms(span_s)) // config.ms(1) * config.ms(1)
+    anchors = second_anchors(obs.filter(F.col("now_ms").between(begin, now_ms)), config).filter("is_anchor").drop("is_anchor")
+    rows = anchors.join(current, "event_id").filter(F.col("mapping_hash").eqNullSafe(F.col("__mapping"))).drop("__mapping")
+    return rows.filter((F.col("now_ms") >= now_ms - config.ms(span_s)) & F.col("source_state").isin("OK", "PROXY") & (F.col("spot") > 0))
+
+
 def asof_returns(obs: DataFrame, now_ms: int, seconds: tuple[int, ...], tolerance_s: int,
                  config: Config = Config()) -> DataFrame:
-    """Spot returns per event over several look-backs, from usable rows at ``now_ms``."""
-    usable = obs.filter(
-        F.col("now_ms").between(now_ms - config.ms(max(seconds) + tolerance_s), now_ms)
-        & F.col("source_state").isin("OK", "PROXY") & (F.col("spot") > 0))
+    """Spot returns per event over several look-backs, from the usable anchors of its current mapping at ``now_ms``."""
+    usable = usable_anchors(obs, now_ms, max(seconds) + tolerance_s, config)
     at = lambda s: F.max_by(
         F.struct("now_ms", "spot"),
         F.when(F.col("now_ms") <= now_ms - config.ms(s), F.struct("now_ms", "raw_id")))

@@ -16,7 +16,9 @@ def history(
     obs: DataFrame, event_id: str | None = None, start: int = 0, end: int | None = None, limit: int = 500,
     after: int | None = None, before: int | None = None, tail: bool = False, id_col: str = "raw_id", time: str = "now_ms",
 ) -> DataFrame:
-    """One keyset page in id order; ``tail`` takes the newest rows of the range."""
+    """One keyset page of at most ``MAX_PAGE`` rows in id order; ``tail`` takes the newest rows of the range."""
+    if not 0 <= limit <= MAX_PAGE:
+        raise ValueError(f"limit must be within 0..{MAX_PAGE}; read on with after or before")
     df = obs.filter(F.col(time) >= start)
     if event_id is not None:
         df = df.filter(F.col("event_id") == event_id)
@@ -26,10 +28,9 @@ def history(
         df = df.filter(F.col(id_col) > after)
     if before is not None:
         df = df.filter(F.col(id_col) < before)
-    page = max(0, min(limit, MAX_PAGE))
     if not tail:
-        return df.orderBy(id_col, "event_id").limit(page)
-    return df.orderBy(F.col(id_col).desc(), F.col("event_id").desc()).limit(page).orderBy(id_col, "event_id")
+        return df.orderBy(id_col, "event_id").limit(limit)
+    return df.orderBy(F.col(id_col).desc(), F.col("event_id").desc()).limit(limit).orderBy(id_col, "event_id")
 
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: str = "raw_id") -> DataFrame:
@@ -56,20 +57,24 @@ def episode_slice(obs: DataFrame, episode: DataFrame) -> DataFrame:
     return obs.join(span, "event_id").filter(F.col("now_ms").between(F.col("__from"), F.col("__to"))).drop("__from", "__to")
 
 
-def verify_recompute(stored: DataFrame, recomputed: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+def verify_recompute(stored: DataFrame, recomputed: DataFrame, keys: Sequence[str], columns: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
     """Each stored row against its recomputation, with the names of differing fields.
 
-    Rows present on one side only differ in ``missing_stored`` or ``missing_recomputed``.
+    Rows present on one side only differ in ``missing_stored`` or ``missing_recomputed``. Map columns are equal when their
+    entries are. ``carry`` names columns to keep of the stored row, else of the recomputed one.
     """
     keys = list(keys)
-    # A hash-partitioned full join; map columns are compared by their entries.
-    s = stored.select(*keys, F.struct(*columns).alias("s"))
-    r = recomputed.select(*keys, F.struct(*columns).alias("r"))
-    both = s.join(r, keys, "full")
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        plain = [F.array_sort(F.map_entries(c)).alias(c) if dict(df.dtypes)[c].startswith("map") else F.col(c) for c in columns]
+        return df.select(*keys, F.struct(*plain).alias(name), F.struct(F.lit(1).alias("__one"), *carry).alias(f"{name}_carry"))
+
+    # A hash-partitioned full join.
+    both = side(stored, "s").join(side(recomputed, "r"), keys, "full")
     differs = F.array_compact(F.array(*[F.when(~F.col(f"s.{c}").eqNullSafe(F.col(f"r.{c}")), F.lit(c)) for c in columns]))
     fields = (F.when(F.col("s").isNull(), F.array(F.lit("missing_stored"))).when(F.col("r").isNull(), F.array(F.lit("missing_recomputed")))
               .otherwise(differs))
-    return both.select(*keys, fields.alias("fields"))
+    return both.select(*keys, *[F.coalesce(f"s_carry.{c}", f"r_carry.{c}").alias(c) for c in carry], fields.alias("fields"))
 
 
 def verification_report(compared: DataFrame, by: Column) -> DataFrame:

@@ -51,11 +51,39 @@ def spot_state(ticks: DataFrame, tolerance_ms: int = 5_000, slice_rows: int = 1_
 
 
 def surface_snapshots(chain: DataFrame) -> DataFrame:
-    """One row per (asset, expiry, packet) of exploded contracts."""
-    return chain.groupBy("asset", "expiry", F.col("id").alias("raw_id")).agg(
-        F.first("venue").alias("venue"), F.first("received_ms").alias("received_ms"), F.first("source_ms").alias("source_ms"),
-        F.count("*").alias("contracts"),
-        F.min_by("forward", F.when(F.col("forward") != 0, F.col("pos"))).alias("forward"))
+    """One row per (asset, expiry, packet) of exploded contracts, of either kind of chain.
+
+    A surface has the source time of its packet, else its receipt time. Only calls count as its contracts; an expiry of a
+    summary without calls is no surface, one of an equity chain is.
+    """
+    from_chain = "market_state" in chain.columns
+    call = F.col("option_type") == "call"
+    forward = F.col("forward") if "forward" in chain.columns else F.lit(None).cast("double")
+    rows = chain if from_chain else chain.filter(call)
+    return rows.withColumn("__f", forward).groupBy("asset", "expiry", F.col("id").alias("raw_id")).agg(
+        F.min("venue").alias("venue"), F.min("received_ms").alias("received_ms"),
+        F.min(F.coalesce("packet_source_ms", "received_ms")).alias("source_ms"),
+        F.sum(F.when(call, 1).otherwise(0)).cast("bigint").alias("contracts"),
+        F.min_by("__f", F.when(call & (F.col("__f") != 0), F.col("pos"))).alias("forward"),
+        *([F.min("market_state").alias("market_state")] if from_chain else []))
+
+
+def accepted_chains(packets: DataFrame, tolerance_ms: int = 5_000, slice_rows: int = 1_000_000) -> DataFrame:
+    """The option packets (id, subject, received_ms, source_ms, ...) that may change surfaces.
+
+    Per asset, by their own source times against receipt; packets without one are accepted.
+    """
+    judged = accept_newer(packets, ["subject"], tolerance_ms=tolerance_ms, slice_rows=slice_rows)
+    return judged.filter("verdict = 'ACCEPTED'").drop("verdict")
+
+
+def chain_spots(chain: DataFrame) -> DataFrame:
+    """The spot that an equity-chain packet carries, in the shape of ``spot_state``; it passes no further acceptance."""
+    return chain.filter(F.col("spot").isNotNull()).groupBy("asset", F.col("id").alias("raw_id")).agg(
+        F.min("spot").alias("price"), F.min("received_ms").alias("received_ms"), F.min("spot_source_ms").alias("__s"),
+        F.min("venue").alias("venue"), F.min("market_state").alias("market_state")).select(
+        "asset", "raw_id", "price", "received_ms", F.coalesce(F.nullif("__s", F.lit(0)), "received_ms").alias("source_ms"), "venue",
+        F.when(F.coalesce("__s", F.lit(0)) != 0, "source").otherwise("retrieval_unknown_delay").alias("timestamp_origin"), "market_state")
 
 
 def surface_state(snapshots: DataFrame, at_ms: int | None = None) -> DataFrame:

@@ -94,7 +94,8 @@ def surface_rows(snapshots: DataFrame, contracts: DataFrame, events: DataFrame)
     rows = trigger_fanout(per_packet.withColumn("kind", F.lit("options")).withColumnRenamed("asset", "subject"), events)
     covering = F.filter("__all", lambda s: s["expiry"] >= F.col("expiry"))
     rows = rows.withColumn("__s", F.get(covering, F.lit(0))).withColumn("__expiry", F.col("__s.expiry"))
-    listed = contracts.select(F.col("id").alias("raw_id"), F.col("expiry").alias("__expiry"), "pos", "strike", "bid", "ask", "mark", "iv")
+    calls = contracts.filter("option_type = 'call'") if "option_type" in contracts.columns else contracts
+    listed = calls.select(F.col("id").alias("raw_id"), F.col("expiry").alias("__expiry"), "pos", "strike", "bid", "ask", "mark", "iv")
     uncovered = rows.filter(F.col("__expiry").isNull())
     rows = SF.strike_neighborhood(rows.filter(F.col("__expiry").isNotNull()), listed, ["raw_id", "__expiry"])
     surface = F.struct(

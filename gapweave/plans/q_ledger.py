@@ -60,26 +60,29 @@ view("altered", "SELECT *, CASE WHEN trigger_kind = 'pm' AND spot > 150 THEN gap
 
 
 def _compared(spark, d):
-    """Stored observations, some of them altered, against their recomputation."""
-    fresh = observations(spark, d)
+    """Stored observations of two versions, some of them altered, against their recomputation."""
+    fresh = observations(spark, d).withColumns({
+        "version": F.concat(F.lit("1."), F.col("raw_id") % 2, F.lit(".0")), "input_refs": F.create_map(F.lit("pm"), F.col("raw_id"), F.lit("spot"), F.col("raw_id") - 1)})
     wide = lambda kind, level: (F.col("trigger_kind") == kind) & (F.col("spot") > level)
     stored = stage_table(fresh.withColumn("gap_pp", F.when(wide("pm", 150), F.col("gap_pp") + 1).otherwise(F.col("gap_pp"))).withColumn(
-        "source_state", F.when(wide("opt", 180), "OK").otherwise(F.col("source_state"))), "stored")
-    return history.verify_recompute(stored, fresh, ["raw_id", "event_id"], ["source_state", "pm_yes", "opt_yes", "gap_pp", "side"])
+        "source_state", F.when(wide("opt", 180), "OK").otherwise(F.col("source_state"))).withColumn(
+        "input_refs", F.when(F.col("raw_id") % 9 == 0, F.create_map(F.lit("spot"), F.col("raw_id") - 1, F.lit("pm"), F.col("raw_id") + F.when(F.col("raw_id") % 27 == 0, 1).otherwise(0)))
+        .otherwise(F.col("input_refs"))), "stored")
+    return history.verify_recompute(stored, fresh, ["raw_id", "event_id"], ["source_state", "pm_yes", "opt_yes", "gap_pp", "side", "input_refs"], ["version"])
 
 
-_FIELDS = "concat_ws(',', CASE WHEN state2 IS DISTINCT FROM source_state THEN 'source_state' END, CASE WHEN gap2 IS DISTINCT FROM gap_pp THEN 'gap_pp' END)"
+_FIELDS = "concat_ws(',', CASE WHEN state2 IS DISTINCT FROM source_state THEN 'source_state' END, CASE WHEN gap2 IS DISTINCT FROM gap_pp THEN 'gap_pp' END, CASE WHEN raw_id % 27 = 0 THEN 'input_refs' END)"
 
 
-@query("verify_recompute", f"""SELECT '1.0.0' AS version, count(*) AS checked, count(*) FILTER (WHERE {_FIELDS} <> '') AS mismatches,
-  count(*) FILTER (WHERE {_FIELDS} <> '') = 0 AS ok FROM altered""")
+@query("verify_recompute", f"""SELECT '1.' || (raw_id % 2) || '.0' AS version, count(*) AS checked, count(*) FILTER (WHERE {_FIELDS} <> '') AS mismatches,
+  count(*) FILTER (WHERE {_FIELDS} <> '') = 0 AS ok FROM altered GROUP BY 1""")
 def verify_recompute(spark, d):
-    return history.verification_report(_compared(spark, d), F.lit("1.0.0"))
+    return history.verification_report(_compared(spark, d), F.col("version"))
 
 
 @query("first_mismatches", f"SELECT raw_id, event_id, {_FIELDS} AS fields FROM altered WHERE {_FIELDS} <> '' ORDER BY raw_id LIMIT 20")
 def first_mismatches(spark, d):
-    return history.first_mismatches(_compared(spark, d), ["raw_id", "event_id"]).withColumn("fields", F.concat_ws(",", "fields"))
+    return history.first_mismatches(_compared(spark, d), ["raw_id", "event_id"]).withColumn("fields", F.concat_ws(",", "fields")).drop("version")
 
 
 @query("state_snapshot", f"SELECT {_OBS} FROM obs WHERE now_ms <= {START + 12 * DAY} QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY raw_id DESC) = 1")

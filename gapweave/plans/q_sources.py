@@ -516,10 +516,11 @@ FROM part""")
 
 
 def chain_packets(spark, d):
-    """Option-summary packets of 20 instruments, a sixth of them puts."""
+    """Option-summary packets of 20 instruments, a sixth of them puts; one in ten packets has an instrument of an unknown month."""
     k, size = F.col("p_partkey"), F.col("p_size")
     month = F.element_at(F.array(*[F.lit(m) for m in feeds.MONTH_CODES]), (1 + size % 3).cast("int"))
     asset = F.when(F.floor(k / 20) % 2 == 0, "BTC").otherwise("ETH")
+    month = F.when((F.floor(k / 20) % 10 == 7) & (k % 20 == 3), "FOO").otherwise(month)
     name = F.concat(asset, F.lit("-"), 1 + size % 28, month, F.lit("25-"), F.col("p_retailprice"), F.when(size % 6 > 0, "-C").otherwise("-P"))
     item = F.struct(name.alias("instrument_name"), (size + 950.0).alias("underlying_price"), (size / 1000).alias("bid_price"),
                     F.when(size % 9 > 0, (size + 2) / 1000).alias("ask_price"), (size + 20.0).alias("mark_iv"))
@@ -530,21 +531,31 @@ def chain_packets(spark, d):
 
 
 @query("explode_chain", """SELECT id, asset, CAST(pos AS INTEGER) AS pos, epoch_us(expires) // 1000 AS expiry, strike, round(bid * forward, 6) + 0.0 AS bid, round(ask * forward, 6) + 0.0 AS ask,
- round(mark_iv / 100, 6) + 0.0 AS iv, CAST(forward AS DOUBLE) AS forward FROM contracts WHERE is_call""")
+ round(mark_iv / 100, 6) + 0.0 AS iv, CAST(forward AS DOUBLE) AS forward, CASE WHEN is_call THEN 'call' ELSE 'put' END AS option_type FROM contracts WHERE id % 10 <> 7""")
 def explode_chain(spark, d):
     c = feeds.explode_chain(chain_packets(spark, d))
-    return c.select("id", "asset", "pos", "expiry", "strike", r6(F.col("bid")).alias("bid"), r6(F.col("ask")).alias("ask"), r6(F.col("iv")).alias("iv"), "forward")
+    return c.select("id", "asset", "pos", "expiry", "strike", r6(F.col("bid")).alias("bid"), r6(F.col("ask")).alias("ask"), r6(F.col("iv")).alias("iv"), "forward", "option_type")
 
 
 view("snapshots", f"""SELECT asset, epoch_us(expires) // 1000 AS expiry, id AS raw_id, {START} + id * 60000 AS received_ms, count(*) AS contracts,
- CAST(arg_min(forward, pos) AS DOUBLE) AS forward FROM contracts WHERE is_call GROUP BY asset, expires, id""")
+ CAST(arg_min(forward, pos) AS DOUBLE) AS forward FROM contracts WHERE is_call AND id % 10 <> 7 GROUP BY asset, expires, id""")
 
 
-@query("surface_state", f"""SELECT s.asset, s.expiry, s.raw_id, s.contracts, s.forward FROM (
-  SELECT *, row_number() OVER (PARTITION BY asset, expiry ORDER BY raw_id DESC) AS n FROM snapshots) s WHERE n = 1""")
+@query("surface_state", f"""WITH packets AS (SELECT id, asset, {START} + id * 60000 AS received_ms, CASE WHEN id % 7 = 5 THEN {START} + id * 60000 + 9000 WHEN id % 7 = 4 THEN {START} + id * 60000 - 400000 ELSE {START} + id * 60000 - 100 END AS source_ms FROM (SELECT DISTINCT id, asset FROM contracts WHERE id % 10 <> 7)),
+ judged AS (SELECT *, source_ms <= received_ms + 5000 AND source_ms >= coalesce(max(CASE WHEN source_ms <= received_ms + 5000 THEN source_ms END) OVER (PARTITION BY asset ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ok FROM packets)
+ SELECT s.asset, s.expiry, s.raw_id, s.contracts, s.forward, s.source_ms, 'deribit' AS venue FROM (
+  SELECT p.*, j.source_ms, row_number() OVER (PARTITION BY p.asset, p.expiry ORDER BY p.raw_id DESC) AS n FROM snapshots p JOIN judged j ON j.id = p.raw_id WHERE j.ok) s WHERE n = 1
+ UNION ALL SELECT asset, expiry, raw_id, contracts, NULL, raw_id AS source_ms, 'yahoo' FROM (SELECT 'TSLA' AS asset, expiry, id AS raw_id, CAST(count(*) FILTER (WHERE option_type = 'call') AS BIGINT) AS contracts,
+   row_number() OVER (PARTITION BY expiry ORDER BY id DESC) AS n FROM eq_contracts GROUP BY expiry, id) WHERE n = 1""")
 def surface_state(spark, d):
-    s = legs.surface_snapshots(feeds.explode_chain(chain_packets(spark, d)))
-    return legs.surface_state(s).select("asset", "expiry", "raw_id", "contracts", "forward")
+    """Surfaces from accepted summary packets (some late, some ahead of receipt) and from equity chains."""
+    at, lag = F.col("received_ms"), F.col("id") % 7
+    packets = chain_packets(spark, d).withColumn("source_ms", F.when(lag == 5, at + 9_000).when(lag == 4, at - 400_000).otherwise(at - 100))
+    good = packets.withColumn("kind", F.lit("options"))
+    good = feeds.quarantine(good)[0].drop("kind")
+    s = legs.surface_snapshots(feeds.explode_chain(legs.accepted_chains(good, slice_rows=SLICE_ROWS)))
+    equity = legs.surface_snapshots(feeds.explode_equity_chain(equity_packets(spark, d))).drop("market_state")
+    return legs.surface_state(s.unionByName(equity)).select("asset", "expiry", "raw_id", "contracts", "forward", "source_ms", "venue")
 
 
 view("eq_contracts", """SELECT p_partkey // 10 AS id, p_brand, p_size, p_partkey, p_retailprice AS strike, 1735750800000 + CAST(p_size % 2 AS BIGINT) * 604800000 AS expiry,
@@ -554,17 +565,21 @@ view("eq_contracts", """SELECT p_partkey // 10 AS id, p_brand, p_size, p_partkey
 @query("explode_equity_chain", """SELECT id, expiry, option_type, 'C' || p_partkey AS instrument, strike, round(p_size / 7, 6) + 0.0 AS bid, CAST(100 + id AS DOUBLE) AS spot,
   CASE WHEN id % 2 = 0 THEN 'OPEN' ELSE 'CLOSED' END AS market_state FROM (SELECT * REPLACE (CAST(p_size AS DOUBLE) AS p_size) FROM eq_contracts)""")
 def explode_equity_chain(spark, d):
+    c = feeds.explode_equity_chain(equity_packets(spark, d))
+    return c.select("id", "expiry", "option_type", "instrument", "strike", r6(F.col("bid")).alias("bid"), "spot", "market_state")
+
+
+def equity_packets(spark, d):
+    """Equity chains of ten contracts, with their spot and market state."""
     k, size = F.col("p_partkey"), F.col("p_size")
     contract = F.struct(F.concat(F.lit("C"), k).alias("instrument"), F.col("p_retailprice").alias("strike"), (size / F.lit(7.0)).alias("bid"))
     p = table(spark, d, "part").select(F.floor(k / 10).alias("id"), (F.lit(1735750800000) + (size % 2).cast("bigint") * 604_800_000).alias("expiry"),
                                        contract.alias("c"), (size % 3 == 0).alias("put"))
     chains = p.groupBy("id", "expiry").agg(F.collect_list(F.when(~F.col("put"), F.col("c"))).alias("calls"), F.collect_list(F.when(F.col("put"), F.col("c"))).alias("puts"))
-    raw = chains.groupBy("id").agg(F.collect_list(F.struct("expiry", "calls", "puts")).alias("chains")).select(
+    return chains.groupBy("id").agg(F.collect_list(F.struct("expiry", "calls", "puts")).alias("chains")).select(
         "id", F.col("id").alias("received_ms"), F.lit("TSLA").alias("subject"), F.lit("yahoo").alias("source"), F.lit(None).cast("bigint").alias("source_ms"),
         F.to_json(F.struct("chains", (F.col("id") + 100.0).alias("spot"), F.struct(
             F.when(F.col("id") % 2 == 0, "OPEN").otherwise("CLOSED").alias("market_state")).alias("underlying_context"))).alias("payload"))
-    c = feeds.explode_equity_chain(raw)
-    return c.select("id", "expiry", "option_type", "instrument", "strike", r6(F.col("bid")).alias("bid"), "spot", "market_state")
 
 
 # ------------------------------------------------------ quarantine, health, path ------

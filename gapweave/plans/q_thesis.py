@@ -17,9 +17,18 @@ NOW = START + 30 * DAY
 B = SCALE * 1000
 
 
-@query("realized_vol")
+@query("realized_vol", f"""WITH RECURSIVE a AS (SELECT event_id, now_ms, spot, row_number() OVER (PARTITION BY event_id ORDER BY now_ms, raw_id) AS n FROM usable WHERE now_ms >= {NOW - 3600 * B}),
+w AS (SELECT event_id, n, now_ms AS held_at, [now_ms] AS times, [spot] AS kept FROM a WHERE n = 1 UNION ALL
+ SELECT a.event_id, a.n, CASE WHEN a.now_ms - held_at > {120 * B} OR a.now_ms - held_at >= {60 * B} THEN a.now_ms ELSE held_at END,
+  CASE WHEN a.now_ms - held_at > {120 * B} THEN [a.now_ms] WHEN a.now_ms - held_at >= {60 * B} THEN list_append(times, a.now_ms) ELSE times END,
+  CASE WHEN a.now_ms - held_at > {120 * B} THEN [a.spot] WHEN a.now_ms - held_at >= {60 * B} THEN list_append(kept, a.spot) ELSE kept END
+ FROM w JOIN a ON a.event_id = w.event_id AND a.n = w.n + 1),
+f AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY n DESC) = 1),
+r AS (SELECT event_id, unnest(range(1, len(kept))) AS i, times, kept FROM f)
+SELECT f.event_id, CAST(len(f.kept) AS BIGINT) AS samples, CASE WHEN len(f.kept) >= 11 THEN round(v * sqrt({THESIS_YEAR_SECONDS} / ((f.times[-1] - f.times[1]) / {B}::DOUBLE / (len(f.kept) - 1))), 6) + 0.0 END AS realized_vol
+FROM f LEFT JOIN (SELECT event_id, stddev_samp(ln(kept[i + 1] / kept[i])) AS v FROM r GROUP BY event_id) g USING (event_id)""")
 def realized_vol(spark, d):
-    """Hourly realized volatility; the sample spacing is order-dependent (tested against a direct walk)."""
+    """Hourly realized volatility of the per-second anchors; the sample spacing is order-dependent."""
     v = T.realized_vol(observations(spark, d), NOW, CONFIG)
     return v.select("event_id", "samples", r6(F.col("realized_vol")).alias("realized_vol"))
 
@@ -29,7 +38,9 @@ def _return_sql(s: int) -> str:
     return f"CASE WHEN {NOW - s * B} - {past}.t <= {60 * B} THEN round(l.spot / {past}.s - 1, 6) + 0.0 END AS return_{s}"
 
 
-view("usable", "SELECT * FROM obs WHERE source_state = 'PROXY' AND spot > 0")
+view("usable", f"""SELECT o.* FROM (SELECT *, max(raw_id) OVER (PARTITION BY event_id, mapping_hash, now_ms // {B}) AS newest FROM obs WHERE now_ms <= {NOW}) o
+ JOIN (SELECT event_id, arg_max(mapping_hash, raw_id) AS now_mapped FROM obs WHERE now_ms <= {NOW} GROUP BY event_id) m USING (event_id)
+ WHERE raw_id = newest AND mapping_hash IS NOT DISTINCT FROM now_mapped AND source_state = 'PROXY' AND spot > 0""")
 
 
 @query("spot_returns", f"SELECT event_id, {', '.join(_return_sql(s) for s in T.RETURN_SECONDS)} FROM (SELECT event_id, arg_max(spot, raw_id) AS spot FROM obs WHERE now_ms <= {NOW} GROUP BY event_id) l")
@@ -111,16 +122,17 @@ def entry_evidence(spark, d):
 @query("entry_candidates", f"""SELECT wallet, event_id, asset, CAST(trade AS INTEGER) AS trade_direction, CAST(row_number() OVER (PARTITION BY wallet ORDER BY abs(gap_pp) DESC, event_id) AS BIGINT) AS rank FROM (
  SELECT s.wallet, e.event_id, e.p_brand AS asset, e.gap_pp, CASE WHEN e.gap_pp > 0 THEN 1 ELSE -1 END AS trade FROM evidence e JOIN (
    SELECT {_WALLET_SQL} AS wallet, 'e' || lpad(CAST(min(o_custkey) AS VARCHAR), 9, '0') AS event_id, o_orderkey % 60 AS ref, o_orderkey % 400 AS age, o_custkey FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL) s USING (event_id)
- WHERE s.age * 1000 <= 180000 AND e.p_partkey % 50 <= s.ref AND e.state = 'PROXY' AND e.age < 60000 AND NOT e.wide AND NOT e.indicative AND e.evidence = 'SUPPORTED' AND e.pm_yes BETWEEN 0.02 AND 0.98 AND e.opt_yes BETWEEN 0.02 AND 0.98
+ WHERE s.age * 1000 <= 180000 AND e.p_partkey % 50 <= s.ref AND e.state = 'PROXY' AND e.age < 60000 AND NOT e.wide AND NOT e.indicative AND e.evidence = 'SUPPORTED' AND e.p_partkey % 7 > 0 AND e.pm_yes BETWEEN 0.02 AND 0.98 AND e.opt_yes BETWEEN 0.02 AND 0.98
   AND abs(e.gap_pp) >= 0.75 AND NOT (s.wallet = 'SW' AND e.p_brand IN (SELECT 'Brand#' || n_nationkey FROM nation WHERE n_regionkey = 1)))""")
 def entry_candidates(spark, d):
     o = table(spark, d, "orders")
     wallet = F.element_at(F.array(*[F.lit(w) for w in _WALLETS]), (F.col("o_custkey") % 7 + 1).cast("int"))
-    signals = o.filter("o_orderstatus <> 'P'").select(
+    signals = o.select(
         wallet.alias("wallet"), F.concat(F.lit("e"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("event_id"), (F.lit(NOW) - F.col("o_orderkey") % 400 * 1000).alias("signal_ms"),
-        (F.col("o_orderkey") % 60).alias("signal_raw_id"), F.lit(True).alias("qualifies")).distinct()
+        (F.col("o_orderkey") % 60).alias("signal_raw_id"), (F.col("o_orderstatus") != "P").alias("qualifies")).distinct()
     held = table(spark, d, "nation").filter("n_regionkey = 1").select(F.lit("SW").alias("wallet"), F.concat(F.lit("Brand#"), "n_nationkey").alias("asset"))
-    c = T.entry_candidates(T.entry_evidence(latest_rows(spark, d), NOW, strike_slice=20.0), signals, NOW, held)
+    theses = table(spark, d, "part").select(F.concat(F.lit("e"), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("event_id"), (F.col("p_partkey") % 7 > 0).alias("eligible"))
+    c = T.entry_candidates(T.entry_evidence(latest_rows(spark, d), NOW, strike_slice=20.0), signals, NOW, held, theses)
     return c.select("wallet", "event_id", "asset", "trade_direction", "rank")
 
 
@@ -166,7 +178,7 @@ def _value(s: str, y: str, n: str) -> str:
 view("stress", f"""
 SELECT *, spot * exp(m * sigma) AS sspot, greatest(0, years - horizon / {_Y}) AS y2 FROM (
  SELECT *, least(iv, CASE WHEN rv > 0 THEN rv ELSE iv END) * sqrt(horizon / {_Y}) AS sigma FROM (
-  SELECT o_orderkey, spot, iv, rv, strike, o_orderkey % 2 = 0 AS put, 10.0 + o_custkey % 30 AS bid, (10.0 + o_custkey % 30) * 1.03 AS ask, 1.0 + o_orderkey % 4 AS q, (expiry + 86400000 - {NOW}) / 1000.0 / {_Y} AS years, least(3600.0, (expiry + 86400000 - {NOW}) / 1000.0) AS horizon FROM theses WHERE spot > 0 AND iv > 0))
+  SELECT o_orderkey, spot, CASE WHEN o_orderkey % 8 = 3 THEN 0.45::DOUBLE ELSE iv END AS iv, rv, strike, o_orderkey % 2 = 0 AS put, 10.0 + o_custkey % 30 AS bid, (10.0 + o_custkey % 30) * 1.03 AS ask, 1.0 + o_orderkey % 4 AS q, (expiry + 86400000 - {NOW}) / 1000.0 / {_Y} AS years, least(3600.0, (expiry + 86400000 - {NOW}) / 1000.0) AS horizon FROM theses WHERE spot > 0 AND (iv > 0 OR o_orderkey % 8 = 3)))
  , (VALUES ('down_one_sigma', -1), ('flat_spot', 0), ('up_one_sigma', 1)) x(scenario, m)""")
 view("stress_v", f"""
 SELECT *, spot * {ncdf('a1')} - strike * {ncdf('a2')} + CASE WHEN put THEN strike - spot ELSE 0 END AS v0, CASE WHEN y2 <= 0 THEN greatest(0, CASE WHEN put THEN strike - sspot ELSE sspot - strike END)
@@ -180,22 +192,23 @@ def scenarios(spark, d):
     o, k = F.col("o_orderkey"), F.col("o_custkey")
     bid = k % 30 + 10.0
     t = theses(spark, d).withColumns({
-        "strike": F.col("strike_or_threshold"), "put": o % 2 == 0, "bid": bid, "ask": bid * 1.03, "quantity": o % 4 + 1.0, "multiplier": F.lit(100), "expiry": F.col("expiry") + DAY})
+        "strike": F.col("strike_or_threshold"), "put": o % 2 == 0, "bid": bid, "ask": bid * 1.03, "quantity": o % 4 + 1.0, "multiplier": F.lit(100), "expiry": F.col("expiry") + DAY,
+        "quote_iv": F.when(o % 8 == 3, 0.45)})
     return T.expression_scenarios(t, NOW)
 
 
-@query("expression_scenarios", "SELECT o_orderkey, scenario, round(sspot, 5) + 0.0 AS spot, round(net_pnl, 3) + 0.0 AS net_pnl FROM stress_pnl")
+@query("expression_scenarios", "SELECT o_orderkey, scenario, round(sspot, 5) + 0.0 AS spot, round(net_pnl, 3) + 0.0 AS net_pnl, CAST(NULL AS VARCHAR) AS expression_reason FROM stress_pnl UNION ALL SELECT o_orderkey, NULL, NULL, NULL, 'CANNOT_PRICE_SCENARIOS' FROM theses WHERE o_orderkey NOT IN (SELECT o_orderkey FROM stress)")
 def expression_scenarios(spark, d):
-    return scenarios(spark, d).select("o_orderkey", "scenario", r6(F.col("scenario_spot"), 5).alias("spot"), r6(F.col("net_pnl"), 3).alias("net_pnl"))
+    return scenarios(spark, d).select("o_orderkey", "scenario", r6(F.col("scenario_spot"), 5).alias("spot"), r6(F.col("net_pnl"), 3).alias("net_pnl"), "expression_reason")
 
 
-@query("favorable_move_loses", "SELECT o_orderkey, max(CASE WHEN scenario = CASE WHEN put THEN 'down_one_sigma' ELSE 'up_one_sigma' END THEN net_pnl END) <= 0 AS favorable_move_loses FROM stress_pnl GROUP BY o_orderkey")
+@query("favorable_move_loses", "SELECT o_orderkey, max(CASE WHEN scenario = CASE WHEN put THEN 'down_one_sigma' ELSE 'up_one_sigma' END THEN net_pnl END) <= 0 AS favorable_move_loses FROM theses LEFT JOIN (SELECT o_orderkey, scenario, put, net_pnl FROM stress_pnl) p USING (o_orderkey) GROUP BY o_orderkey")
 def favorable_move_loses(spark, d):
     return T.favorable_move_loses(scenarios(spark, d), ["o_orderkey"])
 
 
-# Exchange sessions: the weekdays on which orders were placed, 14:30 to 21:00 UTC.
-view("sessions", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, epoch_us(o_orderdate) // 1000 + 52200000 AS open_ms, epoch_us(o_orderdate) // 1000 + 75600000 AS close_ms FROM orders WHERE isodow(o_orderdate) < 6")
+# Exchange sessions: the days on which orders were placed, 14:30 to 21:00 UTC, on weekends to 17:00.
+view("sessions", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, epoch_us(o_orderdate) // 1000 + 52200000 AS open_ms, epoch_us(o_orderdate) // 1000 + CASE WHEN isodow(o_orderdate) < 6 THEN 75600000 ELSE 61200000 END AS close_ms FROM orders")
 
 
 @query("equity_context", """SELECT c_custkey, CASE WHEN EXISTS (SELECT 1 FROM sessions s WHERE s.open_ms <= t AND t < s.close_ms) THEN 'OPEN' ELSE 'CLOSED' END AS market_state,
@@ -204,12 +217,12 @@ view("sessions", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, epoch_us(o_o
 def equity_context(spark, d):
     """Session state of stock snapshots in the winter of 1998 against a calendar table."""
     day = F.col("o_orderdate").cast("timestamp")
-    sessions = table(spark, d, "orders").filter(F.weekday("o_orderdate") < 5).select(
-        F.to_date("o_orderdate").alias("session_date"), (F.unix_millis(day) + 52_200_000).alias("open_ms"), (F.unix_millis(day) + 75_600_000).alias("close_ms")).distinct()
+    sessions = table(spark, d, "orders").select(
+        F.to_date("o_orderdate").alias("session_date"), (F.unix_millis(day) + 52_200_000).alias("open_ms"), (F.unix_millis(day) + F.when(F.weekday("o_orderdate") < 5, 75_600_000).otherwise(61_200_000)).alias("close_ms")).distinct()
     k = F.col("c_custkey")
     snaps = table(spark, d, "customer").select("c_custkey", (F.lit(883_612_800_000) + k % 60 * DAY + k % 24 * 3_600_000).alias("now_ms"))
     split_day = F.to_date(F.timestamp_millis(F.col("now_ms") - 5 * DAY))
     snaps = snaps.withColumn("start_ms", F.col("now_ms") - 20 * DAY).withColumn("splits", F.array(F.struct(
         split_day.alias("session"), F.when(k % 3 == 0, 2.0).otherwise(0.0).alias("ratio"))))
-    x = T.equity_context(snaps, sessions)
+    x = T.equity_context(snaps, sessions, "c_custkey")
     return x.select("c_custkey", "market_state", F.size("required_sessions").cast("bigint").alias("required_sessions"), "corporate_action")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -48,11 +49,14 @@ def build_session(app: str = "gapweave", master: str | None = None, **conf) -> S
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints and stage tables.
 
-    Reads ``spark.checkpoint.dir``; only where it is unset (local tests) a
-    fresh temporary folder is chosen and kept for the session.
+    Reads ``spark.checkpoint.dir``. Only a local master may leave it unset; then a fresh temporary folder is chosen and
+    kept for the session, since every task runs on this machine. On a cluster that would scatter the files, so it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "local")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -87,32 +87,50 @@ def explode_books(raw: DataFrame) -> DataFrame:
 
 
 # --- fixed values: option instrument names, e.g. BTC-16JAN30-90000-C at 08:00 UTC ----
-INSTRUMENT = r"^([A-Z]+)-(\d{1,2})([A-Z]{3})(\d{2})-([\d.]+)-C$"
+INSTRUMENT = r"^([A-Z]+)-(\d{1,2})([A-Z]{3})(\d{2})-([\d.]+)-([CP])$"
 MONTH_CODES = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
 EXPIRY_HOUR = 8
 # --------------------------------------------------------------------------------------
 
 
+def undated_instrument(payload: Column) -> Column:
+    """Whether an option summary names an instrument whose date does not exist."""
+    names = F.from_json(payload, "struct<result:array<struct<instrument_name:string>>>")["result"]["instrument_name"]
+
+    def undated(name: Column) -> Column:
+        part = lambda n: F.regexp_extract(name, INSTRUMENT, n)
+        month = F.array_position(F.array(*[F.lit(m) for m in MONTH_CODES]), part(3))
+        day = F.concat(F.lit("20"), part(4), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(part(2), 2, "0"))
+        return name.rlike(INSTRUMENT) & ((month == 0) | F.try_to_date(day, "yyyy-MM-dd").isNull())
+
+    return F.exists(names, undated)
+
+
 def explode_chain(raw: DataFrame) -> DataFrame:
-    """Call contracts of an option-summary packet, premiums in USD."""
+    """Contracts of an option-summary packet, premiums in USD.
+
+    Names of another form are other instruments. A packet in which a name of this form has no valid date is
+    left out whole: ``packet_error`` reports it.
+    """
     item = ("struct<instrument_name:string,underlying_price:string,bid_price:string,ask_price:string,"
             "mark_price:string,mark_iv:string,creation_timestamp:string>")
-    rows = raw.select(
-        "id", "received_ms", "source_ms", "subject", "source",
-        F.posexplode(F.from_json("payload", f"struct<result:array<{item}>>")["result"]).alias("pos", "c"))
     part = lambda n: F.regexp_extract("c.instrument_name", INSTRUMENT, n)
     month = F.array_position(F.array(*[F.lit(m) for m in MONTH_CODES]), part(3)).cast("int")
     expiry = F.unix_millis(F.make_timestamp(
         part(4).try_cast("int") + 2000, month, part(2).try_cast("int"), F.lit(EXPIRY_HOUR), F.lit(0), F.lit(0), F.lit("UTC")))
     forward = to_number(F.col("c.underlying_price"))
     usd = lambda field: F.when(forward > 0, to_number(F.col(f"c.{field}")) * forward)
-    named = F.col("c.instrument_name").rlike(INSTRUMENT) & (month > 0)
-    return rows.filter(named).select(
+    sound = raw.filter(~F.coalesce(undated_instrument(F.col("payload")), F.lit(False)))
+    rows = sound.select(
+        "id", "received_ms", "source_ms", "subject", "source",
+        F.posexplode(F.from_json("payload", f"struct<result:array<{item}>>")["result"]).alias("pos", "c"))
+    return rows.filter(F.col("c.instrument_name").rlike(INSTRUMENT)).select(
         "id", "received_ms", F.col("subject").alias("asset"), F.col("source").alias("venue"), "pos",
-        F.col("c.instrument_name").alias("instrument"), F.lit("call").alias("option_type"), expiry.alias("expiry"),
+        F.col("c.instrument_name").alias("instrument"), F.when(part(6) == "P", "put").otherwise("call").alias("option_type"), expiry.alias("expiry"),
         part(5).try_cast("double").alias("strike"), usd("bid_price").alias("bid"), usd("ask_price").alias("ask"),
         usd("mark_price").alias("mark"), (to_number(F.col("c.mark_iv")) / 100).alias("iv"), forward.alias("forward"),
-        F.coalesce(to_epoch_ms(F.col("c.creation_timestamp")), F.col("source_ms")).alias("source_ms"))
+        F.coalesce(to_epoch_ms(F.col("c.creation_timestamp")), F.col("source_ms")).alias("source_ms"),
+        F.col("source_ms").alias("packet_source_ms"))
 
 
 def explode_equity_chain(raw: DataFrame) -> DataFrame:
@@ -130,7 +148,7 @@ def explode_equity_chain(raw: DataFrame) -> DataFrame:
         "id", "received_ms", "asset", "venue", "source_ms", "spot", "spot_source_ms", "market_state",
         F.col("ch.expiry").alias("expiry"), F.posexplode(F.concat(tagged("calls", "call"), tagged("puts", "put"))).alias("pos", "x"),
     ).select("id", "received_ms", "asset", "venue", "source_ms", "spot", "spot_source_ms", "market_state", "expiry", "pos",
-             "x.option_type", "x.c.*")
+             F.col("source_ms").alias("packet_source_ms"), "x.option_type", "x.c.*")
 
 
 def packet_error(kind: Column, payload: Column) -> Column:
@@ -146,6 +164,7 @@ def packet_error(kind: Column, payload: Column) -> Column:
         .when((kind == "pm") & is_list & odd_entry, "MESSAGE_IS_NOT_AN_OBJECT")
         .when((kind != "pm") & ~is_object, "PAYLOAD_IS_NOT_AN_OBJECT")
         .when((kind == "pm") & ~is_object & ~is_list, "PAYLOAD_IS_NOT_AN_OBJECT")
+        .when((kind == "options") & undated_instrument(payload), "INSTRUMENT_WITHOUT_DATE")
         .when((kind == "history") & field("$.start_ms").isNull(), "MISSING_START_MS")
         .when((kind == "dismiss") & field("$.event_id").isNull(), "MISSING_EVENT_ID")
     )
