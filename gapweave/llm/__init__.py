@@ -1,6 +1,13 @@
 """Training-data operators; nothing else in the library imports this subpackage."""
 
-from . import chat_perspectives, curriculum_mix, decontamination, exact_dedup, html_blocks, jaccard_join, license_scan, line_dedup, quality_crf, sharding  # noqa: F401
-from .common import ORACLES, QUERIES
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors whole, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+from . import chat_perspectives, curriculum_mix, decontamination, exact_dedup, html_blocks, jaccard_join, license_scan, line_dedup, quality_crf, sharding  # noqa: E402, F401
+from .common import ORACLES, QUERIES  # noqa: E402
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -196,7 +196,6 @@ def flag_leaks(
     items = benchmark.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).filter("i IS NOT NULL")
     chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
-    spark = docs.sparkSession
     kind_of = T.ArrayType(T.StructType([
         T.StructField("item_id", T.LongType()), T.StructField("reworded", T.BooleanType()),
         T.StructField("matched", T.LongType()), T.StructField("size", T.LongType())]))
@@ -204,10 +203,10 @@ def flag_leaks(
     out = docs.withColumn("leaked_items", F.array().cast(kind_of))
     for b in range(blocks):
         rows = sorted((r.i, r.t or "") for r in items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).collect())
-        shared = spark.sparkContext.broadcast(Index.build(rows, width, least, literals))
+        index = Index.build(rows, width, least, literals)  # travels with the function; Spark broadcasts large ones
 
-        def start(shared=shared):
-            reader, index = Reader(), shared.value
+        def start(index=index):
+            reader = Reader()
 
             def compute(batch: pa.RecordBatch) -> list[pa.Array]:
                 found = []

@@ -392,8 +392,7 @@ def extract_main(
     if model is None:
         drawn = pages.filter(F.col(html).isNotNull()).select(F.xxhash64(page_id).alias("h"), F.substring(html, 1, sample_chars).alias("p"))
         sample = [r.p for r in drawn.orderBy("h", "p").limit(sample_pages).collect()]
-        model = in_task(pages.sparkSession, lambda: train_labeller(sample))
-    shared = pages.sparkSession.sparkContext.broadcast(model)
+        model = Labeller(*in_task(pages.sparkSession, lambda: tuple(vars(train_labeller(sample)).values())))
     def texts_of(batch: list[list], encoder: Encoder, model: Labeller) -> list[str]:
         lengths = np.array([len(b) for b in batch])
         full = [b for b in batch if b]
@@ -407,7 +406,7 @@ def extract_main(
         return out
 
     def start():
-        model, encoder = shared.value, Encoder()
+        encoder = Encoder()
 
         def compute(page_batch: pa.RecordBatch) -> list[pa.Array]:
             texts, counts, batch, chars = [], [], [], 0

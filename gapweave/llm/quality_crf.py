@@ -183,7 +183,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1000, chars
         width = N_FEATURES
         return LineCrf(np.zeros(width), np.ones(width), np.zeros(width + 1), np.zeros((2, 2)), 0.0, 0.0 if not len(y) else 5.0 if y[0] else -5.0)
     texts = [r[2] for r in rows]
-    return in_task(docs.sparkSession, lambda: train(texts, y))
+    return LineCrf(*in_task(docs.sparkSession, lambda: tuple(vars(train(texts, y)).values())))
 
 
 def score_quality(docs: DataFrame, model: LineCrf, batch_chars: int = 4_000_000) -> DataFrame:
@@ -192,11 +192,7 @@ def score_quality(docs: DataFrame, model: LineCrf, batch_chars: int = 4_000_000)
     Null text counts as empty: one empty line. Whole texts are read, however long; ``batch_chars`` bounds how many texts are
     worked on at once. Equal texts get equal scores. No shuffle; rows keep their partition.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
     def start():
-        model = shared.value
-
         def compute(batch: pa.RecordBatch) -> list[pa.Array]:
             texts = strings(batch, "text")
             edges = np.cumsum([len(t) for t in texts]) // batch_chars
