@@ -43,7 +43,7 @@ def accept_newer(
         df = running(df, keys, order, {"__seg": highest(F.when(source.isNull(), F.struct(*order)))}, slices)
         df = df.withColumn("__seg", F.coalesce(F.to_json("__seg"), F.lit("-")))
         segment_keys = keys + ["__seg"]
-    df = running(df, segment_keys, order, {"__held": highest(stored, inclusive=False)}, slices)
+    df = running(df, segment_keys, order, {"__held": highest(stored, inclusive=False)}, slices, restart=not source_always_present)
     verdict = (
         F.when(ahead, "CLOCK_ERROR")
         .when(source.isNotNull() & (source < F.col("__held")), "DELAYED")

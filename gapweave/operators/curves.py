@@ -28,7 +28,7 @@ def curve_nodes(rows: DataFrame, keys: Sequence[str] = CURVE_KEY, strike_slice:
     df = df.withColumn(SLICE, F.floor(F.col("strike_or_threshold") / F.lit(strike_slice)))
     node = F.struct("event_id", "strike_or_threshold", "pm_yes", "opt_yes", "gap_pp", "side")
     df = running(df, ["curve_id"], _ORDER, {"lower": last(node, inclusive=False), "node_no": total(F.lit(1))}, SLICE)
-    df = running(df, ["curve_id"], _ORDER, {"upper": last(node, inclusive=False)}, SLICE, reverse=True)
+    df = running(df, ["curve_id"], _ORDER, {"upper": last(node, inclusive=False)}, SLICE, reverse=True, restart=True)
     sizes = rows.filter("valid").withColumn("curve_id", F.concat_ws("|", *parts)).groupBy("curve_id").agg(
         F.count("*").alias("nodes"))
     return df.join(sizes.filter("nodes >= 2"), "curve_id").drop(SLICE)
@@ -66,7 +66,7 @@ def side_clusters(nodes: DataFrame, strike_slice: float = 100.0) -> DataFrame:
     """Members of maximal runs of one side, two or longer."""
     differs = F.when(F.col("lower.side").isNull() | (F.col("lower.side") != F.col("side")), 1).otherwise(0)
     runs = running(nodes, ["curve_id"], _ORDER, {"cluster_no": total(differs)},
-                   F.floor(F.col("strike_or_threshold") / F.lit(strike_slice)))
+                   F.floor(F.col("strike_or_threshold") / F.lit(strike_slice)), restart=True)
     sizes = runs.groupBy("curve_id", "cluster_no").agg(F.count("*").alias("size")).filter("size >= 2")
     return runs.join(sizes, ["curve_id", "cluster_no"]).select(
         "curve_id", "cluster_no", "size", "event_id", "side", "strike_or_threshold")

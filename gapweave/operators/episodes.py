@@ -44,7 +44,7 @@ def gap_episodes(obs: DataFrame, config: Config = Config(), slice_rows: int = 1_
         opening, breaking = F.when(opens(sign), row_id), F.when(breaks(sign), row_id)
         specs[f"__open_{name}"] = highest(opening, inclusive=False)
         specs[f"__break_{name}"] = highest(breaking, inclusive=False)
-    df = running(df, ["event_id"], _ORDER, specs, SLICE)
+    df = running(df, ["event_id"], _ORDER, specs, SLICE, restart=True)
 
     def active_before(name: str) -> Column:
         return F.coalesce(F.col(f"__open_{name}") >= F.coalesce(F.col(f"__break_{name}"), F.lit(-1)), F.lit(False))
@@ -55,7 +55,7 @@ def gap_episodes(obs: DataFrame, config: Config = Config(), slice_rows: int = 1_
     df = df.withColumn("__closing", F.coalesce(closing, F.lit(False)))
     starting = F.col("valid") & (F.abs(gap) >= config.open_gap_pp) & (F.col("__sign").isNull() | F.col("__closing"))
     df = running(df.withColumn("__starting", starting), ["event_id"], _ORDER,
-                 {"__start_prev": highest(F.when(F.col("__starting"), row_id), inclusive=False)}, SLICE)
+                 {"__start_prev": highest(F.when(F.col("__starting"), row_id), inclusive=False)}, SLICE, restart=True)
     reason = F.when(
         F.col("__closing"),
         F.when(F.col("__changed"), "MAPPING_CHANGED")
@@ -102,7 +102,7 @@ def episode_revisions(rows: DataFrame, slice_rows: int = 1_000_000) -> DataFrame
         "pm_distance_pp": total(step("pm_yes")),
         "opt_distance_pp": total(step("opt_yes")),
         "__spot": last(mine(F.struct("spot", is_new.alias("new")))),
-    }, SLICE)
+    }, SLICE, restart=True)
     distance = F.col("pm_distance_pp") + F.col("opt_distance_pp")
     only_opened = F.col("__spot.new")
     share = lambda c: F.when(only_opened, 0.0).when(distance > 0, F.col(c) / distance)

@@ -24,7 +24,7 @@ def book_state(changes: DataFrame, tolerance_ms: int = 5_000, slice_rows: int =
                           source_always_present=source_always_present, slice_rows=slice_rows)
     side = lambda name: last(F.when(F.col(f"{name}_set"), F.struct(F.col(name).alias("v"))))
     rows = running(judged.filter("verdict = 'ACCEPTED'"), ["token"], _BOOK_ORDER,
-                   {"__bid": side("bid"), "__ask": side("ask")}, id_slices("id", slice_rows))
+                   {"__bid": side("bid"), "__ask": side("ask")}, id_slices("id", slice_rows), restart=True)
     bid, ask = F.col("__bid.v"), F.col("__ask.v")
     crossed = F.coalesce(bid > ask, F.lit(False))
     return rows.select(

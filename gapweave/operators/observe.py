@@ -118,7 +118,7 @@ def sweep_legs(rows: DataFrame, slice_rows: int = ID_SLICE) -> DataFrame:
     matching = F.when(F.col("history.window_start") == F.col("window_start"), F.col("history"))
     swept = running(rows, ["event_id"], order, {
         "book": last(F.col("pm")), "indicative": last(F.col("listing")), "spot_leg": last(F.col("spot")),
-        "path": last(matching), "covering": highest(F.col("surface"))}, SLICE)
+        "path": last(matching), "covering": highest(F.col("surface"))}, SLICE, restart=True)
     following = F.lead("raw_id").over(Window.partitionBy("event_id", SLICE).orderBy(*order))
     swept = swept.withColumn("__next", following).filter(
         (F.col("__next").isNull() | (F.col("__next") != F.col("raw_id"))) & (F.col("kind") != "listing"))

@@ -21,9 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import require_runtime_conf
+from ..session import stage_table
 
 SLICE = "__slice"
+_KEY = "__keys"
 #: rows of one key per task when the order column is a dense receipt id
 ID_SLICE = 1_000_000
 
@@ -96,16 +97,19 @@ def running(
     specs: Mapping[str, Run],
     slice_by: Column | str | None,
     reverse: bool = False,
+    restart: bool = False,
 ) -> DataFrame:
     """Add one running column per spec, in ``order`` within ``keys``.
 
     ``slice_by`` must never decrease along ``order``; ``None`` uses one plain
     window, for groups whose size is bounded by construction. A string names a
-    slice column ``df`` already has: consecutive calls then share one shuffle.
-    ``reverse`` scans from the end, turning ``last`` into "nearest following".
+    slice column ``df`` already has. ``reverse`` scans from the end, turning ``last``
+    into "nearest following". Null keys are a group of their own, as in a window.
+
+    The rows are read twice, once for the slices' summaries. ``restart`` stores them
+    first: for an input that is itself computed, so that stacked running values read
+    each stage twice and not the base 2, 4, 8 times.
     """
-    # The input often is a union; see RUNTIME_CONF for why that matters.
-    require_runtime_conf(df.sparkSession)
     keys, order = list(keys), list(order)
     asc = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
 
@@ -119,10 +123,16 @@ def running(
             "*", *[_over(s.kind, s.value).over(frame(keys, s)).alias(n) for n, s in specs.items()]
         )
 
+    if restart:
+        df = stage_table(df, "running")
     named = isinstance(slice_by, str)
     cut = slice_by if named else SLICE
     sliced = df if named else df.withColumn(SLICE, slice_by)
-    cell = keys + [cut]
+    # A struct of the keys is never null itself, so that the join below matches null keys.
+    whole = [_KEY] if keys else []
+    if keys:
+        sliced = sliced.withColumn(_KEY, F.struct(*keys))
+    cell = whole + [cut]
     local = sliced.select(
         "*", *[_over(s.kind, s.value).over(frame(cell, s)).alias(f"__l_{n}") for n, s in specs.items()]
     )
@@ -131,7 +141,7 @@ def running(
         *[_summary(s.kind, s.value, position, reverse).alias(f"__t_{n}") for n, s in specs.items()]
     )
     before = (
-        Window.partitionBy(*keys)
+        Window.partitionBy(*whole)
         .orderBy(F.col(cut).desc() if reverse else F.col(cut).asc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )

@@ -17,7 +17,7 @@ def _ticks(n=400, seed=5):
         clock += rng.choice([0, 0, 500, 4000, -3000])
         source = rng.choice([None, clock - 9000, clock - 1000, clock, clock + 4000, clock + 9000])
         # one hot key holds most of the rows
-        rows.append((i, "hot" if rng.random() < 0.7 else rng.choice("abc"), clock, source, rng.choice([None, rng.random()])))
+        rows.append((i, "hot" if rng.random() < 0.6 else rng.choice(["a", "b", "c", None]), clock, source, rng.choice([None, rng.random()])))
     return rows
 
 
@@ -35,6 +35,30 @@ def test_slices_equal_one_window(ticks, reverse):
     assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
 
 
+def _scans(df):
+    """File scans of a plan, from its text."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_stacked_values_read_each_stage_twice(spark, ticks, tmp_path):
+    from gapweave.operators import curves, episodes, legs
+
+    ticks.write.parquet(str(tmp_path / "ticks"))
+    t = spark.read.parquet(str(tmp_path / "ticks"))
+    obs = t.select(
+        F.col("key").alias("event_id"), F.col("id").alias("raw_id"), F.col("received_ms").alias("now_ms"), F.lit("m").alias("mapping_hash"),
+        F.lit(None).cast("bigint").alias("expiry"), F.lit(0.5).alias("pm_yes"), F.lit(0.4).alias("opt_yes"), (F.col("v") * 20 - 10).alias("gap_pp"), F.col("v").isNotNull().alias("valid"))
+    assert _scans(episodes.gap_episodes(obs, slice_rows=50)) <= 2
+    books = t.select("id", F.lit(0).alias("message_no"), F.lit(0).alias("change_no"), F.col("key").alias("token"), "received_ms", "source_ms", F.lit(True).alias("bid_set"),
+                     F.lit(True).alias("ask_set"), F.col("v").alias("bid"), F.col("v").alias("ask"), F.lit(None).cast("string").alias("depth"))
+    assert _scans(legs.book_state(books, slice_rows=50)) <= 2
+    nodes = t.filter("v IS NOT NULL").select(
+        F.col("id").cast("string").alias("event_id"), "key", F.col("v").alias("strike_or_threshold"), F.lit(0.5).alias("pm_yes"), F.lit(0.4).alias("opt_yes"), F.lit(1.0).alias("gap_pp"),
+        F.lit("RICH").alias("side"), F.lit(True).alias("valid"))
+    clusters = curves.side_clusters(curves.curve_nodes(nodes, ["key"], 0.1), 0.1)
+    assert _scans(clusters) <= 4 and clusters.count() > 0
+
+
 def test_clock_never_moves_backward(ticks):
     rows = effective_clock(ticks, slice_rows=11).orderBy("id").collect()
     best = 0
