@@ -330,12 +330,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, rule: Rule, bucket
     return ordered.mapInPandas(run, "u long, v long")
 
 
-def _crowded(hot: DataFrame, texts: DataFrame, width: int, rule: Rule, stars: int, bucket_pairs: int) -> DataFrame:
+def _crowded(hot: DataFrame, texts: DataFrame, width: int, rule: Rule, stars: int, leads: int, bucket_pairs: int) -> DataFrame:
     """Links among the classes of ``hot`` (``doc_id, key, n``), most of whose shingles are in long lists.
 
-    First each is compared with one leader per list of its first shingles; what a leader links is one group. Then all
-    shingles are counted within ``hot`` and each class looks up its rarest ``n - least + 1``; in every list, members
-    outside the list's largest group meet all its members of other groups.
+    All shingles are counted within ``hot``. First each class is compared with the ``leads`` most typical members of the lists
+    of its ``stars`` commonest shingles; what a leader links is one group. Then each class looks up its
+    rarest ``n - least + 1`` shingles; in every list, members
+    outside the list's largest group meet its members of other groups, as long as the places of the shingle in both orders
+    leave room for the required overlap.
     """
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -347,8 +349,19 @@ def _crowded(hot: DataFrame, texts: DataFrame, width: int, rule: Rule, stars: in
 
     sets = hot.join(texts, "doc_id").select("doc_id", "n", "key", "text").mapInPandas(shingles, "doc_id long, n int, toks array<long>")
     sets = stage_table(sets.dropDuplicates(["doc_id", "n"]), "jaccard-hot")
-    first = sets.select("doc_id", F.explode(F.slice("toks", 1, stars)).alias("tok"))
-    leaders = first.groupBy("tok").agg(F.min(F.struct(F.xxhash64("tok", "doc_id").alias("r"), F.col("doc_id").alias("lead")))["lead"].alias("lead"))
+    toks = sets.select("doc_id", "n", F.explode("toks").alias("tok"))
+    counts = toks.groupBy("tok").count()
+    ranked = toks.withColumn("x", F.xxhash64("tok")).join(counts.withColumn("x", F.xxhash64("tok")), ["tok", "x"])
+    own = Window.partitionBy("doc_id", "n")
+    start = F.col("n") - F.ceil(F.col("n") * rule.percent / F.lit(100)) + 1
+    ranked = ranked.withColumn("typical", F.avg("count").over(own)).withColumn("r", F.row_number().over(own.orderBy("count", "tok")))
+    ranked = ranked.filter((F.col("count") > 1) & ((F.col("r") <= start) | (F.col("r") > F.col("n") - stars)))
+    ranked = stage_table(ranked.select("tok", "doc_id", "n", "r", "typical"), "jaccard-hot-ranks")
+
+    first = ranked.filter(F.col("r") > F.col("n") - stars).select("tok", "doc_id", "typical")
+    # A bounded number per list: Spark keeps that many per task before it shuffles.
+    best = F.row_number().over(Window.partitionBy("tok").orderBy(F.desc("typical"), "doc_id"))
+    leaders = first.withColumn("k", best).filter(F.col("k") <= leads).select("tok", F.col("doc_id").alias("lead"))
     led = first.withColumn("x", F.xxhash64("tok")).join(leaders.withColumn("x", F.xxhash64("tok")), ["tok", "x"]).filter("doc_id != lead").select("doc_id", "lead").distinct()
     sided = led.join(sets.select("doc_id", F.col("toks").alias("a")), "doc_id").join(sets.select(F.col("doc_id").alias("lead"), F.col("toks").alias("b")), "lead")
 
@@ -362,18 +375,15 @@ def _crowded(hot: DataFrame, texts: DataFrame, width: int, rule: Rule, stars: in
     star_edges = stage_table(sided.select(F.col("doc_id").alias("u"), F.col("lead").alias("v"), "a", "b").mapInArrow(compare, "u long, v long"), "jaccard-stars")
     groups = connected_components(star_edges)
 
-    toks = sets.select("doc_id", "n", F.explode("toks").alias("tok"))
-    counts = toks.groupBy("tok").count()
-    ranked = toks.withColumn("x", F.xxhash64("tok")).join(counts.withColumn("x", F.xxhash64("tok")), ["tok", "x"])
-    start = F.col("n") - F.ceil(F.col("n") * rule.percent / F.lit(100)) + 1
-    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("doc_id", "n").orderBy("count", "tok")))
-    ranked = ranked.filter((F.col("r") <= start) & (F.col("count") > 1)).select("tok", "doc_id", "n")
+    ranked = ranked.filter(F.col("r") <= start).select("tok", "doc_id", "n", "r")
     labels = groups.select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
     posted = stage_table(ranked.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "jaccard-hot-lists")
     largest = posted.groupBy("tok", "label").count().groupBy("tok").agg(F.max(F.struct("count", "label"))["label"].alias("main"), F.count("*").alias("labels"))
-    others = posted.join(largest.filter("labels > 1"), "tok").filter("label != main").select("tok", "doc_id", "n", "label")
+    others = posted.join(largest.filter("labels > 1"), "tok").filter("label != main").select("tok", "doc_id", "n", "r", "label")
     a, b = others.alias("a"), posted.alias("b")
-    fits = (F.col("a.n") * 100 >= F.col("b.n") * rule.percent) & (F.col("b.n") * 100 >= F.col("a.n") * rule.percent) & (F.col("a.label") != F.col("b.label"))
+    # At the first shingle that two linked classes share, what is left of either holds the whole required overlap.
+    left_over = 1 + F.least(F.col("a.n") - F.col("a.r"), F.col("b.n") - F.col("b.r"))
+    fits = (left_over * (100 + rule.percent) >= (F.col("a.n") + F.col("b.n")) * rule.percent) & (F.col("a.label") != F.col("b.label"))
     pairs = a.join(b, F.col("a.tok") == F.col("b.tok")).filter(fits).select(
         F.least("a.doc_id", "b.doc_id").alias("u"), F.greatest("a.doc_id", "b.doc_id").alias("v")).distinct()
     return star_edges.unionByName(_verified(pairs, texts, width, rule, bucket_pairs))
@@ -381,7 +391,7 @@ def _crowded(hot: DataFrame, texts: DataFrame, width: int, rule: Rule, stars: in
 
 def jaccard_components(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, percent: int = 80,
-    short_list: int = 40, stars: int = 3, bucket_pairs: int = 20_000,
+    short_list: int = 40, stars: int = 3, leads: int = 3, bucket_pairs: int = 20_000,
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id``.
 
@@ -405,7 +415,7 @@ def jaccard_components(
     hot = found.filter("b IS NULL").select(F.col("a").alias("key"), F.col("an").alias("n")).join(reps, ["key", "n"]).withColumnRenamed("rep", "doc_id")
     hot = stage_table(hot, "jaccard-hot-classes")
     if not hot.isEmpty():
-        edges = edges.unionByName(_crowded(hot, rows, width, rule, stars, bucket_pairs))
+        edges = edges.unionByName(_crowded(hot, rows, width, rule, stars, leads, bucket_pairs))
     # Rows that share an id but not a class: the id ties the classes.
     placed = sets.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "key", "n").distinct()
     several = placed.groupBy("doc_id").count().filter("count > 1").select("doc_id")

@@ -203,28 +203,59 @@ SELECT event_id, median(g) / {SCALE * 1000}::DOUBLE AS cadence FROM (SELECT even
  FROM (SELECT DISTINCT event_id, opt_timestamp FROM grid)) GROUP BY event_id""")
 
 
-@query("lead_lag", """SELECT event_id, scale, round(low, 5) + 0.0 AS low, round(high, 5) + 0.0 AS high, round(f - r, 6) + 0.0 AS strength,
- CASE WHEN scale < greatest(15, cadence) OR pairs < 24 THEN 'INSUFFICIENT' WHEN low > 0 AND f > 0.2 THEN 'PM_LEADS_OPT' WHEN high < 0 AND r > 0.2 THEN 'OPT_LEADS_PM' ELSE 'AMBIGUOUS' END AS direction
- FROM (SELECT event_id, scale, count(*) AS pairs, corr(p, q_later) AS f, corr(q, p_later) AS r FROM lagged GROUP BY ALL) JOIN boot USING (event_id, scale) JOIN cadence USING (event_id)""")
+# Scopes: the four markets, a short one (100 points of the first) and one without samples.
+SHORT = 100
+view("sgrid", f"""SELECT * FROM grid UNION ALL SELECT 'short', * EXCLUDE (event_id) FROM grid WHERE event_id = 'g0' AND "timestamp" > {END - SHORT * STEP}""")
+view("scopes", "SELECT 'g' || n AS event_id FROM range(4) r(n) UNION ALL SELECT 'short' UNION ALL SELECT 'none'")
+
+
+def scoped_grid(spark, d):
+    g = grid(spark, d)
+    return g.unionByName(g.filter((F.col("event_id") == "g0") & (F.col("timestamp") > END - SHORT * STEP)).withColumn("event_id", F.lit("short")))
+
+
+def scopes(spark):
+    return spark.createDataFrame([(f"g{i}",) for i in range(4)] + [("short",), ("none",)], "event_id string")
+
+
+view("lag_base", f"""
+SELECT s.event_id, x.scale, coalesce(n, 0) AS n, l.pairs, l.f, l.r, b.low, b.high, coalesce(n, 0) < {2 * N} OR x.scale < greatest(15, coalesce(c.cadence, 'inf'::DOUBLE)) OR coalesce(l.pairs, 0) < 24 OR l.f IS NULL OR l.r IS NULL AS thin
+FROM scopes s JOIN (VALUES {', '.join(f"({float(x)}::DOUBLE)" for x in CONFIG.analysis_scales)}) x(scale) ON true LEFT JOIN (SELECT event_id, count(*) AS n FROM sgrid GROUP BY 1) g USING (event_id)
+ LEFT JOIN (SELECT event_id, scale, count(*) AS pairs, corr(p, q_later) AS f, corr(q, p_later) AS r FROM lagged GROUP BY ALL) l ON l.event_id = s.event_id AND l.scale = x.scale
+ LEFT JOIN boot b ON b.event_id = s.event_id AND b.scale = x.scale LEFT JOIN cadence c ON c.event_id = s.event_id""")
+view("verdicts", "SELECT *, CASE WHEN thin THEN 'INSUFFICIENT' WHEN low > 0 AND f > 0.2 THEN 'PM_LEADS_OPT' WHEN high < 0 AND r > 0.2 THEN 'OPT_LEADS_PM' ELSE 'AMBIGUOUS' END AS direction FROM lag_base")
+
+
+@query("lead_lag", """SELECT event_id, scale, CASE WHEN NOT thin THEN round(low, 5) + 0.0 END AS low, CASE WHEN NOT thin THEN round(high, 5) + 0.0 END AS high, CASE WHEN NOT thin THEN round(f - r, 6) + 0.0 END AS strength, direction FROM verdicts""")
 def lead_lag(spark, d):
-    r = A.lead_lag(grid(spark, d), CONFIG)
+    """Every scope and scale, also those without enough samples."""
+    r = A.lead_lag(scoped_grid(spark, d), CONFIG, scopes(spark))
     return r.select("event_id", "scale", r6(F.col("low"), 5).alias("low"), r6(F.col("high"), 5).alias("high"), r6(F.col("strength")).alias("strength"), "direction")
 
 
+@query("sync_windows", """SELECT event_id, scale AS window_seconds FROM (SELECT *, direction IN ('PM_LEADS_OPT', 'OPT_LEADS_PM') AS useful, max(direction IN ('PM_LEADS_OPT', 'OPT_LEADS_PM')) OVER (PARTITION BY event_id) AS any_useful FROM verdicts)
+ WHERE CASE WHEN any_useful THEN useful ELSE scale >= 15 END""")
+def sync_windows(spark, d):
+    return A.sync_windows(A.lead_lag(scoped_grid(spark, d), CONFIG, scopes(spark)), CONFIG)
+
+
 view("gjumps", """
 SELECT event_id, "timestamp", leg FROM (SELECT event_id, "timestamp", abs(pm_yes - lag(pm_yes) OVER t) >= 0.0025 AS pm, abs(opt_yes - lag(opt_yes) OVER t) >= 0.0025 AS opt,
   abs(ln(greatest(spot, 1e-10)) - lag(ln(greatest(spot, 1e-10))) OVER t) >= 0.0025 AS spot FROM windows WINDOW t AS (PARTITION BY event_id ORDER BY "timestamp"))
 UNPIVOT (hit FOR leg IN (pm, opt, spot)) WHERE hit""")
 
 
-def _sync_sql(jumps: str, ends: str) -> str:
-    scales = ", ".join(f"({float(s)}::DOUBLE)" for s in CONFIG.analysis_scales)
-    return f"""SELECT event_id, window_seconds, leg || '_then_' || second AS sequence, count(*) AS triggers, CAST(sum(CASE WHEN follower <= t + reach THEN 1 ELSE 0 END) AS BIGINT) AS hits,
-  round(sum(CASE WHEN follower <= t + reach THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE), 6) + 0.0 AS probability FROM (
- SELECT j.event_id, j."timestamp" AS t, j.leg, p.second, w.window_seconds, w.window_seconds * {SCALE * 1000} AS reach, e."end",
-   (SELECT min(f."timestamp") FROM {jumps} f WHERE f.event_id = j.event_id AND f.leg = p.second AND f."timestamp" > j."timestamp") AS follower
- FROM {jumps} j JOIN (VALUES ('pm', 'opt'), ('opt', 'pm'), ('spot', 'pm'), ('spot', 'opt')) p(leg, second) ON p.leg = j.leg
- JOIN (VALUES {scales}) w(window_seconds) ON true JOIN ({ends}) e ON e.event_id = j.event_id) WHERE t + reach <= "end" GROUP BY ALL"""
+def _sync_sql(jumps: str, ends: str, spans: str | None = None) -> str:
+    spans = spans or "SELECT * FROM (VALUES " + ", ".join(f"({float(s)}::DOUBLE)" for s in CONFIG.analysis_scales) + ") w(window_seconds)"
+    on = "w.event_id = e.event_id" if "event_id" in spans else "true"
+    return f"""WITH e AS ({ends}), w AS ({spans}), s AS (SELECT e.event_id, e."end", w.window_seconds, w.window_seconds * {SCALE * 1000} AS reach FROM e JOIN w ON {on}),
+ q AS (SELECT * FROM (VALUES ('pm', 'opt'), ('opt', 'pm'), ('spot', 'pm'), ('spot', 'opt')) p(leg, second)),
+ c AS (SELECT event_id, window_seconds, leg, second, count(*) AS triggers, CAST(sum(CASE WHEN follower <= t + reach THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM (
+  SELECT j.event_id, j."timestamp" AS t, j.leg, q.second, s.window_seconds, s.reach, s."end",
+   (SELECT min(f."timestamp") FROM {jumps} f WHERE f.event_id = j.event_id AND f.leg = q.second AND f."timestamp" > j."timestamp") AS follower
+  FROM {jumps} j JOIN q ON q.leg = j.leg JOIN s ON s.event_id = j.event_id) WHERE t + reach <= "end" GROUP BY ALL)
+SELECT s.event_id, s.window_seconds, q.leg || '_then_' || q.second AS sequence, coalesce(triggers, 0) AS triggers, coalesce(hits, 0) AS hits, CASE WHEN triggers > 0 THEN round(hits / CAST(triggers AS DOUBLE), 6) + 0.0 END AS probability
+ FROM s JOIN q ON true LEFT JOIN c ON c.event_id = s.event_id AND c.window_seconds = s.window_seconds AND c.leg = q.leg AND c.second = q.second"""
 
 
 def _sync_columns(s):
@@ -252,13 +283,20 @@ def event_sync_native(spark, d):
     return _sync_columns(A.event_sync(jumps.select("event_id", "timestamp", "leg"), ends, CONFIG.analysis_scales, CONFIG, slice_ms=10 * DAY))
 
 
+# One curve of three aligned strikes; another with a short strike, which cannot be compared; two strikes are too few.
+CURVES = {"c3": ("g0", "g1", "g2"), "broken": ("g3", "short", "g1"), "pair": ("g2", "g3"), "gone": ("g0", "g1", "none")}
 view("edges", """
 SELECT *, distance <= scale AS edge FROM (SELECT a.current, a.event_id AS a, b.event_id AS b, sqrt(greatest(0, 2 * (1 - least(1, greatest(-1, corr(a.gap_pp, b.gap_pp)))))) AS distance
- FROM windows a JOIN windows b ON a."timestamp" = b."timestamp" AND a.current = b.current AND a.event_id < b.event_id GROUP BY ALL), (VALUES (0.4::DOUBLE), (0.8::DOUBLE), (1.2::DOUBLE), (1.6::DOUBLE)) s(scale)""")
+ FROM windows a JOIN windows b ON a."timestamp" = b."timestamp" AND a.current = b.current AND a.event_id < b.event_id WHERE a.event_id IN ('g0', 'g1', 'g2') AND b.event_id IN ('g0', 'g1', 'g2') GROUP BY ALL), (VALUES (0.4::DOUBLE), (0.8::DOUBLE), (1.2::DOUBLE), (1.6::DOUBLE)) s(scale)""")
+
+
+def _aligned(spark, d):
+    members = spark.createDataFrame([(e, c) for c, own in CURVES.items() for e in own], "event_id string, curve_id string")
+    return A.aligned_curves(scoped_grid(spark, d), members, CONFIG)
 
 
 def _edges(spark, d):
-    return A.curve_edges(windows(spark, d).withColumn("curve_id", F.lit("curve")))
+    return A.curve_edges(windows(spark, d).join(_aligned(spark, d), "event_id"))
 
 
 @query("strike_topology", """SELECT scale, CASE WHEN sum(greatest(ea, eb)) > 0 THEN round(sum(CAST(ea <> eb AS INTEGER)) / CAST(sum(greatest(ea, eb)) AS DOUBLE), 6) + 0.0 ELSE 0.0::DOUBLE END AS edge_jaccard_distance FROM (
@@ -275,15 +313,32 @@ def curve_components(spark, d):
     return A.curve_components(_edges(spark, d)).drop("curve_id")
 
 
-@query("analyzer_status", f"""SELECT event_id, algo_name, CASE WHEN algo_name = 'sequential_martingale' THEN 'disabled' WHEN n >= {2 * N} THEN 'ok' ELSE 'insufficient_data' END AS status, n AS observations,
-  CASE algo_name WHEN 'sliced_wasserstein' THEN (SELECT round(avg(distance), 6) + 0.0 FROM sw WHERE sw.event_id = g.event_id)
-   WHEN 'ordinal_mmd' THEN (SELECT round(sum((now - baseline) * (now - baseline)), 6) + 0.0 FROM motifs WHERE motifs.event_id = g.event_id) END AS score
- FROM (SELECT event_id, count(*) AS n FROM grid GROUP BY event_id) g, (VALUES {', '.join(f"('{n}')" for n in A.FAMILIES)}) a(algo_name)""")
+@query("topology_score", """SELECT round(avg(d), 6) + 0.0 AS score FROM (SELECT scale, CASE WHEN sum(greatest(ea, eb)) > 0 THEN sum(CAST(ea <> eb AS INTEGER)) / CAST(sum(greatest(ea, eb)) AS DOUBLE) ELSE 0.0::DOUBLE END AS d FROM (
+ SELECT scale, a, b, max(CASE WHEN current = 0 AND edge THEN 1 ELSE 0 END) AS ea, max(CASE WHEN current = 1 AND edge THEN 1 ELSE 0 END) AS eb FROM edges GROUP BY ALL) GROUP BY scale) HAVING count(*) > 0""")
+def topology_score(spark, d):
+    return A.topology_score(A.edge_jaccard(_edges(spark, d))).select(r6(F.col("score")).alias("score"))
+
+
+@query("new_clusters", """WITH RECURSIVE reach(current, scale, node, other) AS (
+  SELECT current, scale, a, a FROM edges UNION SELECT current, scale, b, b FROM edges
+  UNION SELECT r.current, r.scale, r.node, CASE WHEN e.a = r.other THEN e.b ELSE e.a END FROM reach r JOIN edges e ON e.current = r.current AND e.scale = r.scale AND e.edge AND r.other IN (e.a, e.b)),
+ sets AS (SELECT DISTINCT current, scale, members FROM (SELECT current, scale, node, string_agg(other, ',' ORDER BY other) AS members FROM reach GROUP BY ALL))
+ SELECT scale, members FROM sets s WHERE current = 1 AND members LIKE '%,%' AND NOT EXISTS (SELECT 1 FROM sets t WHERE t.current = 0 AND t.scale = s.scale AND t.members = s.members)""")
+def new_clusters(spark, d):
+    return A.new_clusters(A.curve_components(_edges(spark, d))).select("scale", F.concat_ws(",", "members").alias("members"))
+
+
+@query("analyzer_status", f"""SELECT s.event_id, algo_name, CASE WHEN algo_name = 'sequential_martingale' THEN 'disabled' WHEN algo_name = 'event_sync' THEN CASE WHEN s.event_id IN ('g0', 'g1', 'none') THEN 'ok' ELSE 'insufficient_data' END
+   WHEN coalesce(n, 0) >= {2 * N} AND (algo_name <> 'topology' OR s.event_id IN ('g0', 'g1', 'g2')) THEN 'ok' ELSE 'insufficient_data' END AS status, coalesce(n, 0) AS observations,
+  CASE algo_name WHEN 'sliced_wasserstein' THEN (SELECT round(avg(distance), 6) + 0.0 FROM sw WHERE sw.event_id = s.event_id)
+   WHEN 'ordinal_mmd' THEN (SELECT round(sum((now - baseline) * (now - baseline)), 6) + 0.0 FROM motifs WHERE motifs.event_id = s.event_id) END AS score
+ FROM scopes s LEFT JOIN (SELECT event_id, count(*) AS n FROM sgrid GROUP BY event_id) g USING (event_id), (VALUES {', '.join(f"('{n}')" for n in A.FAMILIES)}) a(algo_name)""")
 def analyzer_status(spark, d):
-    """The analyzer registry with the two scores plain SQL can express."""
-    g = grid(spark, d)
-    w = A.split_windows(g, N)
+    """The analyzer registry with the two scores plain SQL can express: full, short and empty scopes, with and without jumps."""
+    g = scoped_grid(spark, d)
+    w = A.split_windows(grid(spark, d), N)
     sw = A.wasserstein_score(A.sliced_wasserstein(A.baseline_standardize(w))).select("event_id", "score")
     mmd = A.ordinal_mmd(w).groupBy("event_id").agg(F.sum(F.col("change") * F.col("change")).alias("score"))
-    s = A.analyzer_status(g, {"sliced_wasserstein": sw, "ordinal_mmd": mmd}, CONFIG)
+    native = spark.createDataFrame([("g0",), ("g1",), ("g1",), ("none",)], "event_id string")
+    s = A.analyzer_status(g, {"sliced_wasserstein": sw, "ordinal_mmd": mmd}, CONFIG, scopes(spark), native, _aligned(spark, d))
     return s.select("event_id", "algo_name", "status", "observations", r6(F.col("score")).alias("score"))
