@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -23,8 +25,10 @@ HEADLINE = (
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark = build_session(
-        "bench", f"local[{cpus}]", **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.log.level": "ERROR"})
+        "bench", f"local[{cpus}]",
+        **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.log.level": "ERROR", "spark.checkpoint.dir": folder})
     spark.range(1_000_000).selectExpr("sum(id)").collect()  # start the executors outside the measurement
     seconds = {}
     for name in HEADLINE:
@@ -35,6 +39,7 @@ def main() -> None:
     print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": seconds,
                       "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
     spark.stop()
+    shutil.rmtree(folder, ignore_errors=True)
 
 
 if __name__ == "__main__":

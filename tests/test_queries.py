@@ -14,8 +14,10 @@ SF_DIR = f"/root/testdata/sf{os.environ.get('CHECK_SF', '0.001')}"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no driver tables")
 CHECKS = plans.check_sql()
+#: without SQL; test_ledger_analyzers.py checks it by direct computation
+UNCHECKED = {"covariance_distance"}
 SAMPLE = os.environ.get("CHECK_QUERIES", "").split() or [
-    "top_gaps_by_market", "asof_join", "horizon_changes", "episode_summary", "side_clusters", "infer_event", "book_state", "quarantine",
+    "observe_from_tape", "realized_vol", "surface_state", "analyzer_status", "closed_lot_attribution", "top_gaps_by_market", "asof_join", "horizon_changes", "episode_summary", "side_clusters", "infer_event", "book_state", "quarantine",
     "terminal_probability", "shared_entries", "equity_curve", "entry_evidence", "risk_screen"]
 
 
@@ -33,6 +35,7 @@ def test_query_equals_its_check(spark, duck, name):
     columns = sorted(df.columns)
     got = sorted(repr(tuple(r)) for r in df.select(*columns).collect())
     if name not in CHECKS:
+        assert got and name in UNCHECKED
         return
     cursor = duck.execute(CHECKS[name])
     names = [c[0] for c in cursor.description]
