@@ -65,7 +65,7 @@ class Shingler:
 class Rule:
     """Sizes and overlaps for ``100 * intersection >= percent * union``."""
 
-    def __init__(self, percent: int, extra: float = 0.1) -> None:
+    def __init__(self, percent: int, extra: float = 0.2) -> None:
         self.percent, self.extra = percent, extra
 
     def least(self, n: int) -> int:
@@ -289,7 +289,7 @@ def _search(lists: DataFrame, rule: Rule) -> DataFrame:
     return ordered.mapInArrow(run, "a long, an int, b long, bn int")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, rule: Rule, bucket_pairs: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, rule: Rule, bucket_pairs: int, broadcast_ids: int = 1_000_000) -> DataFrame:
     """The pairs (``u, v``: document ids) needed to connect what the linked ones connect.
 
     Pairs whose first side has the same smallest neighbour meet in one bucket, with each of their texts once; there a pair is
@@ -302,7 +302,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, rule: Rule, bucket
     named = named.join(crowd, "m", "left").withColumn("s", F.coalesce(F.pmod(F.xxhash64("u"), F.col("parts")), F.lit(0)).cast("int")).select("m", "s", "u", "v")
     named = stage_table(named, "jaccard-pairs")
     members = named.select("m", "s", F.col("u").alias("x")).unionByName(named.select("m", "s", F.col("v").alias("x"))).distinct()
-    bodies = members.join(texts.withColumnRenamed("doc_id", "x"), "x").select("m", "s", F.col("x").alias("u"), F.lit(0).cast("long").alias("v"), F.lit(False).alias("pair"), "text")
+    needed = members.select("x").distinct()
+    texts = texts.withColumnRenamed("doc_id", "x")
+    if needed.limit(broadcast_ids + 1).count() <= broadcast_ids:
+        texts = texts.join(F.broadcast(needed), "x", "left_semi")  # counted: the other texts need not be shuffled
+    bodies = members.join(texts, "x").select("m", "s", F.col("x").alias("u"), F.lit(0).cast("long").alias("v"), F.lit(False).alias("pair"), "text")
     rows = bodies.unionByName(named.withColumn("pair", F.lit(True)).withColumn("text", F.lit(None).cast("string")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -350,12 +354,13 @@ def _crowded(hot: DataFrame, texts: DataFrame, width: int, rule: Rule, stars: in
     sets = hot.join(texts, "doc_id").select("doc_id", "n", "key", "text").mapInPandas(shingles, "doc_id long, n int, toks array<long>")
     sets = stage_table(sets.dropDuplicates(["doc_id", "n"]), "jaccard-hot")
     toks = sets.select("doc_id", "n", F.explode("toks").alias("tok"))
-    counts = toks.groupBy("tok").count()
+    counts = toks.groupBy("tok").count().filter("count > 1")  # shingles of one class only come first in its order, without a join
     ranked = toks.withColumn("x", F.xxhash64("tok")).join(counts.withColumn("x", F.xxhash64("tok")), ["tok", "x"])
     own = Window.partitionBy("doc_id", "n")
     start = F.col("n") - F.ceil(F.col("n") * rule.percent / F.lit(100)) + 1
-    ranked = ranked.withColumn("typical", F.avg("count").over(own)).withColumn("r", F.row_number().over(own.orderBy("count", "tok")))
-    ranked = ranked.filter((F.col("count") > 1) & ((F.col("r") <= start) | (F.col("r") > F.col("n") - stars)))
+    alone = F.col("n") - F.count("*").over(own)
+    ranked = ranked.withColumn("typical", F.sum("count").over(own) / F.col("n")).withColumn("r", alone + F.row_number().over(own.orderBy("count", "tok")))
+    ranked = ranked.filter((F.col("r") <= start) | (F.col("r") > F.col("n") - stars))
     ranked = stage_table(ranked.select("tok", "doc_id", "n", "r", "typical"), "jaccard-hot-ranks")
 
     first = ranked.filter(F.col("r") > F.col("n") - stars).select("tok", "doc_id", "typical")
