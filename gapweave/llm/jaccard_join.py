@@ -131,48 +131,33 @@ def divide_skip(lists: list[list[int]], need: int, weight: float = 0.5) -> list[
     return found
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n, key`` per row; (key, n) identifies a class of equal shingle sets."""
+def _sets(docs: DataFrame, width: int, rule: Rule) -> DataFrame:
+    """``doc_id, n, key, start`` per row; (key, n) identifies a class of equal shingle sets.
+
+    ``start`` holds the shingles that the class looks up, on its first row within a task; null on the copies there.
+    """
+    fields = [T.StructField("n", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("start", T.ArrayType(T.LongType()))]
 
     def start():
-        shingler = Shingler(width)
+        shingler, seen = Shingler(width), set()
 
         def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-            sets = [shingler.read(t) for t in strings(batch, "text")]
-            keys = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
-            return [pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.int64())]
-
-        return compute
-
-    return append_columns(docs, [T.StructField("n", T.IntegerType()), T.StructField("key", T.LongType())], start).select("doc_id", "n", "key")
-
-
-def _postings(docs: DataFrame, width: int, rule: Rule) -> DataFrame:
-    """``tok, key, n`` for the looked-up start of every class; copies within a task give one."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, seen = Shingler(width), set()
-        for pdf in batches:
-            toks, keys, sizes = [], [], []
-            for text in pdf["text"]:
+            keys, sizes, starts = [], [], []
+            for text in strings(batch, "text"):
                 s = shingler.read(text)
-                if not len(s):
-                    continue
-                key = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
-                if (key, len(s)) in seen:
-                    continue
-                if len(seen) >= _MEMORY:
-                    seen.clear()
-                seen.add((key, len(s)))
-                toks.append(s[:rule.start(len(s))])
-                keys.append(key)
+                keys.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
                 sizes.append(len(s))
-            if toks:
-                each = [len(t) for t in toks]
-                yield pd.DataFrame({
-                    "tok": np.concatenate(toks), "key": np.repeat(np.array(keys, np.int64), each), "n": np.repeat(np.array(sizes, np.int32), each)})
+                known = (keys[-1], len(s)) in seen or not len(s)
+                starts.append(None if known else s[:rule.start(len(s))])
+                if not known:
+                    if len(seen) >= _MEMORY:
+                        seen.clear()
+                    seen.add((keys[-1], len(s)))
+            return [pa.array(sizes, pa.int32()), pa.array(keys, pa.int64()), pa.array(starts, pa.list_(pa.int64()))]
+
+        return compute
 
-    return docs.select("text").mapInPandas(run, "tok long, key long, n int")
+    return append_columns(docs, fields, start).select("doc_id", "n", "key", "start")
 
 
 def _lists(postings: DataFrame, short_list: int) -> DataFrame:
@@ -408,9 +393,11 @@ def jaccard_components(
     """
     rule = Rule(percent)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sets = stage_table(_sets(rows, width), "jaccard-sets")
+    sets = stage_table(_sets(rows, width, rule), "jaccard-sets")
+    postings = sets.filter("start IS NOT NULL").select(F.explode("start").alias("tok"), "key", "n")
+    sets = sets.drop("start")
     classes = sets.filter("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("rep"))
-    found = stage_table(_search(_lists(_postings(rows, width, rule), short_list), rule).distinct(), "jaccard-candidates")
+    found = stage_table(_search(_lists(postings, short_list), rule).distinct(), "jaccard-candidates")
 
     reps = classes.filter("rep IS NOT NULL")
     ends = [reps.select(F.col("key").alias(k), F.col("n").alias(k + "n"), F.col("rep").alias(r)) for k, r in (("a", "ra"), ("b", "rb"))]
