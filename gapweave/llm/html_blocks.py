@@ -390,8 +390,12 @@ def extract_main(
     characters (for training only). Pages are not shuffled.
     """
     if model is None:
-        drawn = pages.filter(F.col(html).isNotNull()).select(F.xxhash64(page_id).alias("h"), F.substring(html, 1, sample_chars).alias("p"))
-        sample = [r.p for r in drawn.orderBy("h", "p").limit(sample_pages).collect()]
+        # The hashes decide first, so that only the pages drawn leave their tasks.
+        hashes = pages.filter(F.col(html).isNotNull()).select(F.xxhash64(page_id).alias("h"))
+        drawn = [r.h for r in hashes.distinct().orderBy("h").limit(sample_pages).collect()]
+        parts = pages.filter(F.col(html).isNotNull() & (F.xxhash64(page_id) <= (drawn[-1] if drawn else 0)))
+        parts = parts.groupBy(F.xxhash64(page_id).alias("h")).agg(F.min(F.substring(html, 1, sample_chars)).alias("p"))
+        sample = [r.p for r in sorted(parts.collect())]
         model = Labeller(*in_task(pages.sparkSession, lambda: tuple(vars(train_labeller(sample)).values())))
     def texts_of(batch: list[list], encoder: Encoder, model: Labeller) -> list[str]:
         lengths = np.array([len(b) for b in batch])
