@@ -110,11 +110,13 @@ class Index:
     """Windows of a block of benchmark items. Items shorter than a window are one window of their own length."""
 
     width: int
+    literals: int
     items: dict
     by_width: dict
 
     @classmethod
     def build(cls, rows: Sequence[tuple], width: int, least: int, literals: int) -> Index:
+        """All plain windows, and the template windows with a slot and a literal; ``literals`` is asked of whole lines in ``leaks``."""
         reader, items, found = Reader(), {}, defaultdict(lambda: defaultdict(list))
         for i, text in rows:
             value, kind = reader.read(text or "")
@@ -131,7 +133,7 @@ class Index:
                 items[n] = (i, family, codes, kinds, slots)
                 hashes = window_hashes(codes, w)
                 solid = np.convolve(kinds == _LITERAL, np.ones(w, int), "valid")
-                for p in np.flatnonzero((solid >= min(literals, w)) & ((solid < w) if family else True)):
+                for p in np.flatnonzero((solid > 0) & ((solid < w) if family else True)):
                     found[w][int(hashes[p])].append((n, int(p)))
         by_width = {}
         for w, table_ in found.items():
@@ -139,12 +141,12 @@ class Index:
             gate = np.zeros(1 << 16, bool)
             gate[(keys >> np.uint64(48)).astype(np.int64)] = True
             by_width[w] = (keys, gate, table_)
-        return cls(width, items, by_width)
+        return cls(width, literals, items, by_width)
 
 
 def leaks(value: np.ndarray, kind: np.ndarray, index: Index, run: int, cover: float) -> list[tuple]:
     """(item, template?, matched tokens, item tokens) of the items that a text contains."""
-    lines: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+    lines: set[tuple[int, int]] = set()
     forms = [(value, np.zeros(len(value), np.int8), value)]
     if (kind != _LITERAL).any():
         forms.append(templates(value, kind))
@@ -158,18 +160,24 @@ def leaks(value: np.ndarray, kind: np.ndarray, index: Index, run: int, cover: fl
             for p in maybe[keys[at] == hashes[maybe]].tolist():
                 for n, q in table_[int(hashes[p])]:
                     if index.items[n][1] == family:
-                        lines[n, p - q].append((q, w))
+                        lines.add((n, p - q))
     best: dict = {}
-    for (n, shift), hits in lines.items():
+    for n, shift in lines:
         item, family, codes, kinds, slots = index.items[n]
-        covered = np.zeros(len(codes), bool)
-        for q, w in hits:
-            covered[q:q + w] = True
+        there, w = forms[family][0], min(index.width, len(codes))
+        a, b = max(0, -shift), min(len(codes), len(there) - shift)
+        same = np.zeros(len(codes), bool)
+        same[a:b] = codes[a:b] == there[a + shift:b + shift]
+        # Windows of slots only are not looked up but count beside others.
+        covered = np.convolve(np.convolve(same, np.ones(w, int), "valid") == w, np.ones(w, int)) > 0
         longest = max((len(x) for x in "".join("x" if c else " " for c in covered).split()), default=0)
         total = int(covered.sum())
         if longest < min(run, len(codes)) and not (total >= max(cover * len(codes), index.width)):
             continue
         if family:
+            literal = kinds == _LITERAL
+            if (covered & literal).sum() < min(index.literals, literal.sum()):
+                continue
             places = np.flatnonzero(covered & (kinds != _LITERAL))
             pairs = set(zip(slots[places].tolist(), forms[1][2][places + shift].tolist()))
             if len(pairs) != len({a for a, _ in pairs}) or len(pairs) != len({b for _, b in pairs}):
@@ -186,8 +194,8 @@ def flag_leaks(
 
     An item is leaked into a text when ``run`` neighbouring template tokens (or the whole item, if shorter)
     or the share ``cover`` of it match on one line of the item, either word for word without case, or with other
-    numbers, names and units whose values map one to one (``reworded``). Windows have ``width`` tokens, at least
-    ``literals`` of them not slots. Items of fewer than ``least`` tokens and null texts match nothing; repeated items and rows
+    numbers, names and units whose values map one to one (``reworded``); then at least ``literals`` words outside the slots
+    (all that the item has, if fewer; at least one) must match on the line. Windows have ``width`` tokens. Items of fewer than ``least`` tokens and null texts match nothing; repeated items and rows
     are treated one by one. A column named ``leaked_items`` is replaced. An empty benchmark leaks nothing.
 
     The benchmark is the stated query set: it is read in blocks of about ``block_chars`` characters, each broadcast, so

@@ -93,6 +93,22 @@ def test_leaks(spark):
     assert decontamination.flag_leaks(docs.limit(0), bench).count() == 0
 
 
+def found_leaks(items, text):
+    index = decontamination.Index.build(list(enumerate(items)), 8, 3, 5)
+    return [i for i, *_ in decontamination.leaks(*decontamination.Reader().read(text), index, 13, 0.5)]
+
+
+@pytest.mark.parametrize("item,copies,others", [
+    ("What is 12 times 7?", ["Now: what is 31 times 9?", "What is 7 times 12?"], ["What is 12 minus 7?", "It is 12 times 7."]),
+    ("How many days are in 6 weeks?", ["How many days are in 11 weeks?"], ["How many days were in 6 weeks?"]),
+    ("A train travels 60 km in 2 hours and 90 km in 3 hours", ["So a train travels 75 miles in 4 minutes and 85 miles in 5 minutes"],
+     ["It drives 61 km in 4 hours and 95 km in 5 hours", "Run 75 miles in 4 minutes and 85 miles in 5 minutes"]),
+    ("10 20 30 40 50 60 70 80 90 of 11", ["1 2 3 4 5 6 7 8 9 of 12"], ["1 2 3 4 5 6 7 8 9 10 11 12"])])
+def test_leaks_of_short_and_number_dense_items(item, copies, others):
+    assert [found_leaks([item], t) for t in copies] == [[0]] * len(copies)
+    assert [found_leaks([item], t) for t in others] == [[]] * len(others)
+
+
 @needs_tables
 def test_leaks_equal_a_search_for_whole_items(spark):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
