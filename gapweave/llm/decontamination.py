@@ -2,7 +2,7 @@
 
 Numbers, names and units of a text become placeholders. Windows of the resulting template are
 looked up by hash among the benchmark's windows; hits that lie on one line of an item are put
-together, and the values in their slots must map one to one, so that a question with other
+together, and a value in their slots must have one new value, so that a question with other
 numbers is found and a text that merely has numbers in the same places is not.
 """
 
@@ -179,9 +179,11 @@ def leaks(value: np.ndarray, kind: np.ndarray, index: Index, run: int, cover: fl
             if (covered & literal).sum() < min(index.literals, literal.sum()):
                 continue
             places = np.flatnonzero(covered & (kinds != _LITERAL))
-            pairs = set(zip(slots[places].tolist(), forms[1][2][places + shift].tolist()))
-            if len(pairs) != len({a for a, _ in pairs}) or len(pairs) != len({b for _, b in pairs}):
-                continue  # one value stands for two, or two for one
+            triples = set(zip(kinds[places].tolist(), slots[places].tolist(), forms[1][2][places + shift].tolist()))
+            # Other numbers and units of a whole item may coincide; names, and all slots of a part, may not.
+            strict = [x for x in triples if x[0] == _NAME or total < len(codes)]
+            if len(triples) != len({x[:2] for x in triples}) or len(strict) != len({x[::2] for x in strict}):
+                continue  # one value became two, or two became one
         best[item] = max(best.get(item, (0, 0, 0)), (total, 1 - family, len(codes)))
     return [(item, 1 - plain, total, size) for item, (total, plain, size) in sorted(best.items())]
 
@@ -194,8 +196,10 @@ def flag_leaks(
 
     An item is leaked into a text when ``run`` neighbouring template tokens (or the whole item, if shorter)
     or the share ``cover`` of it match on one line of the item, either word for word without case, or with other
-    numbers, names and units whose values map one to one (``reworded``); then at least ``literals`` words outside the slots
-    (all that the item has, if fewer; at least one) must match on the line. Windows have ``width`` tokens. Items of fewer than ``least`` tokens and null texts match nothing; repeated items and rows
+    numbers, names and units (``reworded``): one old value has one new value, and two have two, but two numbers or
+    units of an item that matches whole may have become the same. For reworded matches at least ``literals`` words
+    outside the slots (all that the item has, if fewer; at least one) must match on the line. Windows have ``width``
+    tokens. Items of fewer than ``least`` tokens and null texts match nothing; repeated items and rows
     are treated one by one. A column named ``leaked_items`` is replaced. An empty benchmark leaks nothing.
 
     The benchmark is the stated query set: it is read in blocks of about ``block_chars`` characters, each broadcast, so

@@ -109,6 +109,15 @@ def test_leaks_of_short_and_number_dense_items(item, copies, others):
     assert [found_leaks([item], t) for t in others] == [[]] * len(others)
 
 
+def test_leaks_whose_new_numbers_coincide():
+    item = "Now Ann has 3 pens and 5 cups while Bob has 3 cups, so in 7 km Ann and Bob lose 2 of all"
+    new = "Now Eve has 4 pens and 4 cups while Dan has 4 cups, so in 4 miles Eve and Dan lose 4 of all"
+    assert found_leaks([item], new) == [0]
+    assert found_leaks([item], new.replace("Dan has 4", "Dan has 6")) == []  # one number became two
+    assert found_leaks([item], new.replace("Dan", "Eve")) == []  # two names became one
+    assert found_leaks([item], new.replace(" all", " some")) == []  # part of the item only
+
+
 @needs_tables
 def test_leaks_equal_a_search_for_whole_items(spark):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
