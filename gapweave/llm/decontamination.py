@@ -56,12 +56,12 @@ class Reader:
         found = self.words[token] = (xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")) & ((1 << 60) - 1)) << 3 | kind
         return found
 
-    def read(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(hash, kind) per token without stops. A capital counts as a name only inside a sentence, or where the
-        word is a name elsewhere in the text; a unit only after or before a number."""
+    def read(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, kind, opens a sentence) per token without stops. Only neighbours count: every capital is a name here, a
+        unit stands after or before a number."""
         tokens = _TOKEN.findall(text)
         if not tokens:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int8)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, bool)
         found = list(map(self.words.get, tokens))
         if None in found:
             found = [self._look(t) if f is None else f for t, f in zip(tokens, found)]
@@ -69,30 +69,65 @@ class Reader:
         value, kind = (packed >> 3).astype(np.uint64), (packed & 7).astype(np.int8)
         stop = kind == _STOP
         opens = np.concatenate([[True], stop[:-1]])
-        name = kind == _NAME
-        sure = name & ~opens
-        if (name & opens).any():
-            known = np.isin(value, value[sure]) if sure.any() else np.zeros(len(value), bool)
-            kind[name & opens & ~known] = _LITERAL
         if (kind == _UNIT).any():
             number = kind == _NUMBER
             near = np.concatenate([[False], number[:-1]]) | np.concatenate([number[1:], [False]])
             kind[(kind == _UNIT) & ~near] = _LITERAL
-        return value[~stop], kind[~stop]
+        return value[~stop], kind[~stop], opens[~stop]
 
 
-def templates(value: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template hashes, kinds and slot values; a run of names is one slot."""
+@dataclasses.dataclass
+class Form:
+    """A text as codes to hash, kinds and slot values; first and last word of each slot."""
+
+    codes: np.ndarray
+    kinds: np.ndarray
+    slots: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    #: slots that begin with a sentence opener of which only the word itself, not its kind, is known
+    asked: np.ndarray
+
+    @classmethod
+    def plain(cls, value: np.ndarray) -> Form:
+        return cls(value, np.zeros(len(value), np.int8), value, value, value, np.zeros(len(value), bool))
+
+
+def templates(value: np.ndarray, kind: np.ndarray, opens: np.ndarray, asked: np.ndarray) -> Form:
+    """A run of names within a sentence is one slot."""
     name = kind == _NAME
-    more = np.concatenate([[False], name[1:] & name[:-1]]) if len(kind) else np.zeros(0, bool)
+    more = np.concatenate([[False], name[1:] & name[:-1]]) & ~opens if len(kind) else np.zeros(0, bool)
+    first = last = slot = value
     if more.any():
         heads = np.flatnonzero(~more)
-        joined = np.add.reduceat(value * _STEP, heads)
-        slot = np.where(np.diff(np.append(heads, len(kind))) > 1, joined, value[heads])
-        kind = kind[heads]
-    else:
-        slot = value
-    return np.where(kind == _LITERAL, slot, _KIND_MARK[kind]), kind, slot
+        ends = np.append(heads[1:], len(kind)) - 1
+        first, last = value[heads], value[ends]
+        slot = np.where(ends > heads, np.add.reduceat(value * _STEP, heads), first)
+        kind, asked = kind[heads], asked[heads]
+    return Form(np.where(kind == _LITERAL, slot, _KIND_MARK[kind]), kind, slot, first, last, asked)
+
+
+def readings(value: np.ndarray, kind: np.ndarray, opens: np.ndarray) -> list[Form]:
+    """Templates with sentence openers as words and, if there are capitals among them, as names."""
+    opener, none = (kind == _NAME) & opens, np.zeros(len(kind), bool)
+    out = [templates(value, np.where(opener, _LITERAL, kind), opens, none)]
+    if opener.any():
+        out.append(templates(value, kind, opens, none))
+    return out
+
+
+def item_readings(value: np.ndarray, kind: np.ndarray, opens: np.ndarray) -> list[Form]:
+    """Those of ``readings``, and one with only those openers as names that are names inside a sentence of the item. The
+    others ask for the same word where they are read as names. Readings without another slot are left out."""
+    name = kind == _NAME
+    unsure = name & opens & ~np.isin(value, value[name & ~opens])
+    none, forms = np.zeros(len(kind), bool), []
+    for kinds, asked in ((np.where(name & opens, _LITERAL, kind), none), (np.where(unsure, _LITERAL, kind), none), (kind, unsure)):
+        form = templates(value, kinds, opens, asked)
+        alone = form.asked & (form.first == form.slots)
+        if ((form.kinds != _LITERAL) & ~alone).any() and not any(np.array_equal(form.codes, f.codes) for f in forms):
+            forms.append(form)
+    return forms
 
 
 def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
@@ -119,20 +154,17 @@ class Index:
         """All plain windows, and the template windows with a slot and a literal; ``literals`` is asked of whole lines in ``leaks``."""
         reader, items, found = Reader(), {}, defaultdict(lambda: defaultdict(list))
         for i, text in rows:
-            value, kind = reader.read(text or "")
+            value, kind, opens = reader.read(text or "")
             if len(value) < least:
                 continue
-            plain = (value, np.zeros(len(value), np.int8), value)
-            for family, (codes, kinds, slots) in enumerate((plain, templates(value, kind))):
-                if family and not (kinds != _LITERAL).any():
-                    continue
-                w = min(width, len(codes))
+            for family, form in [(0, Form.plain(value)), *((1, f) for f in item_readings(value, kind, opens))]:
+                w = min(width, len(form.codes))
                 if w < least:
                     continue
                 n = len(items)
-                items[n] = (i, family, codes, kinds, slots)
-                hashes = window_hashes(codes, w)
-                solid = np.convolve(kinds == _LITERAL, np.ones(w, int), "valid")
+                items[n] = (i, family, form)
+                hashes = window_hashes(form.codes, w)
+                solid = np.convolve((form.kinds == _LITERAL) | form.asked, np.ones(w, int), "valid")
                 for p in np.flatnonzero((solid > 0) & ((solid < w) if family else True)):
                     found[w][int(hashes[p])].append((n, int(p)))
         by_width = {}
@@ -144,30 +176,36 @@ class Index:
         return cls(width, literals, items, by_width)
 
 
-def leaks(value: np.ndarray, kind: np.ndarray, index: Index, run: int, cover: float) -> list[tuple]:
+def leaks(value: np.ndarray, kind: np.ndarray, opens: np.ndarray, index: Index, run: int, cover: float) -> list[tuple]:
     """(item, template?, matched tokens, item tokens) of the items that a text contains."""
-    lines: set[tuple[int, int]] = set()
-    forms = [(value, np.zeros(len(value), np.int8), value)]
-    if (kind != _LITERAL).any():
-        forms.append(templates(value, kind))
-    for family, (codes, _, _) in enumerate(forms):
+    lines: set[tuple[int, int, int]] = set()
+    forms = [Form.plain(value), *(readings(value, kind, opens) if (kind != _LITERAL).any() else ())]
+    for f, form in enumerate(forms):
         for w, (keys, gate, table_) in index.by_width.items():
-            hashes = window_hashes(codes, w)
+            hashes = window_hashes(form.codes, w)
             maybe = np.flatnonzero(gate[(hashes >> np.uint64(48)).astype(np.int64)])
             if not len(maybe):
                 continue
             at = np.minimum(np.searchsorted(keys, hashes[maybe]), len(keys) - 1)
             for p in maybe[keys[at] == hashes[maybe]].tolist():
                 for n, q in table_[int(hashes[p])]:
-                    if index.items[n][1] == family:
-                        lines.add((n, p - q))
+                    if index.items[n][1] == (f > 0):
+                        lines.add((n, f, p - q))
     best: dict = {}
-    for n, shift in lines:
-        item, family, codes, kinds, slots = index.items[n]
-        there, w = forms[family][0], min(index.width, len(codes))
-        a, b = max(0, -shift), min(len(codes), len(there) - shift)
-        same = np.zeros(len(codes), bool)
-        same[a:b] = codes[a:b] == there[a + shift:b + shift]
+    for n, f, shift in lines:
+        item, family, own = index.items[n]
+        codes, kinds, slots = own.codes, own.kinds, own.slots
+        there, w = forms[f], min(index.width, len(codes))
+        a, b = max(0, -shift), min(len(codes), len(there.codes) - shift)
+        here = slice(a + shift, b + shift)
+        same, word = np.zeros(len(codes), bool), kinds == _LITERAL
+        same[a:b] = codes[a:b] == there.codes[here]
+        if own.asked.any():
+            # An opener that need not be a name stays the same word; it may follow names, as in "Question: What".
+            alone = own.first == own.slots
+            kept = (own.first[a:b] == there.first[here]) | (alone[a:b] & (own.first[a:b] == there.last[here]))
+            same[a:b] &= ~own.asked[a:b] | kept
+            word |= own.asked & alone
         # Windows of slots only are not looked up but count beside others.
         covered = np.convolve(np.convolve(same, np.ones(w, int), "valid") == w, np.ones(w, int)) > 0
         longest = max((len(x) for x in "".join("x" if c else " " for c in covered).split()), default=0)
@@ -175,11 +213,10 @@ def leaks(value: np.ndarray, kind: np.ndarray, index: Index, run: int, cover: fl
         if longest < min(run, len(codes)) and not (total >= max(cover * len(codes), index.width)):
             continue
         if family:
-            literal = kinds == _LITERAL
-            if (covered & literal).sum() < min(index.literals, literal.sum()):
+            if (covered & word).sum() < min(index.literals, word.sum()):
                 continue
-            places = np.flatnonzero(covered & (kinds != _LITERAL))
-            triples = set(zip(kinds[places].tolist(), slots[places].tolist(), forms[1][2][places + shift].tolist()))
+            places = np.flatnonzero(covered & ~word)
+            triples = set(zip(kinds[places].tolist(), slots[places].tolist(), there.slots[places + shift].tolist()))
             # Other numbers and units of a whole item may coincide; names, and all slots of a part, may not.
             strict = [x for x in triples if x[0] == _NAME or total < len(codes)]
             if len(triples) != len({x[:2] for x in triples}) or len(strict) != len({x[::2] for x in strict}):
@@ -196,7 +233,7 @@ def flag_leaks(
 
     An item is leaked into a text when ``run`` neighbouring template tokens (or the whole item, if shorter)
     or the share ``cover`` of it match on one line of the item, either word for word without case, or with other
-    numbers, names and units (``reworded``): one old value has one new value, and two have two, but two numbers or
+    numbers, names and units (``reworded``; a sentence opener is read as a word and as a name): one old value has one new value, and two have two, but two numbers or
     units of an item that matches whole may have become the same. For reworded matches at least ``literals`` words
     outside the slots (all that the item has, if fewer; at least one) must match on the line. Windows have ``width``
     tokens. Items of fewer than ``least`` tokens and null texts match nothing; repeated items and rows

@@ -118,6 +118,21 @@ def test_leaks_whose_new_numbers_coincide():
     assert found_leaks([item], new.replace(" all", " some")) == []  # part of the item only
 
 
+def test_reworded_leaks_inside_a_long_document_with_titles():
+    items = ["The farm has 3 cows. He buys 5 more cows. How many are there? What is 7 of them worth?",
+             "Alice has 12 pens. How many pens has Bob if Alice gives 4 to Bob? What is left?", "What is 12 times 7?"]
+    new = ["The farm has 8 cows. He buys 9 more cows. How many are there? What is 6 of them worth?",
+           "Ann Lee has 31 pens. How many pens has Dan if Ann Lee gives 5 to Dan? What is left?", "What is 31 times 9?"]
+    title = "\nAbout The Farm, Where Ann Lee And He Met: How, And What Is Left\n"
+    prose = "It went on so and they said, What now. Of it all The rest was as before. " * 300
+    for i, text in enumerate(new):
+        lead = "and Question: " if i != 1 else "Question. "
+        for copy in (text, title + prose + text + title + prose, title + prose + lead + text + title, title + "so " + text.replace("What", "what").replace("The", "the") + title):
+            assert found_leaks(items, copy) == [i], copy[-300:]
+    assert found_leaks(items, title + prose + "Here is 31 times 9?" + title) == []  # another word, not a name
+    assert found_leaks(items, title + prose + new[1].replace("gives 5 to Dan", "gives 5 to Eve")) == []  # one name became two
+
+
 @needs_tables
 def test_leaks_equal_a_search_for_whole_items(spark):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
