@@ -27,6 +27,7 @@ from .common import append_columns, in_task, query, strings, table
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_BARE_SLASH = re.compile(r"=\s*[^\s\"'=][^\s\"']*\Z|=\s*/\Z")  # a value without quotes at the end, its slash included
 _PIECES = re.compile(r"[A-Za-z][a-z]+|[A-Z]{2,}")
 #: fixed values: HTML element kinds
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr img br input button select option".split())
@@ -45,7 +46,8 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(path tokens, text, characters inside links) of every leaf block with text, in page order.
 
     The path holds the names of the open elements and the words of their class, id and role. Inline elements
-    do not end a block, ``br`` is white space, and an element left open ends where its parent does.
+    do not end a block, ``br`` is white space, and an element left open ends where its parent does, also one
+    whose text is not shown (but for those read as raw text up to their own end). Such an element that closes itself is empty.
     """
     found, stack, buffer, links = [], [], [], 0
 
@@ -58,16 +60,34 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             buffer.clear()
         links = 0
 
-    def close(names: tuple[str, ...]) -> None:
-        for i in range(len(stack) - 1, -1, -1):
+    def reach(names: tuple[str, ...], top: int) -> int | None:
+        for i in range(top - 1, -1, -1):
             if stack[i][0] in names:
-                del stack[i:]
-                return
+                return i
             if stack[i][0] in FENCES and not names[0] in FENCES:
-                return
+                return None
+
+    def close(names: tuple[str, ...]) -> None:
+        if (i := reach(names, len(stack))) is not None:
+            del stack[i:]
+
+    def ends(name: str, closing: bool, top: int) -> bool:
+        """Does this tag end an element below ``top``, where the first unread one is?"""
+        if not closing:
+            return name in CLOSES and not any(x in FENCES for x in inner) and reach(CLOSES[name], top) is not None
+        if name in INLINE:
+            while top and stack[top - 1][0] in INLINE:
+                top -= 1
+                if stack[top][0] == name:
+                    return True
+            return False
+        if name == "p" or name not in FENCES:
+            return reach((name,), top) is not None
+        return any(open_ == name for open_, _ in stack[:top])
 
     at, end = 0, len(page)
     unread = 0  # open elements whose text is not shown
+    inner: list[str] = []  # elements opened inside them
     match = _MARKUP.search
     while at < end:
         m = match(page, at)
@@ -84,6 +104,14 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if not name:
             continue
         closing = (m[1] if m[2] else m[4]) == "/"
+        attributes = m[3] or m[6] or ""
+        if not unread:
+            inner.clear()
+        elif name in INLINE and closing:
+            top = next(i for i, (open_, _) in enumerate(stack) if open_ in UNREAD)
+            if all(open_ != name for open_, _ in stack[top:]) and ends(name, closing, top):
+                del stack[top:]
+                unread = 0
         if name in INLINE:
             if name == "br":
                 buffer.append(" ")
@@ -101,7 +129,16 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             close(("head",))
             unread = sum(1 for open_, _ in stack if open_ in UNREAD)
         if unread and name not in UNREAD:
-            continue
+            if closing and name in inner:
+                while inner.pop() != name:
+                    pass
+                continue
+            top = next(i for i, (open_, _) in enumerate(stack) if open_ in UNREAD)
+            if not ends(name, closing, top):
+                if not closing and name not in VOID and not attributes.endswith("/"):
+                    inner.append(name)
+                continue
+            del stack[top:]
         if name not in UNREAD:
             flush()
         if closing:
@@ -115,12 +152,13 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 close(("p",))
             if name in CLOSES:
                 close(CLOSES[name])
-            if name in RAW and not (m[3] or m[6] or "").rstrip().endswith("/"):
+            if name in UNREAD and attributes.endswith("/") and not _BARE_SLASH.search(attributes):
+                continue
+            if name in RAW:
                 tail = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
                 at = tail.end() if tail else end
                 continue
             if name not in VOID:
-                attributes = m[3] or m[6] or ""
                 tokens = [name]
                 if "=" in attributes:
                     for value in _NAMES.findall(attributes):

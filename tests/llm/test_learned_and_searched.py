@@ -155,6 +155,19 @@ def test_leaf_blocks(page, texts):
     assert [t for _, t, _ in html_blocks.leaf_blocks(page)] == texts
 
 
+@pytest.mark.parametrize("page,texts", [
+    ("<header><svg class='icon'/></header><article><p>one</p></article>", ["one"]), ("<p>a<math/> b<canvas id=\"x\" />c<object data='y'/>d</p>", ["a bcd"]),
+    ("<iframe src='x'/><p>one</p><title/><p>two<script src=\"a\"/> three", ["one", "two three"]), ("<svg/><p>one", ["one"]), ("<p>a<svg viewBox='0 0 1 1' hidden/>b", ["ab"]),
+    ("<iframe src=/x/>no</iframe><p>one", ["one"]), ("<svg><path d='M0'/><g/><title/></svg><p>one", ["one"]),
+    *[(f"<div><header>h<{x} class='y'>no</header><p>one</p></div>two", ["h", "one", "two"]) for x in ("svg", "video", "audio", "object", "canvas", "math")],
+    ("<div><video><div><p>no</p></div>no</video>one</div>two", ["one", "two"]), ("<p>a<video src=x>no<p>no</p>no</p>b", ["a", "b"]),
+    ("<div><a href='/'><svg><path></a>one <b>two</b></div>three", ["one two", "three"]), ("<a>x<svg><a>no</a>no</svg>y</a>z", ["xyz"]),
+    ("<ul><li>1<svg>no<li>2<canvas>no</ul>z", ["1", "2", "z"]), ("<td>1<object><table><tr><td>no</table>no</object>2</td>", ["12"]),
+    ("<div><svg><foreignObject><div>no</div></foreignObject>no</svg>one</div>", ["one"]), ("<div><object><svg>no</object>one</div>", ["one"]), ("</p><video>no</p></section>no", [])])
+def test_leaf_blocks_after_unread_elements(page, texts):
+    assert [t for _, t, _ in html_blocks.leaf_blocks(page)] == texts
+
+
 def test_gradients_of_the_network():
     rng = np.random.default_rng(5)
     model = html_blocks.Labeller.fresh(rng)
