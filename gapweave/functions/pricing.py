@@ -86,13 +86,14 @@ def with_touch_probability(
 
 
 def with_option_value(df: DataFrame, out: str, spot: Column, strike: Column, iv: Column, years: Column, put: Column) -> DataFrame:
-    """Add the Black-Scholes value at zero rate; intrinsic once the time is used up.
+    """Add the Black-Scholes value at zero rate; intrinsic once the time is used up, null before where ``iv`` is not positive.
 
     A put is priced by parity, so that two distribution values serve both kinds.
     """
     scale = iv * F.sqrt(years)
     d1 = (F.ln(spot / strike) + iv * iv * years / 2) / scale
-    staged = df.withColumn("__d1", F.when(years > 0, d1)).withColumn("__d2", F.when(years > 0, d1 - scale))
+    open_ = (years > 0) & (iv > 0)
+    staged = df.withColumn("__d1", F.when(open_, d1)).withColumn("__d2", F.when(open_, d1 - scale))
     staged = staged.withColumn("__n1", normal_cdf(F.col("__d1"))).withColumn("__n2", normal_cdf(F.col("__d2")))
     intrinsic = F.greatest(F.lit(0.0), F.when(put, strike - spot).otherwise(spot - strike))
     live = spot * F.col("__n1") - strike * F.col("__n2") + F.when(put, strike - spot).otherwise(0.0)

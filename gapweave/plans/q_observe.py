@@ -84,6 +84,17 @@ def option_value(spark, d):
     return g.select("p_partkey", r6(F.col("v"), 5).alias("premium"))
 
 
+@query("option_value_all", f"""SELECT p_partkey, CASE WHEN years <= 0 THEN round(greatest(0.0, CASE WHEN put THEN strike - spot ELSE spot - strike END)::DOUBLE, 5) + 0.0
+  WHEN scale IS NULL THEN NULL WHEN put THEN round(strike * {ncdf('m2')} - spot * {ncdf('m1')}, 5) + 0.0 ELSE round(spot * {ncdf('d1')} - strike * {ncdf('d2')}, 5) + 0.0 END AS premium FROM (
+ SELECT *, -d1 AS m1, -d2 AS m2 FROM (SELECT *, d1 - scale AS d2 FROM (
+  SELECT *, (ln(spot / strike) + 0.5 * sigma * sigma * years) / scale AS d1 FROM (
+   SELECT *, CASE WHEN sigma > 0 AND years > 0 THEN sigma * sqrt(years) END AS scale, p_partkey % 2 = 0 AS put FROM gbm))))""")
+def option_value_all(spark, d):
+    """Every part, also those without volatility, which only ``option_value`` leaves out."""
+    g = P.with_option_value(gbm(spark, d), "v", F.col("spot"), F.col("strike"), F.col("sigma"), F.col("years"), F.col("p_partkey") % 2 == 0)
+    return g.select("p_partkey", r6(F.col("v"), 5).alias("premium"))
+
+
 @query("discrepancy", """SELECT p_partkey, round((pm - opt) * 100, 6) + 0.0 AS gap_pp, CASE WHEN opt > 0 THEN round(abs(pm - opt) / opt, 6) + 0.0 END AS relative_gap,
  CASE WHEN pm > opt THEN 'CHEAP' WHEN pm < opt THEN 'RICH' WHEN pm = opt THEN 'EVEN' END AS side FROM (
  SELECT p_partkey, CASE WHEN p_size <= 40 THEN p_size / CAST(40 AS DOUBLE) END AS pm, (p_partkey % 11) / CAST(10 AS DOUBLE) AS opt FROM part)""")

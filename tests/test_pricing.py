@@ -17,6 +17,17 @@ NOW = 1_894_708_800_000 + 0  # 2030-01-15T12:00:00Z
 DAY = 86_400_000
 
 
+def test_option_value_without_volatility_is_null_also_under_ansi(spark):
+    spark.conf.set("spark.sql.ansi.enabled", "true")
+    try:
+        rows = spark.createDataFrame([(0, 0.0, 1.0), (1, None, 1.0), (2, -0.2, 1.0), (3, 0.0, 0.0), (4, 0.2, 1.0)], "i int, iv double, years double")
+        out = P.with_option_value(rows, "v", F.lit(100.0), F.lit(90.0), F.col("iv"), F.col("years"), F.lit(False))
+        got = {r.i: r.v for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+    assert [got[i] for i in range(4)] == [None, None, None, 10.0] and got[4] == pytest.approx(13.5891, abs=1e-3)
+
+
 def test_normal_cdf_is_exact(spark):
     xs = [-40.0, -8.0, -7.2, -3.3, -1.0, -1e-9, 0.0, 0.5, 2.0, 6.9, 7.2, 12.0]
     df = spark.createDataFrame([(x,) for x in xs], "x double").select("x", P.normal_cdf(F.col("x")).alias("p"))
