@@ -108,4 +108,5 @@ FROM (SELECT doc_id, sha256({_sql('text')}) AS s FROM documents) d LEFT JOIN k O
 
 @query("op9_license_scan", ORACLE)
 def op9_license_scan(spark, sf_dir):
+    """Whole texts of MIT, ISC, 0BSD and BSD-2/3 and the one-line notices of ``KNOWN``; other whole texts have a null ``license_id``."""
     return license_scan(table(spark, sf_dir, "documents"), known_table(spark))
