@@ -53,7 +53,7 @@ def hash_term(term: bytes) -> int:
     return xxhash.xxh3_64_intdigest(term)
 
 
-def build_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bits: int = 8, hashes: int = 4, block_docs: int = 512) -> DataFrame:
+def build_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bits: int = 12, hashes: int = 4, block_docs: int = 512) -> DataFrame:
     """Blocks of signatures of all rows that have a term: ``n_rows`` bit rows, the documents' keys, ids and lengths, the ``bits`` row by row.
 
     A block's documents have as many entries (terms and reached levels) up to a factor of two, and ``bits`` to ``2 * bits`` bits for each.
@@ -70,8 +70,9 @@ def build_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bit
                 lengths.append(len(words))
                 if len(memory) >= _MEMORY:
                     memory.clear()
-                for w in found.keys() - memory.keys():
-                    memory[w] = hash_term(w)
+                for w in found:
+                    if w not in memory:
+                        memory[w] = hash_term(w)
                 hashed += map(memory.__getitem__, found)
                 counts += found.values()
                 owner.append(len(found))
@@ -250,7 +251,7 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
 
 def bloom_search(
     docs: DataFrame, items: DataFrame, k: int = 10, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id",
-    bits: int = 8, hashes: int = 4, block_docs: int = 512, items_bytes: int = 1 << 20, index: DataFrame | None = None,
+    bits: int = 12, hashes: int = 4, block_docs: int = 512, items_bytes: int = 1 << 20, index: DataFrame | None = None,
 ) -> DataFrame:
     """The ``k`` best rows of ``docs`` for every row of ``items``: ``item_id, rank, doc_id, score``.
 
