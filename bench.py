@@ -18,7 +18,7 @@ HEADLINE = (
     "top_gaps_by_market", "effective_clock", "accept_newer", "asof_join", "horizon_changes", "trend_label", "native_jumps",
     "gap_episodes", "episode_summary", "curve_nodes", "side_clusters", "infer_event", "book_state", "observe", "asof_grid",
     "sliced_wasserstein", "lead_lag", "verify_recompute", "closed_lot_attribution", "wallet_metrics", "drawdown", "entry_evidence",
-    "expression_scenarios", "tape_integrity",
+    "expression_scenarios", "tape_integrity", "observe_from_tape",
 )
 
 

@@ -21,6 +21,53 @@ ALL_EVENTS = ("catalog", "timer")
 # --------------------------------------------------------------------------------------
 
 
+class Limits:
+    """Thresholds as columns: those of a config, or where a struct ``column`` of the rows names them, the row's own."""
+
+    #: the thresholds that pricing reads
+    NAMES = ("yahoo_seconds", "pm_max_age_ms", "gamma_max_age_ms", "options_max_age_ms", "spot_max_age_ms", "history_max_age_ms",
+             "max_expiry_offset_hours", "max_pm_spread", "time_scale")
+
+    def __init__(self, config: Config = Config(), column: str | None = None) -> None:
+        self.config, self.column = config, column
+
+    def value(self, name: str) -> Column:
+        fixed = F.lit(getattr(self.config, name))
+        return fixed if self.column is None else F.coalesce(F.col(self.column)[name], fixed)
+
+    def age(self, name: str) -> Column:
+        """A length of time in tape milliseconds."""
+        return self.value(name) * self.value("time_scale")
+
+    def equity_age(self) -> Column:
+        return F.greatest(self.value("yahoo_seconds") * 2000, F.lit(90_000)) * self.value("time_scale")
+
+
+def _limits(config: Config | Limits) -> Limits:
+    return config if isinstance(config, Limits) else Limits(config)
+
+
+def _scoped(tape: DataFrame, salts: int) -> DataFrame:
+    """Packets with the key space and the key by which propositions are found; a salt where all are concerned."""
+    kind = F.col("kind")
+    scope = (F.when(kind.isin(*BY_ASSET), "asset").when(kind.isin(*BY_TOKEN), "token")
+             .when(kind.isin(*BY_EVENT), "event").when(kind.isin(*ALL_EVENTS), "all"))
+    key = F.when(scope == "all", F.pmod("raw_id", F.lit(salts)).cast("string")).otherwise(F.col("subject"))
+    return tape.withColumn("__scope", scope).withColumn("__key", key)
+
+
+def _keyed(scope: str, key: Column) -> Column:
+    return F.struct(F.lit(scope).alias("__scope"), key.alias("__key"))
+
+
+def _own_keys() -> Column:
+    return F.array(_keyed("asset", F.col("asset")), _keyed("token", F.col("yes_token")), _keyed("event", F.col("event_id")))
+
+
+def _salt_keys(salts: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(salts - 1)), lambda i: _keyed("all", i.cast("string")))
+
+
 def trigger_fanout(tape: DataFrame, events: DataFrame, salts: int = 16) -> DataFrame:
     """One row per (packet, proposition it re-observes).
 
@@ -29,17 +76,36 @@ def trigger_fanout(tape: DataFrame, events: DataFrame, salts: int = 16) -> DataF
     of packets that concern all propositions is salted, so that it spreads over
     ``salts`` partitions when the proposition set is too large to broadcast.
     """
-    kind = F.col("kind")
-    scope = (F.when(kind.isin(*BY_ASSET), "asset").when(kind.isin(*BY_TOKEN), "token")
-             .when(kind.isin(*BY_EVENT), "event").when(kind.isin(*ALL_EVENTS), "all"))
-    key = F.when(scope == "all", F.pmod("raw_id", F.lit(salts)).cast("string")).otherwise(F.col("subject"))
-    keyed = lambda s, k: F.struct(F.lit(s).alias("__scope"), k.alias("__key"))
-    everyone = F.transform(F.sequence(F.lit(0), F.lit(salts - 1)), lambda i: F.struct(F.lit("all").alias("__scope"), i.cast("string").alias("__key")))
-    keys = events.withColumn("__k", F.explode(F.concat(F.array(
-        keyed("asset", F.col("asset")), keyed("token", F.col("yes_token")), keyed("event", F.col("event_id"))), everyone)))
+    keys = events.withColumn("__k", F.explode(F.concat(_own_keys(), _salt_keys(salts))))
     keys = keys.select("__k.*", *events.columns).filter(F.col("__key").isNotNull())
-    packets = tape.withColumn("__scope", scope).withColumn("__key", key)
-    return packets.join(keys, ["__scope", "__key"]).drop("__scope", "__key", "subject")
+    return _scoped(tape, salts).join(keys, ["__scope", "__key"]).drop("__scope", "__key", "subject")
+
+
+def version_fanout(packets: DataFrame, versions: DataFrame, top: int, slice_rows: int = ID_SLICE, salts: int = 16) -> DataFrame:
+    """One row per packet and version in force that it concerns: an interval join by tape position.
+
+    ``packets``: raw_id, seq, kind, subject and pass-through columns; ``versions``: event_id, valid_from, valid_to, asset, yes_token, ...;
+    ``top`` is the highest id of the tape. Versions are entered in the slices of the tape that they cover, once per key and proposition, so a
+    packet meets only propositions alive around it. Which version of them holds is one sweep in tape order over packets and version changes;
+    packets and versions are never paired.
+    """
+    cut = lambda c: F.floor(c / F.lit(slice_rows))
+    covered = F.sequence(cut(F.col("valid_from")), F.least(cut(F.col("valid_to") - 1), F.lit(top // slice_rows)))
+    alive = versions.filter(F.col("valid_from") <= top).select("event_id", "asset", "yes_token", F.explode(covered).alias(SLICE))
+    own = alive.select("event_id", SLICE, F.explode(_own_keys()).alias("__k"))
+    everyone = alive.select("event_id", SLICE).distinct().select("event_id", SLICE, F.explode(_salt_keys(salts)).alias("__k"))
+    keys = own.unionByName(everyone).select("event_id", SLICE, "__k.*").filter(F.col("__key").isNotNull()).distinct()
+    rows = _scoped(packets, salts).withColumn(SLICE, cut(F.col("raw_id"))).join(keys, ["__scope", "__key", SLICE])
+
+    said = F.struct(*[F.col(c) for c in versions.columns if c != "event_id"])
+    begins = versions.select("event_id", F.col("valid_from").alias("raw_id"), F.lit(-1).alias("seq"), said.alias("__v"))
+    ends = versions.filter(F.col("valid_to") <= top).select("event_id", F.col("valid_to").alias("raw_id"), F.lit(-2).alias("seq"))
+    marks = begins.unionByName(ends, allowMissingColumns=True).withColumn("__mark", F.lit(True)).withColumn(SLICE, cut(F.col("raw_id")))
+    both = rows.unionByName(marks, allowMissingColumns=True)
+    swept = running(both, ["event_id"], ["raw_id", "seq"], {"__now": last(F.when(F.col("__mark"), F.struct("__v")))}, SLICE, restart=True)
+    holds = F.col("__now.__v")
+    fits = F.when(F.col("__scope") == "asset", holds["asset"] == F.col("subject")).when(F.col("__scope") == "token", holds["yes_token"] == F.col("subject")).otherwise(F.lit(True))
+    return swept.filter(F.col("__mark").isNull() & holds.isNotNull() & fits).select(*packets.drop("subject").columns, "event_id", "__now.__v.*")
 
 
 def session_config_asof(packets: DataFrame, sessions: DataFrame, values: list[str], slice_rows: int = ID_SLICE) -> DataFrame:
@@ -88,21 +154,56 @@ def surface_rows(snapshots: DataFrame, contracts: DataFrame, events: DataFrame)
     Of the expiries in one packet only the smallest at or after the event's can
     ever cover it, so each (packet, proposition) keeps one.
     """
+    rows = trigger_fanout(option_packets(snapshots), events)
+    return covering_rows(rows, contracts)
+
+
+def option_packets(snapshots: DataFrame) -> DataFrame:
+    """A packet per asset and option packet, with its expiries in ``__all``."""
     per_packet = snapshots.groupBy("asset", "raw_id").agg(
         F.first("received_ms").alias("now_ms"),
         F.array_sort(F.collect_list(F.struct("expiry", "venue", "received_ms", "source_ms", "forward"))).alias("__all"))
-    rows = trigger_fanout(per_packet.withColumn("kind", F.lit("options")).withColumnRenamed("asset", "subject"), events)
+    return per_packet.withColumn("kind", F.lit("options")).withColumn("seq", F.lit(_SEQUENCE["options"])).withColumnRenamed("asset", "subject")
+
+
+def covering_rows(rows: DataFrame, contracts: DataFrame) -> DataFrame:
+    """Option packets of propositions with ``surface``: the nearest covering expiry of ``__all`` and its strike neighbourhood."""
     covering = F.filter("__all", lambda s: s["expiry"] >= F.col("expiry"))
     rows = rows.withColumn("__s", F.get(covering, F.lit(0))).withColumn("__expiry", F.col("__s.expiry"))
+    return _with_surface(rows, contracts).drop("__all")
+
+
+def _with_surface(rows: DataFrame, contracts: DataFrame, packet: str = "raw_id") -> DataFrame:
     calls = contracts.filter("option_type = 'call'") if "option_type" in contracts.columns else contracts
-    listed = calls.select(F.col("id").alias("raw_id"), F.col("expiry").alias("__expiry"), "pos", "strike", "bid", "ask", "mark", "iv")
+    listed = calls.select(F.col("id").alias(packet), F.col("expiry").alias("__expiry"), "pos", "strike", "bid", "ask", "mark", "iv")
     uncovered = rows.filter(F.col("__expiry").isNull())
-    rows = SF.strike_neighborhood(rows.filter(F.col("__expiry").isNotNull()), listed, ["raw_id", "__expiry"])
+    rows = SF.strike_neighborhood(rows.filter(F.col("__expiry").isNotNull()), listed, [packet, "__expiry"])
     surface = F.struct(
-        (-F.col("__expiry")).alias("nearness"), F.col("raw_id").alias("ref"), F.col("__expiry").alias("expiry"), "__s.venue",
+        (-F.col("__expiry")).alias("nearness"), F.col(packet).alias("ref"), F.col("__expiry").alias("expiry"), "__s.venue",
         "__s.received_ms", "__s.source_ms", "__s.forward", "below", "above", "near")
     rows = rows.withColumn("surface", surface).drop("below", "above", "near").unionByName(uncovered, allowMissingColumns=True)
-    return rows.withColumn("seq", F.lit(_SEQUENCE["options"])).drop("__all", "__s", "__expiry")
+    return rows.drop("__s", "__expiry")
+
+
+def leg_starts(versions: DataFrame, changes: DataFrame, snapshots: DataFrame, contracts: DataFrame, slice_rows: int = ID_SLICE) -> DataFrame:
+    """A row of kind ``start`` per version with the state its legs had just before it: one as-of join per leg, over versions only.
+
+    ``changes`` are the rows of ``leg_rows``.
+    """
+    rows = versions.withColumn("raw_id", F.col("valid_from"))
+    for kind, on in (("pm", ["yes_token"]), ("listing", ["event_id"]), ("spot", ["asset"]), ("history", ["asset", "window_start"])):
+        state = changes.filter(F.col("kind") == kind).select(F.col("raw_id").alias("__at"), F.col("subject").alias(on[0]), kind)
+        state = state.withColumn("window_start", F.col("history.window_start")) if kind == "history" else state
+        rows = asof_join(rows, state, on, "raw_id", "__at", [kind], strict=True, slice_width=slice_rows)
+    # Of the expiries seen before the version, the smallest that covers it; of that, the newest snapshot.
+    seen = snapshots.groupBy("asset", F.col("expiry").alias("__expiry")).agg(F.min("raw_id").alias("__first"))
+    nearest = versions.select("event_id", "valid_from", "asset", "expiry").join(seen, "asset").filter(
+        (F.col("__expiry") >= F.col("expiry")) & (F.col("__first") < F.col("valid_from"))).groupBy("event_id", "valid_from").agg(F.min("__expiry").alias("__expiry"))
+    rows = rows.join(nearest, ["event_id", "valid_from"], "left")
+    told = snapshots.select("asset", F.col("expiry").alias("__expiry"), F.col("raw_id").alias("__packet"), F.struct("venue", "received_ms", "source_ms", "forward").alias("__s"))
+    rows = asof_join(rows, told, ["asset", "__expiry"], "raw_id", "__packet", ["__s", "__packet"], strict=True, slice_width=slice_rows)
+    rows = _with_surface(rows, contracts, "__packet").drop("__packet")
+    return rows.withColumns({"kind": F.lit("start"), "seq": F.lit(-1)})
 
 
 def sweep_legs(rows: DataFrame, slice_rows: int = ID_SLICE) -> DataFrame:
@@ -121,18 +222,18 @@ def sweep_legs(rows: DataFrame, slice_rows: int = ID_SLICE) -> DataFrame:
         "path": last(matching), "covering": highest(F.col("surface"))}, SLICE, restart=True)
     following = F.lead("raw_id").over(Window.partitionBy("event_id", SLICE).orderBy(*order))
     swept = swept.withColumn("__next", following).filter(
-        (F.col("__next").isNull() | (F.col("__next") != F.col("raw_id"))) & (F.col("kind") != "listing"))
+        (F.col("__next").isNull() | (F.col("__next") != F.col("raw_id"))) & ~F.col("kind").isin("listing", "start"))
     return swept.drop("pm", "listing", "spot", "history", "surface", "seq", SLICE, "__next")
 
 
-def pm_leg(swept: DataFrame, config: Config = Config()) -> DataFrame:
+def pm_leg(swept: DataFrame, config: Config | Limits = Config()) -> DataFrame:
     """The prediction-market side of each observation.
 
     The book's mid counts while a book exists and is within its age limit, even
     if crossed; otherwise the catalog's indicative price, where there is one.
     """
     b, c = F.col("book"), F.col("indicative")
-    too_old = b.isNull() | (F.col("now_ms") - b["source_ms"] > config.scaled(config.pm_max_age_ms))
+    too_old = b.isNull() | (F.col("now_ms") - b["source_ms"] > _limits(config).age("pm_max_age_ms"))
     swept = swept.withColumn("__f", F.coalesce(too_old & c["pm_indicative"].isNotNull(), F.lit(False)))
     choose = lambda indicative, book: F.when(F.col("__f"), indicative).otherwise(book)
     nothing = F.lit(None).cast("double")
@@ -160,15 +261,15 @@ def flat_legs(rows: DataFrame) -> DataFrame:
     }).drop("covering", "spot_leg", "path")
 
 
-def quality_gate(config: Config = Config()) -> tuple[Column, Column]:
+def quality_gate(config: Config | Limits = Config()) -> tuple[Column, Column]:
     """(state, flag) of the first failing check, both null when all pass."""
     c, now = F.col, F.col("now_ms")
     age_ok = lambda at, limit: F.coalesce((now - at).between(F.lit(0), limit), F.lit(False))
-    limit = lambda ms: F.lit(config.scaled(ms))
+    limits = _limits(config)
     equity = F.coalesce(c("opt_venue") == "yahoo", F.lit(False))
-    pm_limit = F.when(c("pm_source") == "gamma_indicative", limit(config.gamma_max_age_ms)).otherwise(limit(config.pm_max_age_ms))
-    opt_limit = F.when(equity, limit(config.equity_max_age_ms)).otherwise(limit(config.options_max_age_ms))
-    spot_limit = F.when(c("spot_venue") == "yahoo", limit(config.equity_max_age_ms)).otherwise(limit(config.spot_max_age_ms))
+    pm_limit = F.when(c("pm_source") == "gamma_indicative", limits.age("gamma_max_age_ms")).otherwise(limits.age("pm_max_age_ms"))
+    opt_limit = F.when(equity, limits.equity_age()).otherwise(limits.age("options_max_age_ms"))
+    spot_limit = F.when(c("spot_venue") == "yahoo", limits.equity_age()).otherwise(limits.age("spot_max_age_ms"))
     offset = c("opt_expiry") - c("expiry")
     cascade = [
         (c("mapping_review") == "MISMATCH", "MISMATCH", "OPERATOR_REJECTED_MAPPING"),
@@ -179,7 +280,7 @@ def quality_gate(config: Config = Config()) -> tuple[Column, Column]:
         (c("options_ref").isNull(), "WAIT", "MISSING_OPTIONS"),
         (~age_ok(c("options_received_ms"), opt_limit) | ~age_ok(F.coalesce("opt_timestamp", "options_received_ms"), opt_limit),
          "STALE", "OPTIONS_AGE_LIMIT"),
-        (~offset.between(0, config.max_expiry_offset_hours * 3_600_000), "CUTOFF", "OPTION_EXPIRY_DOES_NOT_COVER_EVENT"),
+        (~offset.between(F.lit(0), limits.value("max_expiry_offset_hours") * 3_600_000), "CUTOFF", "OPTION_EXPIRY_DOES_NOT_COVER_EVENT"),
         (c("spot").isNull() | (c("spot") <= 0), "WAIT", "MISSING_SPOT"),
         (~age_ok(c("spot_timestamp"), spot_limit) & ~market_closed(), "STALE", "SPOT_AGE_LIMIT"),
     ]
@@ -197,7 +298,7 @@ EQUITY_FLAGS = (
 )
 
 
-def price_observation(rows: DataFrame, config: Config = Config()) -> DataFrame:
+def price_observation(rows: DataFrame, config: Config | Limits = Config()) -> DataFrame:
     """State, flags, method, confidence and implied probability of assembled rows.
 
     ``rows`` hold the proposition, its legs and the strike neighbourhood. The
@@ -223,7 +324,7 @@ def price_observation(rows: DataFrame, config: Config = Config()) -> DataFrame:
     digital, passed = c("__digital"), c("__gate").isNull()
     window_missing = c("window_start").isNull() | (c("window_start") > c("now_ms"))
     path_missing = (c("history_ref").isNull() | F.coalesce("history_error", F.lit(True))
-                    | (c("now_ms") - c("history_received_ms") > config.scaled(config.history_max_age_ms)))
+                    | (c("now_ms") - c("history_received_ms") > _limits(config).age("history_max_age_ms")))
     crossed = F.when(up, c("history_high") >= c("strike_or_threshold")).otherwise(c("history_low") <= c("strike_or_threshold"))
     # One reason per row, in the order the checks apply after the gate.
     model_state = (
@@ -246,7 +347,7 @@ def price_observation(rows: DataFrame, config: Config = Config()) -> DataFrame:
     modeled = passed & ~digital & c("iv").isNotNull()
     tail = priced & ((c("__q") < 0.01) | (c("__q") > 0.99))
     venue = F.lower(F.coalesce("settlement_source", F.lit("")))
-    wide = F.coalesce("pm_ask", F.lit(0.0)) - F.coalesce("pm_bid", F.lit(0.0)) > config.max_pm_spread
+    wide = F.coalesce("pm_ask", F.lit(0.0)) - F.coalesce("pm_bid", F.lit(0.0)) > _limits(config).value("max_pm_spread")
     equity = F.coalesce(c("opt_venue") == "yahoo", F.lit(False))
     flags = F.array_compact(F.array(
         c("__gate_flag"),

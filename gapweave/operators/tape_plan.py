@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import dataclasses
-import json
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -15,8 +12,7 @@ from ..sources import feeds
 from . import events as EV
 from . import legs
 from . import observe as O
-from .clock import effective_clock
-from .running import ID_SLICE, Run, id_slices, last, running
+from .running import ID_SLICE, Run, highest, id_slices, last, running
 
 SEMANTICS = (
     "event_text", "asset", "expiry", "event_type", "direction", "strike_or_threshold", "yes_token", "window_start", "settlement_source",
@@ -68,33 +64,34 @@ def proposition_versions(listings: DataFrame, mappings: DataFrame, dismissals: D
         "event_id", F.col("at").alias("valid_from"), F.coalesce("next", F.lit(2**63 - 1)).alias("valid_to"), *[F.col(f"p.{n}") for n in (*SEMANTICS, "mapping_raw_id")])
 
 
-def session_spans(tape: DataFrame, config: Config) -> list[tuple[int, int, Config]]:
-    """(first id, end id, thresholds) of each recording session; there is one packet per start of the recorder.
+#: Types of the thresholds a session may name, with the values each may have.
+_WHOLE, _SHARE = "bigint", "double"
+_THRESHOLDS = {n: (_SHARE, lambda v: (v > 0) & (v <= 1)) if n == "max_pm_spread" else (_WHOLE, lambda v: v >= 0) if n == "max_expiry_offset_hours" else (_WHOLE, lambda v: v >= 1)
+               for n in O.Limits.NAMES}
 
-    Fields a session does not name, or that thresholds do not have, stay as in ``config``.
-    """
-    starts = tape.filter("kind = 'session'").select("id", F.get_json_object("payload", "$.config").alias("c")).orderBy("id").collect()
-    known = {f.name for f in dataclasses.fields(Config)}
-    spans, begin, current = [], 0, config
-    for r in starts:
-        spans.append((begin, r.id, current))
-        told = {k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(r.c or "{}").items() if k in known}
-        begin, current = r.id, dataclasses.replace(config, **told)
-    return [s for s in [*spans, (begin, 2**63 - 1, current)] if s[0] < s[1]]
 
+def session_thresholds(payload: Column) -> Column:
+    """The thresholds that a session packet names, as one struct; those it does not name, or that may not be so, are null."""
+    told = F.from_json(F.get_json_object(payload, "$.config"), ", ".join(f"{n} {kind}" for n, (kind, _) in _THRESHOLDS.items()))
+    return F.struct(*[F.when(fits(told[n]), told[n]).alias(n) for n, (_, fits) in _THRESHOLDS.items()])
 
-def observe_from_tape(tape: DataFrame, config: Config = Config(), slice_rows: int = ID_SLICE) -> DataFrame:
-    """Priced observations of a raw tape: id, received_ms, kind, source, subject, source_ms, payload.
 
-    Malformed packets stay on the tape and change nothing. Books, spots and option packets pass acceptance; an equity chain
-    also brings its spot. Every proposition is observed while one of its versions holds, by the thresholds of the session the packet
-    belongs to, and ``input_refs`` names the packets behind each observation, the operator's mapping included. How many
-    propositions are worth observing is a question of its own (``select_events``).
+def observe_tape(tape: DataFrame, config: Config = Config(), slice_rows: int = ID_SLICE) -> tuple[DataFrame, DataFrame]:
+    """Priced observations of a raw tape, and its malformed packets with their ``error``.
+
+    ``tape``: id, received_ms, kind, source, subject, source_ms, payload. Malformed packets change nothing. Books, spots and option packets
+    pass acceptance; an equity chain also brings its spot. Every proposition is observed while one of its versions holds, by the thresholds
+    of the session the packet belongs to (those the session leaves open are ``config``'s), and ``input_refs`` names the packets behind each observation,
+    the operator's mapping included. How many propositions are worth observing is a question of its own (``select_events``).
+
+    A packet meets the versions in force at its place on the tape only (``version_fanout``); what their legs were before is one row per version
+    (``leg_starts``). Rows swept grow with the observations, however many versions the tape holds.
     """
-    sound = feeds.quarantine(tape)[0]
-    sound = stage_table(effective_clock(sound, slice_rows=slice_rows), "tape")
+    sound, errors = feeds.quarantine(tape)
+    specs = {"now_ms": highest(F.col("received_ms")), "thresholds": last(F.when(F.col("kind") == "session", session_thresholds(F.col("payload"))))}
+    sound = stage_table(running(sound, [], ["id"], specs, id_slices("id", slice_rows)), "tape")
     of = lambda *kinds: sound.filter(F.col("kind").isin(*kinds))
-    spans = session_spans(sound, config)
+    top = sound.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     tolerance = config.scaled(config.clock_tolerance_ms)
 
     listings = EV.infer_event(feeds.explode_catalog(of("catalog")))
@@ -118,21 +115,29 @@ def observe_from_tape(tape: DataFrame, config: Config = Config(), slice_rows: in
     triggers = bare(of("catalog", "timer"), F.lit(None).cast("string")).unionByName(bare(unused, F.col("subject"))).unionByName(
         bare(of("mapping"), F.get_json_object("payload", "$.event_id")))
 
-    # A version sees every packet of its asset and token, also earlier ones; what it observes is cut to its own stretch.
-    fanned = O.trigger_fanout(O.leg_rows(books.drop("timestamp_origin"), refreshed, spots.drop("timestamp_origin"), histories, triggers), versions)
-    rows = fanned.unionByName(O.surface_rows(snapshots, contracts, versions), allowMissingColumns=True)
+    changes = stage_table(O.leg_rows(books.drop("timestamp_origin"), refreshed, spots.drop("timestamp_origin"), histories, triggers), "leg-changes")
+    snapshots, contracts = stage_table(snapshots, "snapshots"), stage_table(contracts, "contracts")
+    packets = changes.unionByName(O.option_packets(snapshots), allowMissingColumns=True)
+    fanned = stage_table(O.version_fanout(packets, versions, top, slice_rows), "fanned")
+    chained = F.col("__all").isNotNull()
+    rows = fanned.filter(~chained).drop("__all").unionByName(O.covering_rows(fanned.filter(chained), contracts), allowMissingColumns=True)
+    rows = rows.unionByName(O.leg_starts(versions, changes, snapshots, contracts, slice_rows), allowMissingColumns=True)
     rows = rows.withColumn("__event", F.col("event_id")).withColumn("event_id", F.concat_ws("@", "event_id", "valid_from"))
-    swept = O.sweep_legs(rows, slice_rows).filter((F.col("raw_id") >= F.col("valid_from")) & (F.col("raw_id") < F.col("valid_to")))
+    swept = O.sweep_legs(rows, slice_rows)
     # The spot of an equity chain is the same packet as its options.
     own_spot = (F.col("kind") == "spot") & (F.col("spot_leg.venue") == "yahoo") & (F.col("spot_leg.ref") == F.col("raw_id"))
     swept = swept.withColumn("event_id", F.col("__event")).withColumn("kind", F.when(own_spot, "options").otherwise(F.col("kind"))).drop("__event")
+    swept = swept.join(sound.select(F.col("id").alias("raw_id"), "thresholds"), "raw_id")
     swept = stage_table(swept, "swept")
 
-    out = None
-    for begin, end, thresholds in spans:
-        part = swept.filter((F.col("raw_id") >= begin) & (F.col("raw_id") < end))
-        priced = O.price_observation(O.flat_legs(O.pm_leg(part, thresholds)), thresholds)
-        out = priced if out is None else out.unionByName(priced)
+    limits = O.Limits(config, "thresholds")
+    out = O.price_observation(O.flat_legs(O.pm_leg(swept, limits)), limits)
     refs = {"catalog": "catalog_ref", "mapping": "mapping_raw_id", "pm": "pm_ref", "options": "options_ref", "spot": "spot_ref", "history": "history_ref"}
     named = F.create_map(*[x for name, column in refs.items() for x in (F.lit(name), F.col(column))])
-    return out.withColumn("input_refs", F.map_filter(named, lambda k, v: v.isNotNull())).drop("valid_from", "valid_to")
+    out = out.withColumn("input_refs", F.map_filter(named, lambda k, v: v.isNotNull())).drop("valid_from", "valid_to", "thresholds")
+    return out, errors
+
+
+def observe_from_tape(tape: DataFrame, config: Config = Config(), slice_rows: int = ID_SLICE) -> DataFrame:
+    """The observations of ``observe_tape``."""
+    return observe_tape(tape, config, slice_rows)[0]

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import tape_plan
-from .fixtures import CONFIG, SCALE, SLICE_ROWS, ticks
+from .fixtures import CONFIG, SCALE, SLICE_ROWS, r6, ticks
+from .q_observe import ncdf
 from .registry import query, view
 
 # What each packet of ``events`` is: books by token, spots and summaries of BTC, equity chains of TSLA (with a spot for the former
@@ -13,7 +14,7 @@ from .registry import query, view
 view("rawtape", """
 SELECT id, received_ms, value, user_id % 8 AS n, CASE WHEN user_id % 8 < 4 THEN 'BTC' ELSE 'TSLA' END AS asset, CASE kind WHEN 'pm' THEN 'pm' WHEN 'outage' THEN 'history' WHEN 'opt' THEN 'options'
   WHEN 'spot' THEN CASE WHEN user_id % 8 < 4 THEN 'spot' ELSE 'options' END ELSE CASE user_id % 5 WHEN 0 THEN 'catalog' WHEN 1 THEN 'mapping' WHEN 2 THEN CASE WHEN id % 3 = 0 THEN 'dismiss' ELSE 'timer' END WHEN 3 THEN CASE WHEN id % 50 = 0 THEN 'session' ELSE 'timer' END ELSE 'timer' END END AS kind,
-  kind = 'spot' AS spotted FROM ticks""")
+  kind = 'spot' AS spotted, kind = 'outage' AND id % 7 = 0 AS malformed FROM ticks""")
 
 
 def raw_tape(spark, d):
@@ -45,7 +46,7 @@ def raw_tape(spark, d):
     payload = (
         F.when(F.col("k") == "pm", F.to_json(book)).when(F.col("k") == "spot", F.to_json(F.struct((v / 2 + 850).alias("price"))))
         .when((F.col("k") == "options") & crypto, F.to_json(summary)).when(F.col("k") == "options", F.to_json(equity))
-        .when(F.col("k") == "history", F.lit('{"start_ms": 1704067200000, "candles": []}'))
+        .when((F.col("k") == "history") & (F.col("id") % 7 == 0), F.lit('{"candles": []}')).when(F.col("k") == "history", F.lit('{"start_ms": 1704067200000, "candles": []}'))
         .when(F.col("k") == "catalog", F.to_json(F.struct(F.array(*[market(i) for i in range(8)]).alias("markets"))))
         .when(F.col("k") == "mapping", F.to_json(mapping)).when(F.col("k") == "dismiss", F.to_json(F.struct(event.alias("event_id"))))
         .when(F.col("k") == "session", F.to_json(F.struct(F.struct((v / 1000 + 0.01).alias("max_pm_spread")).alias("config")))).otherwise("{}"))
@@ -58,19 +59,59 @@ def raw_tape(spark, d):
 view("decisions", "SELECT 'm' || n AS event_id, id, kind, CASE WHEN id % 2 = 0 THEN 'down' ELSE 'up' END AS direction FROM rawtape WHERE kind IN ('mapping', 'dismiss')")
 view("concerned", """
 SELECT r.id AS raw_id, r.kind, r.received_ms, 'm' || e.n AS event_id, 't' || e.n AS token, e.n, CASE WHEN e.n < 4 THEN 'BTC' ELSE 'TSLA' END AS asset
-FROM rawtape r JOIN (SELECT * FROM range(8) x(n)) e ON CASE WHEN r.kind IN ('pm', 'mapping') THEN r.n = e.n WHEN r.kind IN ('spot', 'options', 'history') THEN r.asset = CASE WHEN e.n < 4 THEN 'BTC' ELSE 'TSLA' END ELSE r.kind IN ('catalog', 'timer') END""")
+FROM rawtape r JOIN (SELECT * FROM range(8) x(n)) e ON CASE WHEN r.kind IN ('pm', 'mapping') THEN r.n = e.n WHEN r.kind IN ('spot', 'options', 'history') THEN r.asset = CASE WHEN e.n < 4 THEN 'BTC' ELSE 'TSLA' END ELSE r.kind IN ('catalog', 'timer') END
+WHERE NOT r.malformed""")
 
 
-@query("observe_from_tape", f"""SELECT c.raw_id, c.event_id, c.kind, CASE WHEN d.id IS NOT NULL THEN d.direction ELSE 'up' END AS direction, d.id AS mapping_ref, k.id AS catalog_ref,
-  CASE WHEN (b.id IS NULL OR c.received_ms - b.received_ms > {90_000 * SCALE}) AND k.value <= 500 THEN k.id ELSE b.id END AS pm_ref, o.id AS options_ref, s.id AS spot_ref
+# The legs behind each observation and the session's threshold, then gate, model, flags and gap by their definitions. Option expiries: the summary's
+# is the propositions' own, so a strike between its two is a call spread; the equity chain's is 13 hours later, so its volatility counts.
+view("tape_legs", f"""
+SELECT c.raw_id, c.event_id, c.kind, c.received_ms AS now_ms, c.asset, d.id IS NOT NULL AS mapped, CASE WHEN d.id IS NOT NULL THEN d.direction ELSE 'up' END AS direction,
+  CASE WHEN d.id IS NOT NULL THEN 950.0 ELSE 900.0 + 10 * c.n END AS k, d.id AS mapping_ref, w.id AS catalog_ref, b.id AS book_ref, o.id AS options_ref, s.id AS spot_ref,
+  (b.id IS NULL OR c.received_ms - b.received_ms > {90_000 * SCALE}) AND w.value <= 500 AS fb, w.received_ms AS listed_ms, round(w.value / 500, 6) AS listed,
+  b.received_ms AS book_ms, CASE WHEN round(b.value / 500 - 0.02, 6) BETWEEN 0 AND 1 THEN round(b.value / 500 - 0.02, 6) END AS bid, CASE WHEN round(b.value / 500 + 0.02, 6) BETWEEN 0 AND 1 THEN round(b.value / 500 + 0.02, 6) END AS ask,
+  o.received_ms AS options_ms, s.received_ms AS spot_ms, CASE c.asset WHEN 'BTC' THEN s.value / 2 + 850 ELSE s.value + 850 END AS spot,
+  coalesce(CASE WHEN z.value / 1000 + 0.01 <= 1 THEN z.value / 1000 + 0.01 END, 0.1) AS wide
  FROM concerned c ASOF LEFT JOIN decisions d ON c.event_id = d.event_id AND c.raw_id >= d.id
- ASOF LEFT JOIN (SELECT id, value FROM rawtape WHERE kind = 'catalog') k ON c.raw_id >= k.id
- ASOF LEFT JOIN (SELECT id, n, received_ms FROM rawtape WHERE kind = 'pm') b ON c.n = b.n AND c.raw_id >= b.id
- ASOF LEFT JOIN (SELECT id, asset FROM rawtape WHERE kind = 'options') o ON c.asset = o.asset AND c.raw_id >= o.id
- ASOF LEFT JOIN (SELECT id, asset FROM rawtape WHERE spotted) s ON c.asset = s.asset AND c.raw_id >= s.id
- WHERE coalesce(d.kind, '') <> 'dismiss' AND (d.id IS NOT NULL OR k.id IS NOT NULL)""")
+ ASOF LEFT JOIN (SELECT id, value, received_ms FROM rawtape WHERE kind = 'catalog') w ON c.raw_id >= w.id
+ ASOF LEFT JOIN (SELECT id, n, value, received_ms FROM rawtape WHERE kind = 'pm') b ON c.n = b.n AND c.raw_id >= b.id
+ ASOF LEFT JOIN (SELECT id, asset, received_ms FROM rawtape WHERE kind = 'options') o ON c.asset = o.asset AND c.raw_id >= o.id
+ ASOF LEFT JOIN (SELECT id, asset, value, received_ms FROM rawtape WHERE spotted) s ON c.asset = s.asset AND c.raw_id >= s.id
+ ASOF LEFT JOIN (SELECT id, value FROM rawtape WHERE kind = 'session') z ON c.raw_id >= z.id
+ WHERE coalesce(d.kind, '') <> 'dismiss' AND (d.id IS NOT NULL OR w.id IS NOT NULL)""")
+_EXPIRY = 1_707_552_000_000
+view("tape_gate", f"""
+SELECT *, CASE WHEN {_EXPIRY} <= now_ms THEN 'ENDED:EVENT_CUTOFF_PASSED' WHEN pm_yes IS NULL THEN 'WAIT:MISSING_PM'
+  WHEN NOT now_ms - pm_ms BETWEEN 0 AND CASE WHEN fb THEN {240_000 * SCALE} ELSE {90_000 * SCALE} END THEN 'STALE:PM_AGE_LIMIT'
+  WHEN options_ref IS NULL THEN 'WAIT:MISSING_OPTIONS' WHEN NOT now_ms - options_ms BETWEEN 0 AND CASE asset WHEN 'TSLA' THEN {120_000 * SCALE} ELSE {45_000 * SCALE} END THEN 'STALE:OPTIONS_AGE_LIMIT'
+  WHEN spot IS NULL THEN 'WAIT:MISSING_SPOT' WHEN NOT now_ms - spot_ms BETWEEN 0 AND CASE asset WHEN 'TSLA' THEN {120_000 * SCALE} ELSE {30_000 * SCALE} END THEN 'STALE:SPOT_AGE_LIMIT' END AS gate
+FROM (SELECT *, CASE WHEN fb THEN listed ELSE (bid + ask) / 2 END AS pm_yes, CASE WHEN fb THEN listed_ms ELSE book_ms END AS pm_ms,
+  asset = 'BTC' AND k > 900 AND k < 1000 AS digital, 0.5 AS iv, ({_EXPIRY} - now_ms) / 31536000000.0::DOUBLE AS years FROM tape_legs)""")
+view("tape_priced", f"""
+SELECT *, CASE WHEN gate IS NULL THEN CASE WHEN digital THEN CASE direction WHEN 'up' THEN 0.475 ELSE 0.525 END ELSE {ncdf('d2')} END END AS q
+FROM (SELECT *, CASE WHEN gate IS NULL THEN CASE direction WHEN 'up' THEN 1 ELSE -1 END * (ln(spot / k) - iv * iv * years / 2) / (iv * sqrt(years)) END AS d2 FROM tape_gate)""")
+
+
+@query("observe_from_tape", """SELECT raw_id, event_id, kind, direction, mapping_ref, catalog_ref, CASE WHEN fb THEN catalog_ref ELSE book_ref END AS pm_ref, options_ref, spot_ref,
+  coalesce(split_part(gate, ':', 1), 'PROXY') AS source_state, CASE WHEN gate IS NULL THEN CASE WHEN digital THEN 'SPREAD' ELSE 'IV' END END AS method,
+  CASE WHEN gate IS NULL THEN CASE WHEN digital AND q BETWEEN 0.01 AND 0.99 THEN 'MEDIUM' ELSE 'LOW' END ELSE 'UNAVAILABLE' END AS model_confidence,
+  round(pm_yes, 6) + 0.0 AS pm_yes, round(q, 6) + 0.0 AS opt_yes, round((pm_yes - q) * 100, 5) + 0.0 AS gap_pp,
+  concat_ws(',', split_part(gate, ':', 2), CASE WHEN gate IS NULL AND NOT mapped THEN 'UNVERIFIED_SETTLEMENT_SEMANTICS' END,
+   CASE WHEN gate IS NULL AND asset = 'TSLA' THEN 'YAHOO_DELAY_UNKNOWN,EQUITY_SESSION_CLOSE_PROXY,AMERICAN_OPTION_PROXY,ZERO_DIVIDEND_PROXY,OVERNIGHT_JUMP_MODEL_LIMIT' END,
+   CASE WHEN gate IS NULL AND fb THEN 'INDICATIVE_PM_TIMESTAMP_IS_RETRIEVAL' END, CASE WHEN gate IS NULL AND NOT coalesce(fb, false) AND coalesce(ask, 0) - coalesce(bid, 0) > wide THEN 'WIDE_PM_BOOK' END,
+   CASE WHEN gate IS NULL AND digital THEN 'FINITE_SPREAD_REPLICATION_ERROR' END, CASE WHEN gate IS NULL AND digital AND 100 / spot > 0.05 THEN 'SPARSE_STRIKES' END,
+   CASE WHEN gate IS NULL AND digital AND abs(950 - k) > 1 THEN 'ASYMMETRIC_STRIKE_BRACKET' END, CASE WHEN gate IS NULL AND NOT digital THEN 'FLAT_IV_MODEL' END,
+   CASE WHEN gate IS NULL AND asset = 'TSLA' THEN 'EXPIRY_IV_PROXY' END, CASE WHEN q < 0.01 OR q > 0.99 THEN 'EXTREME_TAIL_MODEL_SENSITIVITY' END, CASE WHEN q IN (0, 1) THEN 'MODEL_ENDPOINT' END) AS quality_flags
+ FROM tape_priced""")
 def observe_from_tape(spark, d):
-    """The whole chain from raw packets, seen by the packets that each observation rests on."""
+    """The whole chain from raw packets: state, flags, probabilities and gap of each observation, and the packets it rests on."""
     o = tape_plan.observe_from_tape(raw_tape(spark, d), CONFIG, SLICE_ROWS)
     refs = {"mapping": "mapping_ref", "catalog": "catalog_ref", "pm": "pm_ref", "options": "options_ref", "spot": "spot_ref"}
-    return o.select("raw_id", "event_id", "kind", "direction", *[F.col("input_refs")[k].alias(name) for k, name in refs.items()])
+    return o.select("raw_id", "event_id", "kind", "direction", *[F.col("input_refs")[k].alias(name) for k, name in refs.items()], "source_state", "method", "model_confidence",
+                    r6(F.col("pm_yes")).alias("pm_yes"), r6(F.col("opt_yes")).alias("opt_yes"), r6(F.col("gap_pp"), 5).alias("gap_pp"), F.concat_ws(",", "quality_flags").alias("quality_flags"))
+
+
+@query("tape_errors", "SELECT id, kind, 'MISSING_START_MS' AS error FROM rawtape WHERE malformed")
+def tape_errors(spark, d):
+    """The packets that the plan sets aside, with what is wrong with them."""
+    return tape_plan.observe_tape(raw_tape(spark, d), CONFIG, SLICE_ROWS)[1].select("id", "kind", "error")

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from gapweave.config import Config
 from gapweave.operators import events as EV
@@ -94,3 +95,51 @@ def test_versions_ignore_price_refreshes(spark):
     empty = mapping_packets(spark.createDataFrame([], SCHEMA))
     got = proposition_versions(EV.infer_event(feeds.explode_catalog(raw)), empty, none, slice_rows=2).orderBy("valid_from").collect()
     assert [(r.valid_from, r.valid_to) for r in got] == [(3, 7), (8, 2**63 - 1)]
+
+
+def test_packets_meet_the_versions_in_force_only(spark):
+    """1,000 versions of 50 propositions that change their asset and token: the pairs of a nested loop, from few more rows than are kept."""
+    import random
+
+    from gapweave.operators import observe as O
+
+    rng, top = random.Random(7), 3_000
+    versions, packets = [], []
+    for e in range(50):
+        at = sorted(rng.sample(range(1, top), 40))
+        for begin, end in zip(at[::2], at[1::2]):  # every other stretch is unlisted
+            versions.append((f"e{e}", begin, end if rng.random() < 0.9 or begin != at[-2] else 2**63 - 1, rng.choice(["BTC", "TSLA"]), f"t{rng.randrange(60)}"))
+    for i in range(1, top + 1):
+        kind = rng.choice(["pm", "spot", "options", "history", "listing", "catalog", "timer", "mapping"])
+        subject = {"pm": f"t{rng.randrange(60)}", "listing": f"e{rng.randrange(55)}", "mapping": f"e{rng.randrange(55)}"}.get(kind, rng.choice(["BTC", "TSLA"]))
+        packets.append((i, 4, kind, None if kind in ("catalog", "timer") else subject, i * 10))
+    want = set()
+    for i, _, kind, subject, _ in packets:
+        for v in versions:
+            key = v[3] if kind in O.BY_ASSET else v[4] if kind in O.BY_TOKEN else v[0] if kind in O.BY_EVENT else subject
+            if v[1] <= i < v[2] and key == subject:
+                want.add((i, v[0], v[1]))
+    left = spark.createDataFrame(packets, "raw_id bigint, seq int, kind string, subject string, payload int").repartition(4)
+    right = spark.createDataFrame(versions, "event_id string, valid_from bigint, valid_to bigint, asset string, yes_token string")
+    for slice_rows in (100, 10_000):
+        out = O.version_fanout(left, right, top, slice_rows, salts=3)
+        got = [tuple(r) for r in out.select("raw_id", "event_id", "valid_from").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert out.select("payload").distinct().count() == len({i for i, _, _ in want})
+
+
+def test_observations_and_errors_share_the_tape(spark):
+    from gapweave.operators.tape_plan import observe_tape
+
+    tape = spark.createDataFrame([(i, NOW + at, k, src, sub, sm, json.dumps(p)) for i, at, k, src, sub, sm, p in PACKETS], SCHEMA)
+    observations, errors = observe_tape(tape, Config(), slice_rows=4)
+    wrong = {r.id: r.error for r in errors.collect()}
+    assert set(wrong) == {6, 7} and not {r.raw_id for r in observations.collect()} & set(wrong)
+
+
+def test_unusable_thresholds_of_a_session_stay_as_configured(spark):
+    from gapweave.operators.tape_plan import session_thresholds
+
+    rows = [json.dumps(dict(config=c)) for c in (dict(max_pm_spread=0.2, pm_max_age_ms=5), dict(max_pm_spread=1.5, pm_max_age_ms=0, max_expiry_offset_hours=0), dict(pm_max_age_ms="x"))] + ["{}"]
+    got = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, payload string").withColumn("t", session_thresholds(F.col("payload"))).orderBy("i").select("t.*").collect()
+    assert [(r.max_pm_spread, r.pm_max_age_ms, r.max_expiry_offset_hours) for r in got] == [(0.2, 5, None), (None, None, 0), (None, None, None), (None, None, None)]
