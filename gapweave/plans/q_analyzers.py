@@ -20,20 +20,21 @@ END = NOW // STEP * STEP
 POINTS = CONFIG.grid_points
 N = CONFIG.analysis_window
 
-# Four markets without outage packets: an outage would break the grid (see the grid query over all packets).
+# Four markets over all packets. An outage packet observes like any other; in the fourth market it makes its observation invalid, which breaks
+# that market's grid, so that its scopes report insufficient data.
 view("gobs", """
 SELECT market AS event_id, 'map' AS mapping_hash, id AS raw_id, received_ms AS now_ms, pm_yes, opt_yes, spot, opt_ms AS opt_timestamp,
-  (pm_yes - opt_yes) * 100 AS gap_pp, pm_yes IS NOT NULL AND opt_yes IS NOT NULL AS valid FROM (
- SELECT 'g' || (user_id % 4) AS market, id, received_ms,
+  (pm_yes - opt_yes) * 100 AS gap_pp, pm_yes IS NOT NULL AND opt_yes IS NOT NULL AND NOT (kind = 'outage' AND market = 'g3') AS valid FROM (
+ SELECT 'g' || (user_id % 4) AS market, id, received_ms, kind,
   last_value(CASE WHEN kind = 'pm' AND value <= 500 THEN value / 500 END IGNORE NULLS) OVER w AS pm_yes,
   last_value(CASE WHEN kind = 'opt' AND value <= 500 THEN value / 500 END IGNORE NULLS) OVER w AS opt_yes,
   last_value(CASE WHEN kind = 'opt' AND value <= 500 THEN received_ms END IGNORE NULLS) OVER w AS opt_ms,
   last_value(CASE WHEN kind = 'spot' AND value > 0 THEN value END IGNORE NULLS) OVER w AS spot
- FROM ticks WHERE kind <> 'outage' WINDOW w AS (PARTITION BY user_id % 4 ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""")
+ FROM ticks WINDOW w AS (PARTITION BY user_id % 4 ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""")
 
 
 def grid_observations(spark, d):
-    t = ticks(spark, d).filter("kind <> 'outage'").withColumn("event_id", F.concat(F.lit("g"), F.col("user_id") % 4))
+    t = ticks(spark, d).withColumn("event_id", F.concat(F.lit("g"), F.col("user_id") % 4))
     p = F.when(F.col("value") <= 500, F.col("value") / 500)
     legs = running(t, ["event_id"], ["id"], {
         "pm_yes": last(F.when(F.col("kind") == "pm", p)),
@@ -42,7 +43,7 @@ def grid_observations(spark, d):
     opt = F.col("opt.yes")
     return legs.select("event_id", F.lit("map").alias("mapping_hash"), F.col("id").alias("raw_id"), F.col("received_ms").alias("now_ms"),
                        "pm_yes", opt.alias("opt_yes"), "spot", F.col("opt.ms").alias("opt_timestamp"), P.gap_pp(F.col("pm_yes"), opt).alias("gap_pp"),
-                       (F.col("pm_yes").isNotNull() & opt.isNotNull()).alias("valid"))
+                       (F.col("pm_yes").isNotNull() & opt.isNotNull() & ~((F.col("kind") == "outage") & (F.col("event_id") == "g3"))).alias("valid"))
 
 
 def _grid_view(obs: str) -> str:
@@ -179,7 +180,7 @@ view("lagged", " UNION ALL ".join(
     f"SELECT * FROM (SELECT event_id, CAST({s} AS DOUBLE) AS scale, {A.lag_points(s, CONFIG)} AS lag, i, p, q, s, rp, rq, " + ", ".join(
         f"lead({c}, {A.lag_points(s, CONFIG)}) OVER l AS {c}_later" for c in ("p", "q", "rp", "rq"))
     + " FROM res WINDOW l AS (PARTITION BY event_id ORDER BY i)) WHERE p_later IS NOT NULL" for s in CONFIG.analysis_scales))
-_C = lambda x, y: f"corr({x}, {y})"
+_C = lambda x, y: f"CASE WHEN count(*) >= 8 THEN corr({x}, {y}) END"  # noqa: E731  (fewer pairs than eight have no correlation)
 
 
 @query("lag_correlations", "SELECT event_id, scale, CAST(lag AS INTEGER) AS lag, count(*) AS pairs, " + ", ".join(

@@ -10,7 +10,7 @@ from ..operators import observe as O
 from ..operators import surface as SF
 from ..session import stage_table
 from .fixtures import CONFIG, DAY, SCALE, SLICE_ROWS, START, observations, r6, table, ticks
-from .registry import query, view
+from .registry import CHECKS, query, view
 
 
 # ------------------------------------------------------------- closed forms ----------
@@ -74,25 +74,20 @@ def touch_probability(spark, d):
 
 
 @query("option_value", f"""SELECT p_partkey, CASE WHEN years <= 0 THEN round(greatest(0.0, CASE WHEN put THEN strike - spot ELSE spot - strike END)::DOUBLE, 5) + 0.0
-  WHEN put THEN round(strike * {ncdf('m2')} - spot * {ncdf('m1')}, 5) + 0.0 ELSE round(spot * {ncdf('d1')} - strike * {ncdf('d2')}, 5) + 0.0 END AS premium FROM (
+  WHEN scale IS NULL THEN NULL WHEN put THEN round(strike * {ncdf('m2')} - spot * {ncdf('m1')}, 5) + 0.0 ELSE round(spot * {ncdf('d1')} - strike * {ncdf('d2')}, 5) + 0.0 END AS premium FROM (
  SELECT *, -d1 AS m1, -d2 AS m2 FROM (SELECT *, d1 - scale AS d2 FROM (
   SELECT *, (ln(spot / strike) + 0.5 * sigma * sigma * years) / scale AS d1 FROM (
-   SELECT *, sigma * sqrt(years) AS scale, p_partkey % 2 = 0 AS put FROM gbm WHERE sigma > 0))))""")
+   SELECT *, CASE WHEN sigma > 0 AND years > 0 THEN sigma * sqrt(years) END AS scale, p_partkey % 2 = 0 AS put FROM gbm))))""")
 def option_value(spark, d):
-    g = gbm(spark, d).filter("sigma > 0")
-    g = P.with_option_value(g, "v", F.col("spot"), F.col("strike"), F.col("sigma"), F.col("years"), F.col("p_partkey") % 2 == 0)
+    """Every part; null where there is no volatility and time is left."""
+    g = P.with_option_value(gbm(spark, d), "v", F.col("spot"), F.col("strike"), F.col("sigma"), F.col("years"), F.col("p_partkey") % 2 == 0)
     return g.select("p_partkey", r6(F.col("v"), 5).alias("premium"))
 
 
-@query("option_value_all", f"""SELECT p_partkey, CASE WHEN years <= 0 THEN round(greatest(0.0, CASE WHEN put THEN strike - spot ELSE spot - strike END)::DOUBLE, 5) + 0.0
-  WHEN scale IS NULL THEN NULL WHEN put THEN round(strike * {ncdf('m2')} - spot * {ncdf('m1')}, 5) + 0.0 ELSE round(spot * {ncdf('d1')} - strike * {ncdf('d2')}, 5) + 0.0 END AS premium FROM (
- SELECT *, -d1 AS m1, -d2 AS m2 FROM (SELECT *, d1 - scale AS d2 FROM (
-  SELECT *, (ln(spot / strike) + 0.5 * sigma * sigma * years) / scale AS d1 FROM (
-   SELECT *, CASE WHEN sigma > 0 AND years > 0 THEN sigma * sqrt(years) END AS scale, p_partkey % 2 = 0 AS put FROM gbm))))""")
+@query("option_value_all", CHECKS["option_value"])
 def option_value_all(spark, d):
-    """Every part, also those without volatility, which only ``option_value`` leaves out."""
-    g = P.with_option_value(gbm(spark, d), "v", F.col("spot"), F.col("strike"), F.col("sigma"), F.col("years"), F.col("p_partkey") % 2 == 0)
-    return g.select("p_partkey", r6(F.col("v"), 5).alias("premium"))
+    """``option_value`` under its earlier name."""
+    return option_value(spark, d)
 
 
 @query("discrepancy", """SELECT p_partkey, round((pm - opt) * 100, 6) + 0.0 AS gap_pp, CASE WHEN opt > 0 THEN round(abs(pm - opt) / opt, 6) + 0.0 END AS relative_gap,
@@ -192,7 +187,7 @@ def session_config_asof(spark, d):
 
 view("w_books", """SELECT subject AS yes_token, raw_id, received_ms, received_ms - (raw_id % 50) * 60000 AS source_ms, CASE WHEN value / 500 BETWEEN 0.03 AND 1 THEN value / 500 - 0.02 END AS bid,
   value / 500 + 0.02 AS ask, user_id % 20 = 0 AS crossed, CASE WHEN user_id % 20 > 0 AND value / 500 BETWEEN 0.03 AND 1 THEN value / 500 END AS yes FROM tape WHERE kind = 'pm'""")
-view("w_catalog", "SELECT subject AS event_id, raw_id, received_ms, CASE WHEN value <= 500 THEN value / 500 END AS pm_indicative FROM tape WHERE kind = 'catalog' AND user_id % 5 > 0")
+view("w_catalog", "SELECT subject AS event_id, raw_id, received_ms, CASE WHEN value <= 500 AND user_id % 5 > 0 THEN value / 500 END AS pm_indicative FROM tape WHERE kind = 'catalog'")
 view("w_spots", """SELECT subject AS asset, raw_id, 850 + value / 2 AS price, received_ms - (raw_id % 40) * 60000 AS source_ms, CASE subject WHEN 'BTC' THEN 'coinbase' ELSE 'yahoo' END AS venue,
   CASE WHEN subject = 'TSLA' THEN CASE WHEN user_id % 10 = 7 THEN 'CLOSED' ELSE 'OPEN' END END AS market_state FROM tape WHERE kind = 'spot'""")
 view("w_histories", f"""SELECT subject AS asset, {START} AS window_start, raw_id, received_ms, 860 + value / 4 AS low, 930 + value / 6 AS high, value < 10 AS error FROM tape WHERE kind = 'history'""")
@@ -214,8 +209,8 @@ def legs_of(spark, d):
         F.col("subject").alias("yes_token"), "raw_id", "received_ms", late(50).alias("source_ms"), F.when(fair, v / 500 - 0.02).alias("bid"),
         (v / 500 + 0.02).alias("ask"), (u % 20 == 0).alias("crossed"), F.when((u % 20 > 0) & fair, v / 500).alias("yes"),
         F.lit("source").alias("timestamp_origin"))
-    catalog = of("catalog").filter(u % 5 > 0).select(
-        F.col("subject").alias("event_id"), "raw_id", "received_ms", F.when(v <= 500, v / 500).alias("pm_indicative"))
+    catalog = of("catalog").select(
+        F.col("subject").alias("event_id"), "raw_id", "received_ms", F.when((v <= 500) & (u % 5 > 0), v / 500).alias("pm_indicative"))
     equity = F.col("subject") == "TSLA"
     spots = of("spot").select(
         F.col("subject").alias("asset"), "raw_id", "received_ms", (v / 2 + 850).alias("price"), late(40).alias("source_ms"),

@@ -250,9 +250,10 @@ def mapping_hash(spark, d):
     return inferred(spark, d).select("event_id", "mapping_hash")
 
 
-@query("path_window_start", "SELECT event_id, asset, window_start FROM inferred WHERE window_start IS NOT NULL")
+@query("path_window_start", "SELECT event_id, asset, window_start FROM inferred")
 def path_window_start(spark, d):
-    return inferred(spark, d).filter("window_start IS NOT NULL").select("event_id", "asset", "window_start")
+    """Every proposition; null where there is no path to follow."""
+    return inferred(spark, d).select("event_id", "asset", "window_start")
 
 
 # ------------------------------------------------------------------ scalars ----------
