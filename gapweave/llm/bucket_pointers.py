@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import query, table
 
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-#: bytes of a block worked on at a time
-_SLICE = 1 << 20
+#: bytes of a block worked on at a time: the arrays of a slice stay in the processor's cache
+_SLICE = 1 << 16
 _NO_ID = (1 << 63) - 1
 _SENT = pa.schema([("r", pa.int32()), ("f", pa.int32()), ("parts", pa.list_(pa.binary()))])
 _REPLY = pa.schema([("f", pa.int32()), ("kind", pa.int32()), ("r", pa.int32()), ("parts", pa.list_(pa.binary()))])
@@ -343,7 +343,7 @@ def _masks(flags: np.ndarray) -> list[np.ndarray]:
     return [np.ascontiguousarray(packed[:, i]) for i in range(n)]
 
 
-def _refine_buckets(width: int, gram: int, at_once: int = 40_000) -> Callable:
+def _refine_buckets(width: int, gram: int, at_once: int = 16_000) -> Callable:
     """Lost strings of every anchor, by refinement of whole buckets, or of pieces of large ones; what comes first in a piece is still open."""
     before, wide = width - gram, 2 * width - gram
 
@@ -455,7 +455,7 @@ def _finish(width: int, gram: int, out: pa.Schema) -> Callable:
 
 def bucket_pointer_dedup(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 50, gram: int = 24,
-    block_bytes: int = 8 << 20, bin_bytes: int = 16 << 20, most: int = 5_000,
+    block_bytes: int = 4 << 20, bin_bytes: int = 16 << 20, most: int = 5_000,
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_bytes, n_removed, spans`` (removed stretches, ``start`` to before ``stop``), ``kept`` (the rest).
 
