@@ -159,7 +159,8 @@ class Block:
         right = np.minimum(chosen + lo + width, self.offsets[doc + 1]) - lo
         shape = (chosen - left) * 4096 + (right - chosen)
         c1, c2 = (_mix((s[right] - s[left]) * rolling.down[k][left] + shape.astype(np.uint64) * np.uint64(_ODD[1 - k])) for k, s in enumerate(sums))
-        return chosen + lo, h[chosen] >> np.uint64(8), c1, c2
+        # Chosen hashes are small ones; mixed once more they spread over all reducers alike.
+        return chosen + lo, _mix(h[chosen] + np.uint64(_ODD[1])) >> np.uint64(8), c1, c2
 
     def by_gram(self) -> tuple[np.ndarray, np.ndarray]:
         """Units ordered by gram, and the first places of the grams there."""
