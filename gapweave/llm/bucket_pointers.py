@@ -456,7 +456,7 @@ def _finish(width: int, gram: int, out: pa.Schema) -> Callable:
 
 def bucket_pointer_dedup(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 50, gram: int = 24,
-    block_bytes: int = 4 << 20, bin_bytes: int = 16 << 20, most: int = 5_000,
+    block_bytes: int = 4 << 20, bin_bytes: int = 16 << 20, most: int = 40_000,
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_bytes, n_removed, spans`` (removed stretches, ``start`` to before ``stop``), ``kept`` (the rest).
 
