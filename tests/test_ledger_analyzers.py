@@ -60,6 +60,26 @@ def test_lots_equal_the_walk(spark, seed):
             assert (r.mid_move_pnl, r.spread_cost, r.fees, r.slippage, r.invested) == pytest.approx(expect, rel=1e-9, abs=1e-7)
 
 
+def test_a_lot_trimmed_a_thousand_times_keeps_its_amounts(spark):
+    """Buy one, sell half, 1,200 times and never flat; the plain loop is the measure, in one slice and in many."""
+    rows = []
+    for i in range(1200):
+        rows += [("r1", "w", "x", 2 * i, 2000 * i, "BUY", 1.0, 100, 9.9 + i % 7, 10.1 + i % 7, 1.3, 0.7, 1010.0 + i, None, "why", False),
+                 ("r1", "w", "x", 2 * i + 1, 2000 * i + 1000, "SELL", None, 100, 10.9, 11.1, 1.1, 0.2, None, 3.0, "why", False)]
+    position, out = 0.0, []
+    for r in rows:
+        q = r[6] if r[5] == "BUY" else position / 2
+        position += q if r[5] == "BUY" else -q
+        out.append((*r[:6], q, *r[7:]))
+    want = _lots(out)
+    for slice_rows in (1_000_000, 100):
+        got = ledger.closed_lot_attribution(spark.createDataFrame(out, FILLS), slice_rows=slice_rows).collect()
+        assert {r.ledger_id for r in got} == set(want) and all(r.status != "missing_entry" for r in got)
+        for r in got:
+            assert (r.mid_move_pnl, r.spread_cost, r.fees, r.slippage, r.invested) == pytest.approx(want[r.ledger_id], rel=1e-9, abs=1e-7)
+            assert r.opened_at == 0 and r.entries == r.ledger_id // 2 + 1
+
+
 def test_fills_after_the_review_time_do_not_count(spark):
     rows = spark.createDataFrame(_fills(1), FILLS)
     assert ledger.closed_lot_attribution(rows, now_ms=100_000).agg(F.max("ledger_id")).first()[0] <= 100
