@@ -1,7 +1,7 @@
 """Exact dedup by content-defined chunk recipes.
 
-A normalised text is cut where its own characters say so. Chunk texts are moved once,
-to prove that no two different chunks share an identifier; afterwards texts are compared
+A normalised text is cut where its own bytes say so, once, and the pieces are stored. Chunk texts are moved
+once, to prove that no two different chunks share an identifier; afterwards texts are compared
 by their ordered identifier lists ("recipes"), which are about fifty times shorter.
 """
 
@@ -10,16 +10,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage_table
 from .common import SPACE, query, table
 
-#: Characters that may end a chunk, by rule; two in a row make a boundary.
-_EDGE = "[" + "".join(f"\\x{{{c:x}}}" for c in range(0x21, 0x250) if c % 8 == 3) + "]"
+#: Bytes that may end a chunk, by rule; two in a row make a boundary. Between them may stand the first bytes of a character
+#: of two or three, which are nearly the same all over many scripts and tell nothing.
+_EDGE = "[" + "".join(f"\\x{{{c:x}}}" for c in range(0x21, 0xC0) if c % 8 == 3) + "]"
+_LEAD = r"(?:[\xC2-\xDF]|[\xE0-\xEF][\x80-\xBF])?"
 
 
 def chunks(text: Column, least: int = 256, most: int = 2048) -> Column:
-    """Pieces of ``least`` to ``most`` characters ending at a boundary; their concatenation is ``text``."""
-    rule = rf"(?s).{{{least},{most - 2}}}?(?:{_EDGE}{_EDGE}|\z)|.{{1,{most}}}"
-    return F.regexp_extract_all(text, F.lit(rule), F.lit(0))
+    """Pieces of ``least`` to ``most`` bytes ending at a boundary, a byte written as the character of its number (U+0000 to U+00FF); joined they are the UTF-8 of ``text``."""
+    # Bytes of ASCII are their own characters.
+    units = F.when(F.length(text) == F.octet_length(text), text).otherwise(F.decode(text.cast("binary"), "ISO-8859-1"))
+    rule = rf"(?s).{{{least},{most - 4}}}?(?:{_EDGE}{_LEAD}{_EDGE}|\z)|.{{1,{most}}}"
+    return F.regexp_extract_all(units, F.lit(rule), F.lit(0))
 
 
 def exact_dedup(
@@ -42,7 +47,11 @@ def exact_dedup(
         full = F.xxhash64(chunk)
         return full if hash_bits == 64 else F.pmod(full, F.lit(1 << hash_bits))
 
-    pieces = docs.select(F.explode(chunks(bare, least, most)).alias("c"))
+    rows = docs.select(
+        F.col(doc_id).alias("doc_id"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("n"), bare.alias("bare"),
+    ).select("doc_id", "n", F.sha2("bare", 256).alias("text_sha256"), chunks(F.col("bare"), least, most).alias("pieces"))
+    rows = stage_table(rows, "exact-chunks")
+    pieces = rows.select(F.explode("pieces").alias("c"))
     dictionary = pieces.select(code(F.col("c")).alias("h"), "c").distinct()
     clashing = dictionary.groupBy("h").count().filter("count > 1").select("h")
     clashes = [r.h for r in clashing.limit(listed_clashes + 1).collect()]
@@ -53,9 +62,6 @@ def exact_dedup(
         listed = F.array(*[F.lit(h) for h in clashes])
         unsure = (lambda h: F.lit(True)) if len(clashes) > listed_clashes else (lambda h: F.array_contains(listed, h))
         recipe = F.transform("pieces", lambda c: F.struct(code(c).alias("h"), F.when(unsure(code(c)), c).alias("c")))
-    rows = docs.select(
-        F.col(doc_id).alias("doc_id"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("n"), bare.alias("bare"),
-    ).select("doc_id", "n", F.sha2("bare", 256).alias("text_sha256"), chunks(F.col("bare"), least, most).alias("pieces"))
     rows = rows.select("doc_id", "n", "text_sha256", recipe.alias("recipe"))
 
     best = F.min(F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id")))
