@@ -132,20 +132,21 @@ def divide_skip(lists: list[list[int]], need: int, weight: float = 0.5) -> list[
 
 
 def _sets(docs: DataFrame, width: int, rule: Rule) -> DataFrame:
-    """``doc_id, n, key, start`` per row; (key, n) identifies a class of equal shingle sets.
+    """``doc_id, n, key, key2, start`` per row; (key, key2, n) identifies a class of equal shingle sets, (key, n) finds it.
 
     ``start`` holds the shingles that the class looks up, on its first row within a task; null on the copies there.
     """
-    fields = [T.StructField("n", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("start", T.ArrayType(T.LongType()))]
+    fields = [T.StructField("n", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("key2", T.LongType()), T.StructField("start", T.ArrayType(T.LongType()))]
 
     def start():
         shingler, seen = Shingler(width), set()
 
         def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-            keys, sizes, starts = [], [], []
+            keys, keys2, sizes, starts = [], [], [], []
             for text in strings(batch, "text"):
                 s = shingler.read(text)
                 keys.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
+                keys2.append(xxhash.xxh64_intdigest(s.tobytes(), 1) - (1 << 63))
                 sizes.append(len(s))
                 known = (keys[-1], len(s)) in seen or not len(s)
                 starts.append(None if known else s[:rule.start(len(s))])
@@ -153,15 +154,18 @@ def _sets(docs: DataFrame, width: int, rule: Rule) -> DataFrame:
                     if len(seen) >= _MEMORY:
                         seen.clear()
                     seen.add((keys[-1], len(s)))
-            return [pa.array(sizes, pa.int32()), pa.array(keys, pa.int64()), pa.array(starts, pa.list_(pa.int64()))]
+            return [pa.array(sizes, pa.int32()), pa.array(keys, pa.int64()), pa.array(keys2, pa.int64()), pa.array(starts, pa.list_(pa.int64()))]
 
         return compute
 
-    return append_columns(docs, fields, start).select("doc_id", "n", "key", "start")
+    return append_columns(docs, fields, start).select("doc_id", "n", "key", "key2", "start")
 
 
-def _lists(postings: DataFrame, short_list: int) -> DataFrame:
-    """``key, n, keys, sizes``: for every class and list it looks up, the list; empty for a list that is too long."""
+def _lists(postings: DataFrame, short_list: int, rule: Rule, at_once: int = 400_000) -> DataFrame:
+    """``key, n, keys, sizes``: for every class and list it looks up, the members that come after it by (n, key) and are not too large for a link.
+
+    A pair of classes meets at its first side only; members without such others get nothing. Of a list that is too long all members get an empty one.
+    """
     kind = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))])
 
     def batch_of(key, n, keys, sizes, offsets) -> pa.RecordBatch:
@@ -177,16 +181,24 @@ def _lists(postings: DataFrame, short_list: int) -> DataFrame:
     def complete(tok, key, n) -> Iterator[pa.RecordBatch]:
         heads = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
         sizes = np.diff(np.append(heads, len(tok)))
-        for g in np.unique(sizes[sizes > 1]).tolist():
-            runs = heads[sizes == g]
-            if g > short_list:
-                at = (runs[:, None] + np.arange(g)).ravel()
-                yield long_marks(key[at], n[at])
-                continue
-            for a in range(0, len(runs), max(1, 400_000 // (g * g))):
-                at = runs[a:a + max(1, 400_000 // (g * g)), None] + np.arange(g)
-                wide = np.repeat(at, g, axis=0).ravel()
-                yield batch_of(key[at.ravel()], n[at.ravel()], key[wide], n[wide], np.arange(at.size + 1) * g)
+        run = np.repeat(np.arange(len(heads)), sizes)
+        long = sizes[run] > short_list
+        if long.any():
+            yield long_marks(key[long], n[long])
+        # Rows are ordered by list and size: the members for a row are those behind it, up to the largest size that can link.
+        place = run * (1 << 32) + n
+        end = np.searchsorted(place, run * (1 << 32) + 100 * n.astype(np.int64) // rule.percent, "right")
+        count = np.where(long, 0, end - np.arange(len(tok)) - 1)
+        rows = np.flatnonzero(count > 0)
+        total = np.cumsum(count[rows])
+        a = 0
+        while a < len(rows):
+            z = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + at_once, "right")))
+            part = rows[a:z]
+            offsets = np.concatenate([[0], np.cumsum(count[part])])
+            wide = np.arange(offsets[-1]) - np.repeat(offsets[:-1], count[part]) + np.repeat(part + 1, count[part])
+            yield batch_of(key[part], n[part], key[wide], n[wide], offsets)
+            a = z
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
@@ -217,7 +229,7 @@ def _lists(postings: DataFrame, short_list: int) -> DataFrame:
         if len(rest[0]):
             yield from complete(*rest)
 
-    ordered = postings.repartition("tok").sortWithinPartitions("tok", "key", "n")
+    ordered = postings.repartition("tok").sortWithinPartitions("tok", "n", "key")
     return ordered.mapInArrow(run, "key long, n int, keys array<long>, sizes array<int>")
 
 
@@ -233,11 +245,9 @@ def _search(lists: DataFrame, rule: Rule) -> DataFrame:
         size_of: dict[int, int] = {}
         merged = []
         for keys, sizes in lists:
-            fits = (keys != key) & (sizes * 100 >= n * rule.percent) & (sizes * rule.percent <= n * 100)
-            if fits.any():
-                ids = keys[fits].tolist()
-                size_of.update(zip(ids, sizes[fits].tolist()))
-                merged.append(sorted(set(ids)))
+            ids = keys.tolist()
+            size_of.update(zip(ids, sizes.tolist()))
+            merged.append(sorted(set(ids)))
         for other, count in divide_skip(merged, weakest - n_long) if merged else ():
             m = size_of[other]
             if count >= min(rule.need(n), rule.need(m)) - n_long:
@@ -396,25 +406,25 @@ def jaccard_components(
     sets = stage_table(_sets(rows, width, rule), "jaccard-sets")
     postings = sets.filter("start IS NOT NULL").select(F.explode("start").alias("tok"), "key", "n")
     sets = sets.drop("start")
-    classes = sets.filter("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("rep"))
-    found = stage_table(_search(_lists(postings, short_list), rule).distinct(), "jaccard-candidates")
+    classes = sets.filter("n > 0").groupBy("key", "key2", "n").agg(F.min("doc_id").alias("rep"))
+    found = stage_table(_search(_lists(postings, short_list, rule), rule).distinct(), "jaccard-candidates")
 
     reps = classes.filter("rep IS NOT NULL")
     ends = [reps.select(F.col("key").alias(k), F.col("n").alias(k + "n"), F.col("rep").alias(r)) for k, r in (("a", "ra"), ("b", "rb"))]
     pairs = found.filter("b IS NOT NULL").join(ends[0], ["a", "an"]).join(ends[1], ["b", "bn"]).filter("ra != rb").select(
         F.least("ra", "rb").alias("u"), F.greatest("ra", "rb").alias("v")).distinct()
     edges = _verified(pairs, rows, width, rule, bucket_pairs)
-    hot = found.filter("b IS NULL").select(F.col("a").alias("key"), F.col("an").alias("n")).join(reps, ["key", "n"]).withColumnRenamed("rep", "doc_id")
+    hot = found.filter("b IS NULL").select(F.col("a").alias("key"), F.col("an").alias("n")).join(reps.drop("key2"), ["key", "n"]).withColumnRenamed("rep", "doc_id")
     hot = stage_table(hot, "jaccard-hot-classes")
     if not hot.isEmpty():
         edges = edges.unionByName(_crowded(hot, rows, width, rule, stars, leads, bucket_pairs))
     # Rows that share an id but not a class: the id ties the classes.
-    placed = sets.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "key", "n").distinct()
+    placed = sets.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "key", "key2", "n").distinct()
     several = placed.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    ties = placed.join(several, "doc_id").join(reps, ["key", "n"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    ties = placed.join(several, "doc_id").join(reps, ["key", "key2", "n"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     nodes = connected_components(edges.unionByName(ties))
-    of_class = classes.join(nodes.withColumnRenamed("node", "rep"), "rep", "left").select("key", "n", F.coalesce("component", "rep").alias("component"))
-    spread = sets.withColumn("x", F.xxhash64("key", "n")).join(of_class.withColumn("x", F.xxhash64("key", "n")), ["key", "n", "x"], "left")
+    of_class = classes.join(nodes.withColumnRenamed("node", "rep"), "rep", "left").select("key", "key2", "n", F.coalesce("component", "rep").alias("component"))
+    spread = sets.withColumn("x", F.xxhash64("key", "n")).join(of_class.withColumn("x", F.xxhash64("key", "n")), ["key", "key2", "n", "x"], "left")
     return spread.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
