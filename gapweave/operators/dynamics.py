@@ -156,6 +156,11 @@ def native_jumps(
         {"__prev": last(seen, inclusive=False), "segment": highest(F.when(~F.col("__timed"), F.col("raw_id")))},
         id_slices("raw_id", slice_rows),
     ).filter(F.col("__timed") & F.col("__prev.__timed"))
+    return jump_legs(df, config)
+
+
+def jump_legs(df: DataFrame, config: Config = Config()) -> DataFrame:
+    """The legs of timed rows that moved by their limit or more against ``__prev``, the timed row before."""
     prev = F.col("__prev")
     spot_ok = (F.col("spot") > 0) & (prev["spot"] > 0)
     leg = lambda name, change, limit: F.struct(

@@ -35,21 +35,28 @@ def book_state(changes: DataFrame, tolerance_ms: int = 5_000, slice_rows: int =
         F.when(~crossed, (bid + ask) / 2).alias("yes"))
 
 
-def spot_state(ticks: DataFrame, tolerance_ms: int = 5_000, slice_rows: int = 1_000_000,
-               source_always_present: bool = False) -> DataFrame:
-    """Accepted positive prices per asset, judged on the effective clock ``now_ms``."""
-    stamped = ticks.withColumns({
+def stamped_ticks(ticks: DataFrame) -> DataFrame:
+    """Spot packets with a positive ``price``, by their payload, and their source time."""
+    return ticks.withColumns({
         "price": to_number(F.get_json_object("payload", "$.price")),
         "source_ms": F.coalesce(F.nullif(to_epoch_ms(F.get_json_object("payload", "$.timestamp")), F.lit(0)), F.col("source_ms")),
     }).filter(F.col("price") > 0)
-    judged = accept_newer(stamped, ["subject"], clock="now_ms", tolerance_ms=tolerance_ms, slice_rows=slice_rows,
-                          source_always_present=source_always_present)
+
+
+def accepted_spots(judged: DataFrame) -> DataFrame:
     return judged.filter("verdict = 'ACCEPTED'").select(
         F.col("subject").alias("asset"), F.col("id").alias("raw_id"), "price", F.col("now_ms").alias("received_ms"),
         F.coalesce("source_ms", "now_ms").alias("source_ms"), F.col("source").alias("venue"),
         F.when(F.col("source_ms").isNull(), "receipt").otherwise("source").alias("timestamp_origin"))
 
 
+def spot_state(ticks: DataFrame, tolerance_ms: int = 5_000, slice_rows: int = 1_000_000,
+               source_always_present: bool = False) -> DataFrame:
+    """Accepted positive prices per asset, judged on the effective clock ``now_ms``."""
+    return accepted_spots(accept_newer(stamped_ticks(ticks), ["subject"], clock="now_ms", tolerance_ms=tolerance_ms, slice_rows=slice_rows,
+                                       source_always_present=source_always_present))
+
+
 def surface_snapshots(chain: DataFrame) -> DataFrame:
     """One row per (asset, expiry, packet) of exploded contracts, of either kind of chain.
 

@@ -499,12 +499,15 @@ def book_state(spark, d):
  WHERE NOT stamped OR (src <= received_ms + {5000 * SCALE} AND (held IS NULL OR src >= held))""")
 def spot_state(spark, d):
     """Spot ticks; users of every third id send no source time."""
+    return legs.spot_state(spot_packets(spark, d), CONFIG.scaled(5000), SLICE_ROWS).select("asset", "raw_id", "price", "source_ms", "timestamp_origin")
+
+
+def spot_packets(spark, d):
     t = ticks(spark, d).filter("kind = 'spot'")
     stamp = F.when(F.col("user_id") % 3 > 0, F.col("source_ms"))
-    t = t.select("id", F.col("received_ms").alias("now_ms"), F.col("market").alias("subject"), F.lit("spot").alias("source"),
-                 F.lit(None).cast("bigint").alias("source_ms"),
-                 F.to_json(F.struct(F.col("value").alias("price"), stamp.alias("timestamp"))).alias("payload"))
-    return legs.spot_state(t, CONFIG.scaled(5000), SLICE_ROWS).select("asset", "raw_id", "price", "source_ms", "timestamp_origin")
+    return t.select("id", F.col("received_ms").alias("now_ms"), F.col("market").alias("subject"), F.lit("spot").alias("source"),
+                    F.lit(None).cast("bigint").alias("source_ms"),
+                    F.to_json(F.struct(F.col("value").alias("price"), stamp.alias("timestamp"))).alias("payload"))
 
 
 # ------------------------------------------------------------------- chains ----------
@@ -591,12 +594,15 @@ def equity_packets(spark, d):
   WHEN 'history' THEN 'MISSING_START_MS' END AS error FROM (SELECT id, value, CASE WHEN kind = 'outage' THEN 'history' ELSE kind END AS kind FROM ticks)""")
 def quarantine(spark, d):
     """Usable and quarantined packets of a tape with four kinds of damage."""
+    good, bad = feeds.quarantine(damaged_packets(spark, d))
+    return good.withColumn("error", F.lit(None).cast("string")).unionByName(bad).select("id", "kind", "error")
+
+
+def damaged_packets(spark, d):
     kind, wide = F.col("kind"), F.col("value") > 100
     damaged = (F.when((kind == "pm") & wide, F.concat(F.lit("[null,"), "payload", F.lit("]"))).when((kind == "opt") & wide, F.concat("payload", F.lit("}}")))
                .when((kind == "spot") & wide, F.lit("12.5")).otherwise(F.col("payload")))
-    t = ticks(spark, d).select("id", "value", F.when(kind == "outage", "history").otherwise(kind).alias("kind"), damaged.alias("payload"))
-    good, bad = feeds.quarantine(t)
-    return good.withColumn("error", F.lit(None).cast("string")).unionByName(bad).select("id", "kind", "error")
+    return ticks(spark, d).select("id", "received_ms", F.when(kind == "outage", "history").otherwise(kind).alias("kind"), damaged.alias("payload"))
 
 
 _HEALTH_AT = START + 30 * DAY
@@ -609,12 +615,27 @@ _SRC = "CASE user_id % 4 WHEN 0 THEN 'catalog' WHEN 1 THEN 'history:' || market
    max(CASE WHEN state = 'OK' THEN received_ms END) AS last_success_ms, {_HEALTH_AT} - arg_max(received_ms, id) AS age_ms
  FROM (SELECT *, {_SRC} AS source, CASE WHEN kind IN ('outage', 'timer') THEN 'ERROR' ELSE 'OK' END AS state FROM ticks) GROUP BY source)""")
 def feed_health(spark, d):
-    u, m = F.col("user_id") % 4, F.col("market")
+    return feeds.feed_health(health_rows(spark, d), _HEALTH_AT, CONFIG)
+
+
+_LIMIT = f"(CASE WHEN source = 'catalog' THEN 360000 WHEN source LIKE 'history:%' THEN 600000 WHEN source LIKE 'yahoo%' THEN 120000 ELSE 90000 END) * {SCALE}"
+
+
+@query("feed_silences", f"""SELECT source, raw_id, CAST(stale_ms AS BIGINT) AS stale_ms FROM (
+ SELECT source, id AS raw_id, state, received_ms + {_LIMIT} AS stale_ms, coalesce(lead(received_ms) OVER (PARTITION BY source ORDER BY id), max(received_ms) OVER ()) AS next_ms
+ FROM (SELECT *, {_SRC.replace('market', 'CAST(user_id AS VARCHAR)')} AS source, CASE WHEN kind IN ('outage', 'timer') THEN 'ERROR' ELSE 'OK' END AS state FROM ticks))
+WHERE state = 'OK' AND next_ms > stale_ms""")
+def feed_silences(spark, d):
+    """Each time a source that was well said nothing for longer than its limit; every user is a feed of its own."""
+    return feeds.feed_silences(health_rows(spark, d, "user_id"), CONFIG, SLICE_ROWS)
+
+
+def health_rows(spark, d, of: str = "market"):
+    u, m = F.col("user_id") % 4, F.col(of).cast("string")
     source = (F.when(u == 0, "catalog").when(u == 1, F.concat(F.lit("history:"), m)).when(u == 2, F.concat(F.lit("yahoo:"), m))
               .otherwise(F.concat(F.lit("spot:"), m)))
-    h = ticks(spark, d).select("id", F.col("received_ms").alias("now_ms"), source.alias("source"),
-                               F.when(F.col("kind").isin("outage", "timer"), "ERROR").otherwise("OK").alias("state"))
-    return feeds.feed_health(h, _HEALTH_AT, CONFIG)
+    return ticks(spark, d).select("id", F.col("received_ms").alias("now_ms"), source.alias("source"),
+                                  F.when(F.col("kind").isin("outage", "timer"), "ERROR").otherwise("OK").alias("state"))
 
 
 view("days", f"""SELECT o_custkey % 40 AS asset_no, CAST(epoch_us(o_orderdate) // 1000000 AS BIGINT) AS sec, min(o_totalprice) AS low, max(o_totalprice) AS high,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.scalars import finite, to_epoch_ms, to_number, to_probability
+from ..operators.running import ID_SLICE, id_slices, last, running
 
 PACKET_SCHEMA = (
     "id bigint, received_ms bigint, source string, subject string, source_ms bigint, payload string, "
@@ -196,3 +197,12 @@ def feed_health(health: DataFrame, now_ms: int, config: Config = Config()) -> Da
     return latest.select(
         "source", F.when(stale, "STALE").otherwise(F.col("h.state")).alias("state"),
         F.col("h.now_ms").alias("timestamp"), F.col("h.id").alias("raw_id"), "last_success_ms", age.alias("age_ms"))
+
+
+def feed_silences(health: DataFrame, config: Config = Config(), slice_rows: int = ID_SLICE) -> DataFrame:
+    """``source, raw_id, stale_ms``: each time an OK source said nothing for its limit while the tape went on."""
+    top = health.agg(F.max("now_ms")).first()[0]
+    rows = running(health, ["source"], ["id"], {"__next": last(F.col("now_ms"), inclusive=False)}, id_slices("id", slice_rows), reverse=True)
+    due = F.col("now_ms") + health_limit_ms(F.col("source"), config)
+    rows = rows.filter("state = 'OK'").withColumn("stale_ms", due)
+    return rows.filter(F.coalesce("__next", F.lit(top)) > F.col("stale_ms")).select("source", F.col("id").alias("raw_id"), "stale_ms")

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import Config
-from ..operators.clock import effective_clock
+from ..operators.dynamics import jump_legs
+from ..operators.legs import accepted_spots, stamped_ticks
+from ..sources.feeds import health_limit_ms
 
 Step = Callable[[tuple | None, tuple], tuple[tuple | None, tuple]]
 
@@ -71,6 +73,82 @@ def accept_newer(ticks: DataFrame, keys: Sequence[str], clock: str = "received_m
     return fold_stream(ticks, keys, order, "held bigint", "verdict string", step)
 
 
+def accepted_books(changes: DataFrame, order: Sequence[str] = ("id", "message_no", "change_no"), tolerance_ms: int = 5_000) -> DataFrame:
+    """Stream of book changes to the top of book after each accepted one: acceptance and both sides in one state per token."""
+
+    def step(held, row):
+        at, bid, ask = held or (None, None, None)
+        source, now = row.source_ms, row.received_ms
+        if not _absent(source) and source > now + tolerance_ms:
+            return held, (False, None, None, None, None)
+        if not _absent(source) and at is not None and source < at:
+            return held, (False, None, None, None, None)
+        at = int(now if _absent(source) else source)
+        bid = (None if _absent(row.bid) else row.bid) if row.bid_set else bid
+        ask = (None if _absent(row.ask) else row.ask) if row.ask_set else ask
+        whole = bid is not None and ask is not None
+        crossed = whole and bid > ask
+        return (at, bid, ask), (True, bid, ask, crossed, (bid + ask) / 2 if whole and not crossed else None)
+
+    out = fold_stream(changes, ["token"], order, "at bigint, bid double, ask double",
+                      "accepted boolean, top_bid double, top_ask double, crossed boolean, yes double", step)
+    return out.filter("accepted").drop("accepted")
+
+
+def spot_state(ticks: DataFrame, tolerance_ms: int = 5_000) -> DataFrame:
+    """Stream of spot packets with ``now_ms`` to accepted prices per asset."""
+    judged = accept_newer(stamped_ticks(ticks), ["subject"], clock="now_ms", tolerance_ms=tolerance_ms)
+    return accepted_spots(judged)
+
+
+def native_jumps(obs: DataFrame, config: Config = Config()) -> DataFrame:
+    """Stream of observations to the jumps of their legs; the state of an (event, mapping) is its previous row and last break."""
+
+    def step(held, row):
+        timed, pm, opt, spot, segment = held or (False, None, None, None, None)
+        values = tuple(None if _absent(v) else float(v) for v in (row.pm_yes, row.opt_yes, row.spot))
+        if not row.valid:
+            return (False, *values, int(row.raw_id)), (False, None, None, None, int(row.raw_id))
+        return (True, *values, segment), (timed, pm, opt, spot, segment)
+
+    rows = fold_stream(obs, ["event_id", "mapping_hash"], ["raw_id"], "timed boolean, pm double, opt double, spot double, segment bigint",
+                       "prev_timed boolean, prev_pm double, prev_opt double, prev_spot double, segment bigint", step)
+    prev = F.struct(F.col("prev_pm").alias("pm_yes"), F.col("prev_opt").alias("opt_yes"), F.col("prev_spot").alias("spot"))
+    return jump_legs(rows.filter("prev_timed").withColumn("__prev", prev), config)
+
+
+def feed_silences(health: DataFrame, config: Config = Config(), delay: str = "0 seconds") -> DataFrame:
+    """Stream of health rows (id, source, state, now_ms) to ``source, raw_id, stale_ms``: an OK source that says nothing for its limit.
+
+    A timer per source, in event time, emits the row when the clock of the other feeds has passed the limit, without a packet of the silent one.
+    """
+    timed = health.withColumn("limit_ms", health_limit_ms(F.col("source"), config)).withColumn("at", F.timestamp_millis("now_ms")).withWatermark("at", delay)
+
+    def walk(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = state.get if state.exists else None
+        found = []
+        if state.hasTimedOut:
+            found.append((key[0], held[0], held[1] + held[2]))
+            state.remove()
+        else:
+            rows = pd.concat(list(batches)).sort_values("id", kind="stable")
+            for row in rows.itertuples(index=False):
+                if held is not None and row.now_ms > held[1] + held[2]:
+                    found.append((key[0], held[0], held[1] + held[2]))
+                held = (int(row.id), int(row.now_ms), int(row.limit_ms)) if row.state == "OK" else None
+            if held is None:
+                if state.exists:
+                    state.remove()
+            else:
+                state.update(held)
+                due, mark = held[1] + held[2], state.getCurrentWatermarkMs()
+                state.setTimeoutTimestamp(max(due, mark + 1))
+        yield pd.DataFrame(found, columns=["source", "raw_id", "stale_ms"])
+
+    return timed.groupBy("source").applyInPandasWithState(
+        walk, "source string, raw_id bigint, stale_ms bigint", "raw_id bigint, now_ms bigint, limit_ms bigint", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def book_state(changes: DataFrame, order: Sequence[str] = ("id", "message_no", "change_no")) -> DataFrame:
     """Stream of accepted book changes with the token's top of book after each."""
 
@@ -119,21 +197,3 @@ def latest_by(df: DataFrame, keys: Sequence[str], order: str = "raw_id") -> Data
     """Newest row per key of a stream (use update or complete output)."""
     rest = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("row")).select(*keys, "row.*")
-
-
-def clock_sink(write: Callable[[DataFrame, int], None], start_ms: int = 0, id_col: str = "id"):
-    """``foreachBatch`` function that adds ``now_ms`` and hands the batch on.
-
-    Batches arrive in tape order; only the highest clock so far, one number,
-    passes from one batch to the next. ``start_ms`` is the highest clock already
-    written, for a restart.
-    """
-    highest = [start_ms]
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        clocked = effective_clock(batch, id_col).withColumn("now_ms", F.greatest("now_ms", F.lit(highest[0])))
-        write(clocked, batch_id)
-        top = batch.agg(F.max("received_ms")).first()[0]
-        highest[0] = max(highest[0], top or 0)
-
-    return run
