@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 
@@ -19,10 +20,16 @@ def view(name: str, sql: str) -> None:
     VIEWS[name] = sql.strip()
 
 
+@functools.cache
+def _mentioned(sql: str) -> tuple[str, ...]:
+    """Names that follow FROM or JOIN, in order."""
+    return tuple(dict.fromkeys(re.findall(r"(?i)\b(?:from|join)\s+(\w+)", sql)))
+
+
 def _needed(sql: str, seen: list[str]) -> list[str]:
-    for name, body in VIEWS.items():
-        if name not in seen and re.search(rf"(?i)\b(?:from|join)\s+{name}\b", sql):
-            _needed(body, seen)
+    for name in _mentioned(sql):
+        if name in VIEWS and name not in seen:
+            _needed(VIEWS[name], seen)
             if name not in seen:
                 seen.append(name)
     return seen
