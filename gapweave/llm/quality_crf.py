@@ -165,19 +165,28 @@ def train(texts: Sequence[str], labels: np.ndarray, steps: int = 300, rate: floa
     return dataclasses.replace(model, slope=float(slope), shift=float(shift))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1000, chars: int = 20_000) -> LineCrf:
+def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1000, class_chars: int = 10_000_000) -> LineCrf:
     """Train on at most ``per_class`` labelled documents of either class outside the held-out fold.
 
-    Documents are drawn by a hash of their id and read to ``chars`` characters for training only. With one class missing
+    Documents are drawn in the order of a hash of their id and read whole; the sample of a class ends with the document that brings it to
+    ``class_chars`` characters. Of rows that share an id one text counts, the first by its hash. With one class missing
     the model is undecided (score 0.5) or says that class.
     """
     open_fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1
     usable = labels.select("doc_id", "quality").filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & open_fold).distinct()
     drawn = [usable.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for q in (0, 1)]
-    # At most twice per_class rows: safe to broadcast.
-    chosen = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("text")).join(
-        F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id")
-    rows = sorted((r.doc_id, r.quality, r.text) for r in chosen.limit(20 * per_class).collect())
+    # At most twice per_class rows: safe to broadcast, and as many are read back.
+    text = F.coalesce(F.col("text"), F.lit(""))
+    sizes = docs.select("doc_id", F.xxhash64(text).alias("h"), F.length(text).alias("n")).join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id")
+    sizes = sizes.groupBy("doc_id", "quality").agg(F.min(F.struct("h", "n")).alias("t")).select("quality", F.xxhash64("doc_id").alias("o"), "doc_id", "t.h", "t.n").collect()
+    taken, total = {}, {0: 0, 1: 0}
+    for r in sorted(sizes, key=lambda r: (r.quality, r.o, r.doc_id)):
+        if total[r.quality] < class_chars:
+            taken[r.doc_id, r.quality] = r.h
+            total[r.quality] += r.n
+    wanted = docs.sparkSession.createDataFrame([(d, q, h) for (d, q), h in taken.items()], T.StructType([docs.schema["doc_id"], T.StructField("quality", T.IntegerType()), T.StructField("h", T.LongType())]))
+    chosen = docs.select("doc_id", F.xxhash64(text).alias("h"), text.alias("text")).join(F.broadcast(wanted), ["doc_id", "h"]).dropDuplicates(["doc_id", "quality"])
+    rows = sorted((r.doc_id, r.quality, r.text) for r in chosen.collect())
     y = np.array([r[1] for r in rows], dtype=np.int64)
     if len(set(y.tolist())) < 2:
         width = N_FEATURES
