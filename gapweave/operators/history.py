@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..functions.scalars import CRYPTO_ASSETS
+from ..sources.feeds import feed_health
+from .curves import curve_groups, curve_nodes
 
 MAX_PAGE = 10_000
 
@@ -94,6 +97,28 @@ def state_snapshot(obs: DataFrame, now_ms: int) -> DataFrame:
     return latest_by(obs.filter(F.col("now_ms") <= now_ms), ["event_id"])
 
 
+def engine_snapshot(obs: DataFrame, health: DataFrame, spots: DataFrame, now_ms: int, config: Config = Config()) -> DataFrame:
+    """Everything known at ``now_ms``, one row per thing: ``part, key, raw_id, state, value``.
+
+    ``observation``: the newest row of an event, its state and gap. ``source``: a feed's state with staleness, and its age in ms.
+    ``spot``: the newest accepted price of an asset and where its time comes from. ``curve``: comparable propositions among the newest rows, the kind of curve
+    and its number of nodes; ``raw_id`` is its newest packet. ``spots`` are the rows of ``legs.spot_state``.
+    """
+    latest = state_snapshot(obs, now_ms)
+    row = lambda part, key, raw_id, state, value: [
+        F.lit(part).alias("part"), key.alias("key"), raw_id.alias("raw_id"), state.alias("state"), value.cast("double").alias("value")]
+    c = F.col
+    quoted = latest_by(spots.filter(c("received_ms") <= now_ms), ["asset"])
+    nodes = curve_nodes(latest)
+    newest = nodes.groupBy("curve_id").agg(F.max("raw_id").alias("raw_id"))
+    groups = curve_groups(nodes).join(newest, "curve_id")
+    return (
+        latest.select(*row("observation", c("event_id"), c("raw_id"), c("source_state"), c("gap_pp")))
+        .unionByName(feed_health(health, now_ms, config).select(*row("source", c("source"), c("raw_id"), c("state"), c("age_ms"))))
+        .unionByName(quoted.select(*row("spot", c("asset"), c("raw_id"), c("timestamp_origin"), c("price"))))
+        .unionByName(groups.select(*row("curve", c("curve_id"), c("raw_id"), c("curve_type"), F.size("nodes")))))
+
+
 def monitor_view(
     latest: DataFrame, asset_class: str = "all", mode: str = "all", search: str = "", sort: str = "gap", page: int = 0,
     size: int = 50, cutoff: float = 4.0,

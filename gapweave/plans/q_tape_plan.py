@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import tape_plan
-from .fixtures import CONFIG, SCALE, SLICE_ROWS, r6, ticks
+from ..operators import history, legs, tape_plan
+from .fixtures import CONFIG, DAY, SCALE, SLICE_ROWS, START, observations, r6, ticks
 from .q_observe import ncdf
-from .registry import query, view
+from .q_sources import _SRC, health_rows, spot_packets
+from .registry import CHECKS, query, view
 
 # What each packet of ``events`` is: books by token, spots and summaries of BTC, equity chains of TSLA (with a spot for the former
 # spot packets), and control packets: listings, mappings, dismissals, sessions and timers.
@@ -115,3 +116,27 @@ def observe_from_tape(spark, d):
 def tape_errors(spark, d):
     """The packets that the plan sets aside, with what is wrong with them."""
     return tape_plan.observe_tape(raw_tape(spark, d), CONFIG, SLICE_ROWS)[1].select("id", "kind", "error")
+
+
+# The whole state on day 12: propositions of four strikes per asset, of which the valid ones are curves.
+_AT = START + 12 * DAY
+_LIMIT = f"(CASE WHEN source = 'catalog' THEN 360000 WHEN source LIKE 'history:%' THEN 600000 WHEN source LIKE 'yahoo%' THEN 120000 ELSE 90000 END) * {SCALE}"
+view("newest", f"SELECT *, CASE WHEN event_id < 'm4' THEN 'BTC' ELSE 'TSLA' END AS of_asset FROM obs WHERE now_ms <= {_AT} QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY raw_id DESC) = 1")
+
+
+@query("engine_snapshot", f"""SELECT 'observation' AS part, event_id AS key, raw_id, source_state AS state, round(gap_pp, 6) + 0.0 AS value FROM newest
+ UNION ALL SELECT 'source', source, raw_id, CASE WHEN state = 'OK' AND {_AT} - seen > {_LIMIT} THEN 'STALE' ELSE state END, CAST({_AT} - seen AS DOUBLE) FROM (
+   SELECT source, arg_max(state, id) AS state, arg_max(received_ms, id) AS seen, max(id) AS raw_id FROM (
+    SELECT *, {_SRC} AS source, CASE WHEN kind IN ('outage', 'timer') THEN 'ERROR' ELSE 'OK' END AS state FROM ticks WHERE received_ms <= {_AT}) GROUP BY source)
+ UNION ALL SELECT 'spot', asset, max(raw_id), arg_max(timestamp_origin, raw_id), round(arg_max(price, raw_id), 6) + 0.0 FROM ({CHECKS['spot_state']}) s
+   WHERE raw_id IN (SELECT id FROM ticks WHERE received_ms <= {_AT}) GROUP BY asset
+ UNION ALL SELECT 'curve', of_asset || '|9|terminal|up|~|~|~', max(raw_id), 'terminal_probability', CAST(count(*) AS DOUBLE) FROM newest WHERE valid GROUP BY of_asset HAVING count(*) >= 2""")
+def engine_snapshot(spark, d):
+    """Observations, feeds, spots and curves as they stood on day 12."""
+    n = F.expr("CAST(substr(event_id, 2) AS INT)")
+    obs = observations(spark, d).withColumns({
+        "asset": F.when(n < 4, "BTC").otherwise("TSLA"), "expiry": F.lit(9), "event_type": F.lit("terminal"), "direction": F.lit("up"), "window_start": F.lit(None).cast("bigint"),
+        "settlement_source": F.lit(None).cast("string"), "threshold_inclusive": F.lit(None).cast("boolean"), "strike_or_threshold": n * 10.0})
+    spots = legs.spot_state(spot_packets(spark, d), CONFIG.scaled(5000), SLICE_ROWS)
+    out = history.engine_snapshot(obs, health_rows(spark, d), spots, _AT, CONFIG)
+    return out.withColumn("value", r6(F.col("value")))
