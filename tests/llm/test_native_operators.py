@@ -186,3 +186,37 @@ def test_license_scan(spark):
 def test_crc_of_the_fold_matches(spark):
     got = spark.range(50).select("id", F.crc32(F.col("id").cast("string").cast("binary")).alias("c")).collect()
     assert all(r.c == zlib.crc32(str(r.id).encode()) for r in got)
+
+
+def test_license_scan_of_long_texts_repeated_rows_and_ties(spark):
+    mit = dict(KNOWN)["MIT"]
+    notice = next(t for i, t in KNOWN if "\n" not in t)
+    name = min(i for i, t in KNOWN if t == notice)
+    long = ("word " * 40_000 + "\n") * 5 + notice.upper() + "\n" + "tail " * 40_000
+    df = spark.createDataFrame([(1, long), (2, mit), (2, mit), (3, mit + "\n" + mit)], "doc_id long, text string")
+    tied = spark.createDataFrame([("Z-second", mit), ("A-first", mit), (name, notice)], "license_id string, license_text string")
+    for bound in (10_000, 1):
+        got = sorted((r.doc_id, r.license_id, tuple(r.notices)) for r in license_scan(df, tied, broadcast_rows=bound).collect())
+        assert got[0] == (1, None, (name,)) and [g[:2] for g in got[1:]] == [(2, "A-first"), (2, "A-first"), (3, None)]
+
+
+def test_placement_equals_a_plain_loop():
+    import numpy as np
+
+    from gapweave.llm.sharding import place
+
+    rng = np.random.default_rng(11)
+    items, room = rng.random((200, 3)) / 20, np.full((7, 3), 1.0)
+    for first in (0, 3):
+        left, want = [list(r) for r in room], []
+        for item in items:
+            best = None
+            for k in range(7):
+                b = (first + k) % 7
+                after = min(x - y for x, y in zip(left[b], item))
+                score = (1, sum(x * y for x, y in zip(left[b], item))) if after >= 0 else (0, after)
+                if best is None or score[0] > best[0][0] or score[0] == best[0][0] and score[1] > best[0][1] + 1e-15:
+                    best = (score, b)
+            want.append(best[1])
+            left[best[1]] = [x - y for x, y in zip(left[best[1]], item)]
+        assert place(items, room.copy(), first).tolist() == want
