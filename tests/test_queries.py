@@ -18,7 +18,8 @@ CHECKS = plans.check_sql()
 UNCHECKED = {"covariance_distance"}
 SAMPLE = os.environ.get("CHECK_QUERIES", "").split() or [
     "observe_from_tape", "realized_vol", "surface_state", "analyzer_status", "closed_lot_attribution", "top_gaps_by_market", "asof_join", "horizon_changes", "episode_summary", "side_clusters", "infer_event", "book_state", "quarantine",
-    "terminal_probability", "shared_entries", "equity_curve", "entry_evidence", "risk_screen"]
+    "option_value", "path_window_start", "lag_correlations", "feed_silences", "stream_feed_silences", "stream_book_state", "stream_latest_by", "stream_effective_clock", "tape_errors",
+    "engine_snapshot", "terminal_probability", "shared_entries", "equity_curve", "entry_evidence", "risk_screen"]
 
 
 @pytest.fixture(scope="module")
