@@ -30,7 +30,7 @@ from .components import connected_components
 
 _M = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 #: words remembered per worker before the memory is emptied
-_MEMORY = 400_000
+_MEMORY = 100_000
 
 
 class Shingler:
@@ -161,7 +161,7 @@ def _sets(docs: DataFrame, width: int, rule: Rule) -> DataFrame:
     return append_columns(docs, fields, start).select("doc_id", "n", "key", "key2", "start")
 
 
-def _lists(postings: DataFrame, short_list: int, rule: Rule, at_once: int = 400_000) -> DataFrame:
+def _lists(postings: DataFrame, short_list: int, rule: Rule, at_once: int = 100_000) -> DataFrame:
     """``key, n, keys, sizes``: for every class and list it looks up, the members that come after it by (n, key) and are not too large for a link.
 
     A pair of classes meets at its first side only; members without such others get nothing. Of a list that is too long all members get an empty one.
