@@ -474,9 +474,11 @@ def book_packets(spark, d):
     return t.select("id", "received_ms", F.lit(None).cast("bigint").alias("source_ms"), payload.alias("payload"))
 
 
+# Full books list a second level a hundredth worse on each side; the best valid level of a side counts.
 @query("explode_books", """SELECT id, source_ms, token, bid_set, ask_set, round(bid, 6) + 0.0 AS bid, round(ask, 6) + 0.0 AS ask,
   CAST(message_no AS INTEGER) AS message_no, CAST(change_no AS INTEGER) AS change_no, is_book FROM (SELECT * REPLACE (
-  CASE WHEN bid BETWEEN 0 AND 1 THEN bid END AS bid, CASE WHEN ask BETWEEN 0 AND 1 THEN ask END AS ask) FROM book_changes)""")
+  CASE WHEN bid BETWEEN 0 AND 1 THEN bid WHEN is_book AND bid - 0.01 BETWEEN 0 AND 1 THEN bid - 0.01 END AS bid,
+  CASE WHEN ask BETWEEN 0 AND 1 THEN ask WHEN is_book AND ask + 0.01 BETWEEN 0 AND 1 THEN ask + 0.01 END AS ask) FROM book_changes)""")
 def explode_books(spark, d):
     b = feeds.explode_books(book_packets(spark, d))
     return b.select("id", "source_ms", "token", "bid_set", "ask_set", r6(F.col("bid")).alias("bid"), r6(F.col("ask")).alias("ask"),
