@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from ..operators.legs import accepted_spots, stamped_ticks
 from ..sources.feeds import health_limit_ms
 
 Step = Callable[[tuple | None, tuple], tuple[tuple | None, tuple]]
+#: rows of a key that are folded and returned at once
+PIECE_ROWS = 20_000
 
 
 def fold_stream(df: DataFrame, keys: Sequence[str], order: Sequence[str], state_schema: str, out: str, step: Callable) -> DataFrame:
@@ -35,18 +38,22 @@ def fold_stream(df: DataFrame, keys: Sequence[str], order: Sequence[str], state_
     columns = df.columns + names
 
     def walk(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
+        rows = pd.concat(list(batches), ignore_index=True)
+        places = np.lexsort([rows[c].to_numpy() for c in reversed(order)])
         held = state.get if state.exists else None
-        results = []
-        for row in rows.itertuples(index=False):
-            held, values = step(held, row)
-            results.append(values)
+        # What a row becomes takes many times its own memory, so that only a piece of the rows is turned at once.
+        for start in range(0, len(rows), PIECE_ROWS):
+            piece = rows.take(places[start:start + PIECE_ROWS])
+            results = []
+            for row in piece.itertuples(index=False):
+                held, values = step(held, row)
+                results.append(values)
+            added = pd.DataFrame(results, columns=names, index=piece.index).astype(object)
+            yield pd.concat([piece, added.where(added.notna(), None)], axis=1)[columns]
         if held is None:
             state.remove()
         else:
             state.update(held)
-        added = pd.DataFrame(results, columns=names, index=rows.index).astype(object)
-        yield pd.concat([rows, added.where(added.notna(), None)], axis=1)[columns]
 
     return df.groupBy(*keys).applyInPandasWithState(
         walk, schema, state_schema, "append", GroupStateTimeout.NoTimeout)
