@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,10 +42,14 @@ SECONDS_BELOW = 100_000_000_000
 
 def to_number(col: Column) -> Column:
     """Finite double, or null for blank, boolean-like, nonfinite or unparsable text."""
+    matched, value = _parsed(col)
+    return F.when(matched & (F.abs(value) < F.lit(float("inf"))), value)
+
+
+def _parsed(col: Column) -> tuple[Column, Column]:
+    """Whether the text is a number, and its value: the pattern is matched once however often the value is named."""
     text = col.cast("string")
-    value = F.regexp_replace(F.trim(text), "_", "").try_cast("double")
-    parsed = F.when(text.rlike(NUMBER_PATTERN), value)
-    return F.when(F.abs(parsed) < F.lit(float("inf")), parsed)
+    return text.rlike(NUMBER_PATTERN), F.replace(F.trim(text), F.lit("_"), F.lit("")).try_cast("double")
 
 
 def finite(col: Column) -> Column:
@@ -56,8 +58,8 @@ def finite(col: Column) -> Column:
 
 
 def to_probability(col: Column) -> Column:
-    value = to_number(col)
-    return F.when(value.between(0, 1), value)
+    matched, value = _parsed(col)
+    return F.when(matched & value.between(0, 1), value)
 
 
 def as_probability(col: Column) -> Column:
@@ -69,12 +71,12 @@ def to_epoch_ms(col: Column) -> Column:
     """Epoch milliseconds from seconds, milliseconds or zoned ISO text; naive text is null."""
     text = F.trim(col.cast("string"))
     number = to_number(text)
-    numeric = F.when(F.abs(number) < SECONDS_BELOW, number * 1000).otherwise(number).cast("bigint")
+    numeric = (number * F.when(F.abs(number) < SECONDS_BELOW, 1000).otherwise(1)).cast("bigint")
     iso = F.when(
         text.rlike(ZONED_PATTERN),
         F.unix_millis(F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp")),
     )
-    return F.when(number.isNotNull(), numeric).otherwise(iso)
+    return F.coalesce(numeric, iso)
 
 
 def to_array(col: Column) -> Column:
@@ -106,11 +108,7 @@ def threshold(text: Column) -> Column:
 
 
 def month_number(name: Column) -> Column:
-    return reduce(
-        lambda acc, pair: acc.when(F.lower(name) == pair[1], pair[0]),
-        enumerate(MONTHS[1:], start=2),
-        F.when(F.lower(name) == MONTHS[0], 1),
-    )
+    return F.nullif(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(name)), F.lit(0)).cast("int")
 
 
 def path_window_start(text: Column, expiry_ms: Column, asset: Column) -> Column:

@@ -10,7 +10,7 @@ from ..operators import events as EV
 from ..operators import legs
 from ..session import scratch_path, stage_table
 from ..sources import facts, feeds, tape
-from .fixtures import CONFIG, DAY, SCALE, SLICE_ROWS, START, observations, r6, table, ticks
+from .fixtures import CONFIG, DAY, SCALE, SLICE_ROWS, START, dealt, observations, r6, table, ticks
 from .registry import CHECKS, query, view
 
 # --------------------------------------------------------------------- tape ----------
@@ -155,7 +155,7 @@ def listing_columns():
 def catalog_packets(spark, d):
     """Listing packets of 50 markets; odd packets use event pages and JSON-text lists."""
     m = listing_columns()
-    p = table(spark, d, "part").withColumn("packet", F.floor(F.col("p_partkey") / 50))
+    p = dealt(table(spark, d, "part").withColumn("packet", F.floor(F.col("p_partkey") / 50)), "packet")
     flat = F.struct(*[v.alias(k) for k, v in m.items()])
     text = {**m, **{k: F.to_json(m[k]) for k in ("outcomes", "clobTokenIds", "outcomePrices")}}
     nested = F.struct(*[v.alias(k) for k, v in text.items() if k not in ("endDate", "slug")])
