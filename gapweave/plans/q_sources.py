@@ -446,7 +446,7 @@ UNION ALL SELECT id, received_ms, source_ms, 1, 0, token || 'y', true, true, bid
 
 def book_packets(spark, d):
     """Book packets of every message form: full, snake, camel, enveloped and listed."""
-    t = ticks(spark, d).withColumn("token", F.concat(F.lit("t"), F.col("user_id") % 8))
+    t = dealt(ticks(spark, d), "id").withColumn("token", F.concat(F.lit("t"), F.col("user_id") % 8))
     bid, ask = F.col("value") / 600, F.col("value") / 600 + 0.02
     stamp = F.col("source_ms").cast("string").alias("timestamp")
     s = lambda c: c.cast("string")

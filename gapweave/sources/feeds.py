@@ -71,10 +71,11 @@ def explode_books(raw: DataFrame) -> DataFrame:
     key = lambda *names: F.coalesce(*[F.nullif(F.col("c")[n], F.lit("")) for n in names])
     named = lambda *names: F.coalesce(
         *[F.map_contains_key("c", n) for n in names[:1]]) | F.map_contains_key("c", names[1])
-    levels = lambda side: F.from_json(F.col("c")[side], "array<struct<price:string,size:string>>")
-    best = lambda side, pick: pick(F.filter(
-        F.transform(levels(side), lambda x: to_probability(x["price"])), lambda x: x.isNotNull()))
     book = F.col("event") == "book"
+    levels = lambda side: F.when(book, F.from_json(F.col("c")[side], "array<struct<price:string,size:string>>"))
+    rows = rows.withColumns({"bids": levels("bids"), "asks": levels("asks")})
+    # The extremes skip null levels.
+    best = lambda side, pick: pick(F.transform(side, lambda x: to_probability(x["price"])))
     quoted = lambda snake, camel: to_probability(
         F.when(F.map_contains_key("c", snake), F.col("c")[snake]).otherwise(F.col("c")[camel]))
     return rows.select(
@@ -83,7 +84,7 @@ def explode_books(raw: DataFrame) -> DataFrame:
         (book | named("best_bid", "bestBid")).alias("bid_set"), (book | named("best_ask", "bestAsk")).alias("ask_set"),
         F.when(book, best("bids", F.array_max)).otherwise(quoted("best_bid", "bestBid")).alias("bid"),
         F.when(book, best("asks", F.array_min)).otherwise(quoted("best_ask", "bestAsk")).alias("ask"),
-        F.when(book, F.struct(levels("bids").alias("bids"), levels("asks").alias("asks"))).alias("depth"),
+        F.when(book, F.struct("bids", "asks")).alias("depth"),
     ).filter(F.col("token").isNotNull())
 
 

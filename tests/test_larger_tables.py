@@ -43,3 +43,22 @@ def test_months_by_name(spark):
     df = spark.createDataFrame(rows, "m string, n int").withColumn("got", S.month_number(F.col("m")))
     assert [r.got for r in df.collect()] == [n for _, n in rows]
     assert df.schema["got"].dataType.simpleString() == "int"
+
+
+@needs_tables
+def test_books_are_dealt_out_and_parsed_once(spark):
+    nodes = _nodes(plans.QUERIES["explode_books"](spark, SF))
+    assert _dealt_before_unpacking(nodes)
+    # Two sides of a full book, two quoted ones, and the time stamp.
+    assert len(re.findall("RLIKE", nodes[0])) <= 4 and sum(len(re.findall("RLIKE", n)) for n in nodes) <= 16
+
+
+def test_a_level_without_a_price_is_skipped(spark):
+    from gapweave.sources import feeds
+
+    book = ('{"event_type":"book","asset_id":"t","timestamp":"1704067200000","bids":[{"price":"x"},{"price":"0.4"},{"price":"1.5"},{"price":"0.3"}],'
+            '"asks":[{"price":"0_0.7"},{"price":null},{"price":"0.6"}]}')
+    raw = spark.createDataFrame([(1, 5, None, book), (2, 6, None, book.replace("0.4", "y").replace("0.3", "z"))], "id bigint, received_ms bigint, source_ms bigint, payload string")
+    rows = feeds.explode_books(raw).orderBy("id").collect()
+    assert [(r.bid, r.ask, len(r.depth.bids), len(r.depth.asks)) for r in rows] == [(0.4, 0.6, 4, 3), (None, 0.6, 4, 3)]
+    assert {r.source_ms for r in rows} == {1_704_067_200_000}
