@@ -29,13 +29,15 @@ def asof_join(
     strict: bool = False,
     slice_width: float | None = None,
     prefix: str = "",
+    restart: bool = False,
 ) -> DataFrame:
     """Left rows plus ``prefix + value`` columns of the matching right row.
 
     ``direction`` is ``backward`` (latest at or before) or ``forward`` (earliest
     at or after); ``strict`` excludes equal times. ``right_order`` breaks ties
     between right rows of the same time: the highest wins going backward, the
-    lowest going forward. ``tolerance`` nulls matches further away.
+    lowest going forward. ``tolerance`` nulls matches further away. ``restart`` as in ``running``,
+    for joins on the result of another.
     """
     on = list(on)
     backward = direction == "backward"
@@ -57,6 +59,7 @@ def asof_join(
         {"__match": Run("last", F.col(_RIGHT))},
         None if slice_width is None else F.floor(F.col(_TS) / F.lit(slice_width)),
         reverse=not backward,
+        restart=restart,
     ).filter(F.col(_LEFT).isNotNull())
     hit = F.col("__match")
     if tolerance is not None:

@@ -18,7 +18,7 @@ def book_state(changes: DataFrame, tolerance_ms: int = 5_000, slice_rows: int =
     """Top of book after every accepted change of ``explode_books``.
 
     A full book sets both sides; an increment sets the sides it names and
-    leaves depth unverified. Crossed books have no mid.
+    leaves depth unverified. Crossed books have no mid. ``depth`` is there if ``changes`` have it.
     """
     judged = accept_newer(changes, ["token"], order=_BOOK_ORDER, tolerance_ms=tolerance_ms,
                           source_always_present=source_always_present, slice_rows=slice_rows)
@@ -31,7 +31,7 @@ def book_state(changes: DataFrame, tolerance_ms: int = 5_000, slice_rows: int =
         "token", F.col("id").alias("raw_id"), "message_no", "change_no", "received_ms",
         F.coalesce("source_ms", "received_ms").alias("source_ms"),
         F.when(F.col("source_ms").isNull(), "receipt").otherwise("source").alias("timestamp_origin"),
-        bid.alias("bid"), ask.alias("ask"), "depth", crossed.alias("crossed"),
+        bid.alias("bid"), ask.alias("ask"), *[c for c in ("depth",) if c in changes.columns], crossed.alias("crossed"),
         F.when(~crossed, (bid + ask) / 2).alias("yes"))
 
 

@@ -85,21 +85,24 @@ def observe_tape(tape: DataFrame, config: Config = Config(), slice_rows: int = I
     the operator's mapping included. How many propositions are worth observing is a question of its own (``select_events``).
 
     A packet meets the versions in force at its place on the tape only (``version_fanout``); what their legs were before is one row per version
-    (``leg_starts``). Rows swept grow with the observations, however many versions the tape holds.
+    (``leg_starts``). Rows swept grow with the observations, however many versions the tape holds. The sweep and the pricing run when
+    the observations are read: store them before reading them more than once.
     """
     sound, errors = feeds.quarantine(tape)
     specs = {"now_ms": highest(F.col("received_ms")), "thresholds": last(F.when(F.col("kind") == "session", session_thresholds(F.col("payload"))))}
-    sound = stage_table(running(sound, [], ["id"], specs, id_slices("id", slice_rows)), "tape")
+    sound = stage_table(running(sound, [], ["id"], specs, id_slices("id", slice_rows), restart=True), "tape")
     of = lambda *kinds: sound.filter(F.col("kind").isin(*kinds))
     top = sound.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     tolerance = config.scaled(config.clock_tolerance_ms)
 
     listings = EV.infer_event(feeds.explode_catalog(of("catalog")))
+    listings = stage_table(listings.select("event_id", "catalog_raw_id", "catalog_received_ms", "pm_indicative", "active", *SEMANTICS), "listings")
     mappings = mapping_packets(of("mapping"))
     dismissals = of("dismiss").select(F.get_json_object("payload", "$.event_id").alias("event_id"), F.col("id").alias("mapping_raw_id"))
     versions = stage_table(proposition_versions(listings, mappings, dismissals, slice_rows), "versions")
 
-    books = legs.book_state(feeds.explode_books(of("pm")), tolerance, slice_rows).withColumnRenamed("token", "yes_token")
+    quotes = stage_table(feeds.explode_books(of("pm")).drop("depth"), "book-changes")
+    books = legs.book_state(quotes, tolerance, slice_rows).withColumnRenamed("token", "yes_token")
     options = of("options")
     accepted = stage_table(legs.accepted_chains(options, tolerance, slice_rows), "accepted-chains")
     summary = feeds.explode_chain(accepted.filter("source <> 'yahoo'"))
@@ -118,17 +121,19 @@ def observe_tape(tape: DataFrame, config: Config = Config(), slice_rows: int = I
     changes = stage_table(O.leg_rows(books.drop("timestamp_origin"), refreshed, spots.drop("timestamp_origin"), histories, triggers), "leg-changes")
     snapshots, contracts = stage_table(snapshots, "snapshots"), stage_table(contracts, "contracts")
     packets = changes.unionByName(O.option_packets(snapshots), allowMissingColumns=True)
+    # The thresholds join the packets, which are fewer and narrower than the observations made of them.
+    packets = packets.join(sound.select(F.col("id").alias("raw_id"), "thresholds"), "raw_id")
     fanned = stage_table(O.version_fanout(packets, versions, top, slice_rows), "fanned")
     chained = F.col("__all").isNotNull()
-    rows = fanned.filter(~chained).drop("__all").unionByName(O.covering_rows(fanned.filter(chained), contracts), allowMissingColumns=True)
-    rows = rows.unionByName(O.leg_starts(versions, changes, snapshots, contracts, slice_rows), allowMissingColumns=True)
+    # The sweep reads its rows twice; most of them are stored already, so only the others are stored for it.
+    covered = O.covering_rows(fanned.filter(chained), contracts).unionByName(
+        O.leg_starts(versions, changes, snapshots, contracts, slice_rows), allowMissingColumns=True)
+    rows = fanned.filter(~chained).drop("__all").unionByName(stage_table(covered, "covered"), allowMissingColumns=True)
     rows = rows.withColumn("__event", F.col("event_id")).withColumn("event_id", F.concat_ws("@", "event_id", "valid_from"))
-    swept = O.sweep_legs(rows, slice_rows)
+    swept = O.sweep_legs(rows, slice_rows, restart=False)
     # The spot of an equity chain is the same packet as its options.
     own_spot = (F.col("kind") == "spot") & (F.col("spot_leg.venue") == "yahoo") & (F.col("spot_leg.ref") == F.col("raw_id"))
     swept = swept.withColumn("event_id", F.col("__event")).withColumn("kind", F.when(own_spot, "options").otherwise(F.col("kind"))).drop("__event")
-    swept = swept.join(sound.select(F.col("id").alias("raw_id"), "thresholds"), "raw_id")
-    swept = stage_table(swept, "swept")
 
     limits = O.Limits(config, "thresholds")
     out = O.price_observation(O.flat_legs(O.pm_leg(swept, limits)), limits)

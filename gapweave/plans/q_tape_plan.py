@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import history, legs, tape_plan
 from ..sources import feeds
-from .fixtures import CONFIG, DAY, SCALE, SLICE_ROWS, START, observations, r6, ticks
+from .fixtures import CONFIG, DAY, SCALE, SLICE_ROWS, START, dealt, observations, r6, ticks
 from .q_observe import ncdf
 from .q_sources import _SRC, health_rows, spot_packets
 from .registry import CHECKS, query, view
@@ -21,7 +21,7 @@ SELECT id, received_ms, value, user_id % 8 AS n, CASE WHEN user_id % 8 < 4 THEN
 
 def raw_tape(spark, d):
     """``events`` as raw packets with payloads."""
-    t, n = ticks(spark, d), F.col("user_id") % 8
+    t, n = dealt(ticks(spark, d), "id"), F.col("user_id") % 8
     u, v, was = F.col("user_id") % 5, F.col("value"), F.col("kind")
     crypto = n < 4
     control = (F.when(u == 0, "catalog").when(u == 1, "mapping").when(u == 2, F.when(F.col("id") % 3 == 0, "dismiss").otherwise("timer"))

@@ -62,3 +62,23 @@ def test_a_level_without_a_price_is_skipped(spark):
     rows = feeds.explode_books(raw).orderBy("id").collect()
     assert [(r.bid, r.ask, len(r.depth.bids), len(r.depth.asks)) for r in rows] == [(0.4, 0.6, 4, 3), (None, 0.6, 4, 3)]
     assert {r.source_ms for r in rows} == {1_704_067_200_000}
+
+
+@needs_tables
+def test_the_tape_plan_sweeps_wide_rows_once(spark, monkeypatch):
+    from gapweave.operators import observe, running, tape_plan
+
+    scans, real = [], running.stage_table
+
+    def counted(df, name, partition_by=()):
+        scans.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return real(df, name, partition_by)
+
+    for module in (running, tape_plan):
+        monkeypatch.setattr(module, "stage_table", counted)
+    nodes = _nodes(plans.QUERIES["observe_from_tape"](spark, SF))
+    # No stage reads another over and over, and what is left sweeps and prices without a further exchange of the swept rows.
+    assert max(scans) <= 16
+    sweep = max(i for i, n in enumerate(nodes) if "Window [" in n and "lead(" in n)
+    assert not any("Exchange hashpartitioning" in n for n in nodes[:sweep] if "__slice" not in n)
+    assert sum("Exchange" in n for n in nodes) <= 4
